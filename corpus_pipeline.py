@@ -1,4 +1,66 @@
-STAGES = []
+"""From raw documents to shards of a training mix: each stage is one operator of ``tidewell.llm``.
+
+``STAGES`` are run in order; each takes all that its predecessor kept and its result is written as Parquet and read again as
+the next one's documents. All but the last return the columns of ``documents``.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidewell.llm import decontaminate, minhash, mixing, quality, shuffle
+from tidewell.llm.storage import table, written
+
+N_SHARDS = 40
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose Bradley-Terry score reaches the cut; learned from all labels."""
+    model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    scores = quality.scored(docs, model, tuple(docs.columns))
+    return scores.where(F.col("score") >= quality.CUT).select(*docs.columns)
+
+
+def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that of the least id, of each group of near-duplicates (five words, similarity 0.8)."""
+    kept = minhash.near_duplicates(docs, width=5, percent=80).where("kept").select("doc_id").distinct()
+    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+
+
+def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no benchmark item was found."""
+    found = decontaminate.contaminations(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
+    return docs.join(written(found, "contaminated"), "doc_id", "left_anti").select(*docs.columns)
+
+
+def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents of the mix, once a copy taken."""
+    return mixing.repeat_mix(docs, mixing.pareto_mix(docs))
+
+
+def shard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents of the mix with their shard and slot."""
+    moved = shuffle.external_shuffle(docs, N_SHARDS)
+    return moved.withColumnsRenamed({"_shard": "shard", "_slot": "slot"}).drop("_grown_shard")
+
+
+STAGES = [
+    ("quality classifier", quality_stage),
+    ("MinHash near-dedup", near_dedup_stage),
+    ("benchmark decontamination", decontaminate_stage),
+    ("mixing sources to target weights", mix_stage),
+    ("sharding", shard_stage),
+]
+
+#: The quality, MinHash and sharding stages are beyond SQL; tests hold the pipeline against a brute-force version.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for i, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = written(docs, f"stage-{i}")
+    return docs

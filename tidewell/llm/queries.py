@@ -5,12 +5,34 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, shuffle, topk, urlfilter
+from . import decontaminate, langid, minhash, mixing, quality, shuffle, suffixdedup, topk, trainorder, urlfilter
 from .storage import table
 
 N_SHARDS = 40
 
 
+def _remainder(n: int) -> F.Column:
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
+
+
+def op1_bradley_terry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.fit(docs, table(spark, sf_dir, "labels").where(_remainder(5) != 0))
+    scores = quality.scored(docs, model)
+    return scores.select("doc_id", (_remainder(5) == 0).alias("held_out"), "score", (F.col("score") >= quality.CUT).cast("int").alias("predicted"))
+
+
+def op2_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trainorder.training_order(table(spark, sf_dir, "documents"))
+
+
+def op3_string_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.fit(docs.where(_remainder(4) != 2))
+    found = langid.identify(docs, model)
+    return found.select("doc_id", (_remainder(4) == 2).alias("held_out"), "lang_pred", "score")
+
+
 def op4_norm_bucket_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return topk.norm_bucket_topk(vectors, vectors.where("vec_id % 50 = 0"), k=5)
@@ -34,16 +56,29 @@ def op6_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_simhash_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminations(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_url_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = urlfilter.filter_urls(table(spark, sf_dir, "pages").select("page_id", "url"), urlfilter.rule_table(spark))
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op9_suffix_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixdedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
+def op10_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), width=4, percent=80)
+
+
 QUERIES = {
-    "op4_norm_bucket_topk": op4_norm_bucket_topk,
-    "op5_external_shuffle": op5_external_shuffle,
-    "op6_pareto_mix": op6_pareto_mix,
-    "op8_url_sweep": op8_url_sweep,
+    f.__name__: f
+    for f in (
+        op1_bradley_terry, op2_training_order, op3_string_kernel, op4_norm_bucket_topk, op5_external_shuffle, op6_pareto_mix,
+        op7_simhash_windows, op8_url_sweep, op9_suffix_merge, op10_superminhash,
+    )
 }
 
 ORACLE_SQL = {
