@@ -237,7 +237,7 @@ def _responses(spark, sf_dir):
 
 @query("""SELECT doc_id, CASE WHEN doc_id % 5 < 4 THEN CASE WHEN w <> '' AND contains(' ' || p || ' ', ' ' || w || ' ') THEN [split_part(posting, ' ', 1)] ELSE CAST([] AS VARCHAR[]) END END AS skills,
  CASE WHEN doc_id % 5 < 4 AND doc_id % 3 = 2 AND regexp_matches(posting, '(^|[^0-9])4\\.5($|[^0-9])') THEN 4.5 END AS years
- FROM (SELECT doc_id, posting, trim(regexp_replace(lower(split_part(posting, ' ', 1)), '[^a-z0-9]+', ' ', 'g')) AS w, trim(regexp_replace(lower(posting), '[^a-z0-9]+', ' ', 'g')) AS p FROM (SELECT doc_id, regexp_replace(text, '[^A-Za-z ]', '') AS posting FROM documents))""")
+ FROM (SELECT doc_id, posting, trim(regexp_replace(lower(split_part(posting, ' ', 1)), '[^a-z0-9]+', ' ', 'g')) AS w, trim(regexp_replace(lower(posting), '[^a-z0-9]+', ' ', 'g')) AS p FROM (SELECT doc_id, regexp_replace(text, '[^A-Za-z ]', '', 'g') AS posting FROM documents))""")
 def ground_facts(spark, sf_dir):
     v = _responses(spark, sf_dir).withColumn("f", facts.coerce_facts("response"))
     return v.select("doc_id", facts.ground_skills("f.skills", "posting").alias("skills"), facts.ground_experience("f.experience_min_years", "f.experience_label", "posting")["experience_min_years"].alias("years"))
@@ -456,7 +456,7 @@ def _links(spark, sf_dir):
     return li.select(F.col("l_orderkey").alias("job_id"), (F.col("l_suppkey") % 20).alias("source_id"), F.concat_ws("-", "l_orderkey", "l_linenumber").alias("source_job_id"), (F.col("l_linenumber") % 2).alias("missing_count"), (F.col("l_quantity") > 10).alias("active"))
 
 
-LINKS = """lk AS (SELECT l_orderkey AS job_id, l_suppkey % 20 AS source_id, l_orderkey || '-' || l_linenumber AS source_job_id, l_linenumber % 2 AS missing_count, l_quantity > 10 AS active, l_discount > 0.05 AS seen, l_suppkey % 20 < 10 AS crawled FROM lineitem WHERE l_linenumber <= 2),
+LINKS = """lk AS (SELECT l_orderkey AS job_id, l_suppkey % 20 AS source_id, l_orderkey || '-' || l_linenumber AS source_job_id, l_linenumber % 2 AS missing_count, l_quantity > 10 AS active, bool_or(l_discount > 0.05) OVER (PARTITION BY l_suppkey % 20, l_orderkey, l_linenumber) AS seen, l_suppkey % 20 < 10 AS crawled FROM lineitem WHERE l_linenumber <= 2),
 nl AS (SELECT job_id, source_id, source_job_id, CASE WHEN crawled AND seen THEN 0 WHEN crawled AND active THEN missing_count + 1 ELSE missing_count END AS missing_count, CASE WHEN crawled AND seen THEN TRUE WHEN crawled AND active THEN missing_count + 1 < 2 ELSE active END AS active FROM lk)"""
 
 
