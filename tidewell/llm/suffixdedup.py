@@ -7,6 +7,7 @@ not needed to sort all that can repeat:
 1. Each window has an anchor: the least hash of its ``GRAM``-byte grams. Equal windows have equal anchors. Consecutive windows of
    one anchor are a stretch, whose bytes have a hash. An anchor with one stretch in the corpus holds nothing that repeats.
    Stretches of equal bytes are copies: all but the first repeat as a whole, and only the first goes on ("pre-aggregation").
+   What stays open is cut once more by anchors of ``SECOND_GRAM`` bytes, which few windows beside a real repeat share.
 2. The windows of stretches that share an anchor but differ (where copies begin and end, mostly) are sorted: every task
    sorts a run, keeps the first of equal windows, front-codes the rest (length of the prefix shared with the window
    before, then the remaining bytes), and sends each range of the order to the task of that range. There the runs are merged by a
@@ -19,7 +20,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import partial
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -30,13 +31,13 @@ from .storage import written
 from .textarrays import mix64, slices
 
 LENGTH = 100
-GRAM = 32
+GRAM, SECOND_GRAM = 32, 80
 #: Windows of a stretch at most, of a run at most, and of a range of the merge (expected).
 STRETCH = 128
 RUN = 400_000
 RANGE = 200_000
-#: Documents (expected) and windows of each that are sampled for the bounds of the ranges.
-SAMPLE_DOCS, SAMPLE_WINDOWS = 4_000, 8
+#: Open pieces (expected) and windows of each that are sampled for the bounds of the ranges.
+SAMPLE_PIECES, SAMPLE_WINDOWS = 20_000, 2
 _CODE = mix64(np.arange(1001, 1257, dtype=np.uint64))
 _BASE = 0x9E3779B97F4A7C15
 _BACK = pow(_BASE, -1, 1 << 64)
@@ -51,13 +52,14 @@ def _powers(base: int, n: int) -> np.ndarray:
 _UP, _DOWN = _powers(_BASE, (1 << 20) + 1), _powers(_BACK, (1 << 20) + 1)
 
 
-def _gram_hashes(data: np.ndarray) -> np.ndarray:
-    """A hash of the GRAM bytes (a power of two) from each place, by doubling."""
+def _gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
+    """A hash of the ``gram`` bytes from each place, by doubling (the last step overlaps where that is no power of two)."""
     h, s = _CODE[data], 1
-    while s < GRAM:
-        tail = h[s:]
-        h = h[:-s] * np.uint64(0xD6E8FEB86659FD93) + (tail ^ (tail >> np.uint64(31)))
-        s *= 2
+    while s < gram:
+        step = min(s, gram - s)
+        tail = h[step:]
+        h = h[:-step] * np.uint64(0xD6E8FEB86659FD93) + (tail ^ (tail >> np.uint64(31)))
+        s += step
     return mix64(h)
 
 
@@ -69,14 +71,14 @@ def _sliding_min(h: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(h[: len(h) - (width - s)], h[width - s :]) if width > s else h
 
 
-def stretches(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, ...]:
+def stretches(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
     """(row, start in the row, windows, anchor, hash of the bytes, whether it may repeat itself) of each stretch of a slice."""
     n = len(data)
     none = np.zeros(0, dtype=np.int64)
     if n < length:
         return (none,) * 6
-    grams = length - GRAM + 1
-    hashes = _gram_hashes(data)
+    grams = length - gram + 1
+    hashes = _gram_hashes(data, gram)
     least = _sliding_min(hashes, grams)
     sizes = np.diff(offsets)
     row_of = np.repeat(np.arange(len(sizes)), np.maximum(sizes - length + 1, 0))
@@ -99,35 +101,69 @@ def stretches(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH) -> tu
     begins = np.minimum.reduceat(np.where(hashes[place] == anchor, place, n), opens)
     ends = np.maximum.reduceat(np.where(hashes[place + grams - 1] == anchor, place + grams - 1, -1), opens)
     up, down = (_UP, _DOWN) if n < len(_UP) else (_powers(_BASE, n + 1), _powers(_BACK, n + 1))
-    sums = np.concatenate([[0], np.cumsum(_CODE[data] * up[:n], dtype=np.uint64)]).astype(np.uint64)
+    sums = np.append(np.uint64(0), np.cumsum(_CODE[data] * up[:n], dtype=np.uint64))
     a = offsets[:-1][rows] + starts
     content = mix64((sums[a + counts + length - 1] - sums[a]) * down[a] + counts.astype(np.uint64))
     return rows, starts, counts, anchor[opens].view(np.int64), content.view(np.int64), begins < ends
 
 
-def _emit_stretches(length: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+_STRETCH_FIELDS = "anchor long, content long, doc_id long, base long, at long"
+
+
+def _emit_stretches(length: int, gram: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The stretches of pieces (doc_id, base: where the piece starts in the document, its bytes)."""
     for batch in batches:
-        ids = batch["doc_id"].to_numpy()
-        for lo, _, data, offsets in slices(batch["text"]):
-            rows, starts, counts, anchor, content, periodic = stretches(data, offsets, length)
+        ids, bases = batch["doc_id"].to_numpy(), batch["base"].to_numpy()
+        for lo, _, data, offsets in slices(batch["bytes"]):
+            rows, starts, counts, anchor, content, periodic = stretches(data, offsets, length, gram)
+            base = bases[lo + rows]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(anchor), pa.array(content), pa.array(ids[lo + rows]), pa.array(starts * 512 + periodic * 256 + counts)],
-                names=["anchor", "content", "doc_id", "at"],
+                [pa.array(anchor), pa.array(content), pa.array(ids[lo + rows]), pa.array(base), pa.array((base + starts) * 512 + periodic * 256 + counts)],
+                names=["anchor", "content", "doc_id", "base", "at"],
             )
 
 
-def _windows(row_bytes: bytes, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """(starts, windows as rows of bytes) of the packed stretches of one text."""
-    starts = np.unique(np.concatenate([np.arange(x // 256, x // 256 + x % 256) for x in at.tolist()]))
-    data = np.frombuffer(row_bytes, dtype=np.uint8)
-    return starts, np.lib.stride_tricks.sliding_window_view(data, length)[starts]
+def _pieces(length: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The bytes of each packed stretch of each text."""
+    for batch in batches:
+        ids, bases, parts = [], [], []
+        for doc, text, ats in zip(batch["doc_id"], batch["text"], batch["ats"], strict=True):
+            raw = text.as_py().encode()
+            for at in ats.as_py():
+                ids.append(doc.as_py())
+                bases.append(at // 256)
+                parts.append(raw[at // 256 : at // 256 + at % 256 + length - 1])
+                if len(parts) >= 20_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(bases, pa.int64()), pa.array(parts, pa.binary())], names=["doc_id", "base", "bytes"])
+                    ids, bases, parts = [], [], []
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(bases, pa.int64()), pa.array(parts, pa.binary())], names=["doc_id", "base", "bytes"])
+
+
+def marked_stretches(pieces: DataFrame, length: int, gram: int) -> DataFrame:
+    """(doc_id, base, at, copy): stretches that copy an earlier one, and such that are open: first of their bytes, but not alone
+    with their anchor, or periodic. All others hold nothing that repeats and are left out."""
+    found = pieces.mapInArrow(partial(_emit_stretches, length, gram), _STRETCH_FIELDS)
+    same_anchor = Window.partitionBy("anchor")
+    copies = Window.partitionBy("anchor", "content").orderBy("doc_id", F.expr("at div 512"))
+    return (
+        found.withColumns({"n": F.rank().over(copies), "lo": F.min("content").over(same_anchor), "hi": F.max("content").over(same_anchor)})
+        .where("n > 1 or lo <> hi or at % 512 >= 256")
+        .select("doc_id", "base", F.expr("at div 512 * 256 + at % 256").alias("at"), (F.col("n") > 1).alias("copy"))
+    )
+
+
+def _windows(piece: bytes, base: int, ats: list[int], length: int) -> tuple[np.ndarray, np.ndarray]:
+    """(starts in the document, windows as rows of bytes) of the packed stretches of one piece."""
+    starts = np.unique(np.concatenate([np.arange(x // 256, x // 256 + x % 256) for x in ats]))
+    data = np.frombuffer(piece, dtype=np.uint8)
+    return starts, np.lib.stride_tricks.sliding_window_view(data, length)[starts - base]
 
 
 def _sample(length: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = []
-        for text, at in zip(batch["text"], batch["ats"], strict=True):
-            starts, rows = _windows(text.as_py().encode(), np.array(at.as_py()), length)
+        for base, piece, ats in zip(batch["base"], batch["bytes"], batch["ats"], strict=True):
+            starts, rows = _windows(piece.as_py(), base.as_py(), ats.as_py(), length)
             step = max(1, len(starts) // SAMPLE_WINDOWS)
             out += [x.tobytes() for x in rows[::step][:SAMPLE_WINDOWS]]
         yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["w"])
@@ -175,8 +211,8 @@ def _runs(length: int, bounds: list[bytes], batches: Iterator[pa.RecordBatch]) -
 
     n = 0
     for batch in batches:
-        for doc, text, at in zip(batch["doc_id"], batch["text"], batch["ats"], strict=True):
-            starts, rows = _windows(text.as_py().encode(), np.array(at.as_py()), length)
+        for doc, base, piece, ats in zip(batch["doc_id"], batch["base"], batch["bytes"], batch["ats"], strict=True):
+            starts, rows = _windows(piece.as_py(), base.as_py(), ats.as_py(), length)
             held.append((np.full(len(starts), doc.as_py(), dtype=np.int64), starts.astype(np.int64), rows))
             n += len(starts)
             if n >= RUN:
@@ -336,32 +372,28 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, key: str = "doc_id", t
     empty result; other columns are not read.
     """
     texts = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    found = texts.mapInArrow(partial(_emit_stretches, length), "anchor long, content long, doc_id long, at long")
-    same_anchor = Window.partitionBy("anchor")
-    copies = Window.partitionBy("anchor", "content").orderBy("doc_id", "at")
-    marked = (
-        found.withColumns({"n": F.rank().over(copies), "lo": F.min("content").over(same_anchor), "hi": F.max("content").over(same_anchor)})
-        .where("n > 1 or lo <> hi or at % 512 >= 256")
-        .select("doc_id", F.expr("at div 512 * 256 + at % 256").alias("at"), (F.col("n") > 1).alias("copy"))
-    )
-    marked = written(marked, "repeats-stretches")
-    open_ = marked.where("not copy")
-    by_doc = written(open_.groupBy("doc_id").agg(F.collect_set("at").alias("ats"), F.sum(F.col("at") % 256).alias("n")), "repeats-open")
-    docs_open, windows = by_doc.agg(F.count("*"), F.sum("n")).first()
+    whole = texts.where("text is not null").select("doc_id", F.lit(0).cast("long").alias("base"), F.col("text").cast("binary").alias("bytes"))
+    marked = written(marked_stretches(whole, length, GRAM), "repeats-stretches")
     parts = [marked.where("copy").select("doc_id", "at")]
-    if docs_open:
-        few = by_doc.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * min(1.0, SAMPLE_DOCS / docs_open)) + 1)
-        sample = [bytes(r[0]) for r in texts.join(F.broadcast(few), "doc_id").select("text", "ats").mapInArrow(partial(_sample, length), "w binary").collect()]
-        sample.sort()
+    open_ = marked.where("not copy").groupBy("doc_id").agg(F.collect_set("at").alias("ats"))
+    pieces = written(texts.join(open_, "doc_id").select("doc_id", "text", "ats").mapInArrow(partial(_pieces, length), "doc_id long, base long, bytes binary").distinct(), "repeats-pieces")
+    again = written(marked_stretches(pieces, length, SECOND_GRAM), "repeats-stretches")
+    parts.append(again.where("copy").select("doc_id", "at"))
+    open_ = again.where("not copy").groupBy("doc_id", "base").agg(F.collect_set("at").alias("ats"), F.sum(F.col("at") % 256).alias("n"))
+    left = written(pieces.join(open_, ["doc_id", "base"]).select("doc_id", "base", "bytes", "ats", "n"), "repeats-open")
+    n_pieces, windows = left.agg(F.count("*"), F.sum("n")).first()
+    if n_pieces:
+        few = left.where(F.pmod(F.xxhash64("doc_id", "base"), F.lit(1_000_000)) < int(1_000_000 * min(1.0, SAMPLE_PIECES / n_pieces)) + 1)
+        sample = sorted(bytes(r[0]) for r in few.select("base", "bytes", "ats").mapInArrow(partial(_sample, length), "w binary").collect())
         n_ranges = max(1, min(-(-windows // RANGE), len(sample)))
         bounds = [sample[i * len(sample) // n_ranges] for i in range(1, n_ranges)]
-        runs = texts.join(by_doc, "doc_id").select("doc_id", "text", "ats").mapInArrow(partial(_runs, length, bounds), _RUN_FIELDS)
+        runs = left.select("doc_id", "base", "bytes", "ats").mapInArrow(partial(_runs, length, bounds), _RUN_FIELDS)
 
         def merge(table: pa.Table) -> pa.Table:
             return _merge(length, table)
 
         parts.append(runs.groupBy("part").applyInArrow(merge, "doc_id long, at long"))
-    every = parts[0] if len(parts) == 1 else parts[0].union(parts[1])
+    every = reduce(DataFrame.union, parts)
     cuts = written(every.groupBy("doc_id").agg(F.collect_list("at").alias("ats")), "repeats-cuts")
     both = texts.join(cuts, "doc_id", "left").select("doc_id", "text", "ats")
     if with_text:

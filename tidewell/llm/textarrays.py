@@ -45,7 +45,7 @@ _POWERS = _powers(4096)
 
 def slices(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, offsets from 0) of consecutive rows; a null text is an empty one."""
-    column = pc.fill_null(column.cast(pa.large_string()), "")
+    column = pc.fill_null(column.cast(pa.large_binary()), b"")
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     n = len(column)
