@@ -110,7 +110,7 @@ def _predict(model: KernelRidge | None, batches: Iterator[pa.RecordBatch]) -> It
         n = batch.num_rows
         langs, scores = [UNDETERMINED] * n, np.zeros(n)
         for lo in range(0, n if model else 0, _BATCH):
-            found = [presence(t.as_py() or "") for t in batch["text"].slice(lo, _BATCH)]
+            found = [presence(t.as_py() or "") for t in batch["_text"].slice(lo, _BATCH)]
             raw = model.scores(np.stack([f for f, _ in found]))
             top = raw.argmax(1)
             for i, (_, known) in enumerate(found):
@@ -126,6 +126,6 @@ def identify(docs: DataFrame, model: KernelRidge | None, keep: tuple[str, ...] =
     Null texts and texts without a letter (empty ones too), and all texts where there is no model, are ``und`` with
     score 0. Repeated rows stay; a tie of scores goes to the first language in order; memory is bounded by ``_BATCH`` texts.
     """
-    narrow = docs.select(*keep, F.col(text).alias("text"))
+    narrow = docs.select(*keep, F.col(text).alias("_text"))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in narrow.schema.fields[:-1])
     return narrow.mapInArrow(partial(_predict, model), f"{fields}, lang_pred string, score double")
