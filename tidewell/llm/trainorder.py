@@ -156,7 +156,7 @@ def write_shards(ordered: DataFrame, path: str, length: int = SEQUENCE) -> None:
     def join(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
         return _joined(length * _DTYPE.itemsize, key, rows)
 
-    blobs = ordered.groupBy("shard").applyInArrow(join, "shard long, stride int, n_sequences long, crc32 long, payload binary")
+    blobs = ordered.groupBy("shard").applyInArrow(join, "shard long, stride long, n_sequences long, crc32 long, payload binary")
     blobs.repartitionByRange("shard").sortWithinPartitions("shard").write.option("compression", "zstd").parquet(path)
 
 
