@@ -265,3 +265,25 @@ def test_stateful_freshness(spark, tmp_path):
         spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
     assert got["b"] == [(1, 0, True), (2, 1, True), (3, 2, False), (4, 0, True)]
     assert got["a"][-1] == (4, 1, True)
+
+
+def test_publishing_twice_changes_nothing(spark):
+    from tidewell.plans import publish
+
+    body = "python spark data engineer builds large pipelines for analytics teams every day with care"
+    job = lambda i, title, place, text: {"id": i, "title": title, "company_name": "Acme", "absolute_url": f"https://g/{i}", "content": text, "location": {"name": place}}
+    page = responses(spark, "greenhouse", {"jobs": [job(1, "Data Engineer", "Pune", body), job(2, "Data Engineer", "Pune", body + " too"), job(3, "Chef", "London", body), job(4, "Clerk", "Delhi, India", body)]})
+    env = envelopes.envelopes_greenhouse(page).withColumns({"source_id": F.lit("greenhouse/acme"), "id": F.col("source_job_id").cast("int")})
+    known = sources(spark, ("greenhouse", "acme", "Acme"))
+    none = [spark.createDataFrame([], ddl) for ddl in (publish.JOBS, publish.LINKS)]
+    history = raw.with_payload_hash(env).limit(0)
+    once = publish.crawl(env, history, known, *none, "2024-03-02 00:00:00")
+    jobs, links = once["jobs"].collect(), once["links"].collect()
+    assert sorted(r["title"] for r in jobs) == ["Clerk", "Data Engineer"] and len(links) == 3 and once["append"].count() == 4
+    assert {tuple(r) for r in once["counters"].collect()} == {("greenhouse/acme", 4, 4, 0, 1)}
+    twice = publish.crawl(env, once["append"], known, once["jobs"], once["links"], "2024-03-02 00:00:00")
+    assert sorted(map(tuple, twice["jobs"].collect())) == sorted(map(tuple, jobs)) and sorted(map(tuple, twice["links"].collect())) == sorted(map(tuple, links))
+    assert twice["append"].count() == 0
+    gone = publish.crawl(env.where("id = 4"), once["append"], known, once["jobs"], once["links"], "2024-03-03 00:00:00")
+    gone = publish.crawl(env.where("id = 4"), once["append"], known, gone["jobs"], gone["links"], "2024-03-04 00:00:00")
+    assert {r["title"]: r["status"] for r in gone["jobs"].collect()} == {"Clerk": "active", "Data Engineer": "expired"}

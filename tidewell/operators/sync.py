@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewell.functions import fixed
 from tidewell.functions.text import job_location
+from tidewell.tables import written
 
 from .serve import published
 
@@ -68,8 +69,9 @@ def batches(rows: DataFrame, size: int = fixed.BATCH_ROWS) -> DataFrame:
     """``rows`` with ``batch_no`` (from 1) and ``pos`` in posting order.
 
     Rows are numbered inside ranges of the order and shifted by the rows of the ranges before, so that no task sees all rows.
+    The ranges are written first: drawn anew, their bounds could differ between the two uses.
     """
-    ranged = rows.repartitionByRange(*_order()).withColumn("_range", F.spark_partition_id())
+    ranged = written(rows.repartitionByRange(*_order()).withColumn("_range", F.spark_partition_id()), "batch-ranges")
     within = Window.partitionBy("_range").orderBy(*_order())
     numbered = ranged.withColumn("_n", F.row_number().over(within))
     counts = numbered.groupBy("_range").agg(F.count("*").alias("_c"))

@@ -706,3 +706,50 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(None).cast("timestamp").alias("posted_at"), "description",
     )
     return serve.search_jobs(jobs).select("id", "title", "company", "location", "relevance")
+
+
+@query("SELECT id, source_type, external_key, name, company_name, enabled FROM sources_v ORDER BY source_type, external_key", "sources_v")
+def source_list(spark, sf_dir):
+    return serve.list_sources(view(spark, sf_dir, "sources_v")).select("id", "source_type", "external_key", "name", "company_name", "enabled")
+
+
+@query("SELECT run_id, source_id, started_at, finished_at, status, fetched_count, inserted_count, updated_count, rejected_count, error_text FROM runs_v", "runs_v")
+def run_list(spark, sf_dir):
+    return serve.run_summary(view(spark, sf_dir, "runs_v"))
+
+
+@query("SELECT source_type, external_key FROM sources_v WHERE id % 3 <> 0", "sources_v")
+def unsaved_boards(spark, sf_dir):
+    s = view(spark, sf_dir, "sources_v")
+    return raw.candidates_not_saved(s.select("source_type", "external_key"), s.where("id % 3 = 0"))
+
+
+PROBE = """+ e AS (SELECT 'lever' AS source_type, source AS k, CASE WHEN source = 'src3' THEN 'https://else/1' ELSE 'https://jobs.lever.co/' || source || '/' || doc_id END AS u, doc_id % 2 = 0 AS pub FROM documents)
+SELECT source_type, k AS external_key, k AS name, count(*) AS job_count, count(*) FILTER (pub) AS published_count FROM e GROUP BY 1, 2 HAVING bool_and(starts_with(u, 'https://jobs.lever.co/' || k || '/'))"""
+
+
+@query("WITH " + PROBE.lstrip("+ "))
+def board_probe(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    url = F.when(F.col("source") == "src3", "https://else/1").otherwise(F.concat(F.lit("https://jobs.lever.co/"), "source", F.lit("/"), "doc_id"))
+    env = d.select(F.lit("lever").alias("source_type"), F.col("source").alias("source_external_key"), url.alias("source_url"), F.lit(None).cast("string").alias("payload_company"), F.when(F.col("doc_id") % 2 == 0, "india").otherwise("unknown").alias("relevance"))
+    boards = d.select(F.lit("lever").alias("source_type"), F.col("source").alias("external_key"), F.col("source").alias("name"), F.col("source").alias("company_name")).distinct()
+    return serve.board_probe(boards, env.withColumnRenamed("source_external_key", "external_key"), raw.source_rejections(boards, env))
+
+
+@query("SELECT status, count(*) AS n FROM (SELECT CASE o_orderstatus WHEN 'F' THEN 'expired' ELSE 'active' END AS status FROM orders) GROUP BY 1")
+def status_counts(spark, sf_dir):
+    wide = serve.count_by_status(view(spark, sf_dir, "jobs_v"))
+    return wide.select(F.inline(F.array(F.struct(F.lit("active").alias("status"), F.col("active").alias("n")), F.struct(F.lit("expired").alias("status"), F.col("expired").alias("n")))))
+
+
+@query()
+def published_batch(spark, sf_dir):
+    """Board responses through normalising, relevance, resolution and publishing, from empty tables: the jobs they make."""
+    from .publish import JOBS, LINKS, publish
+
+    e = _all_envelopes(spark, sf_dir)
+    sources = e.select("source_type", "source_external_key", F.col("source_external_key").alias("company_name")).distinct()
+    good, _ = normalize.normalize_with_quarantine(e, sources)
+    out = publish(good, spark.createDataFrame([], JOBS), spark.createDataFrame([], LINKS))
+    return out["jobs"].select("job_id", "title", "company_name", "location", "relevance", "status")
