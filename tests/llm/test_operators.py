@@ -271,12 +271,12 @@ def test_languages_are_told_apart(spark):
     vocab = {"xx": brute.by_first_words(200, 1), "yy": ["".join(reversed(w)) + "qz" for w in brute.by_first_words(200, 2)]}
     r = random.Random(5)
     data = [(i, " ".join(r.choices(vocab[k], k=30)), k, "s", 0) for i, k in enumerate(["xx", "yy"] * 60)]
-    data += [(900, None, "xx", "s", 0), (901, "", "xx", "s", 0), (902, "12 !! \n", "yy", "s", 0), (903, "é", None, "s", 0), (904, LONG, None, "s", 0)]
+    data += [(900, None, "xx", "s", 0), (901, "", "xx", "s", 0), (902, "12 !! \n", "yy", "s", 0), (905, "\U0001f600 7", "yy", "s", 0), (903, "é", None, "s", 0), (904, LONG, None, "s", 0)]
     df = spark.createDataFrame(data, brute.DOCS).withColumn("lang_pred", F.lit("clash"))
     model = langid.fit(df.where("doc_id % 2 = 0 or doc_id < 80"))
     out = {x["doc_id"]: x for x in langid.identify(df, model).collect()}
     assert np.mean([out[i]["lang_pred"] == k for i, _, k, _, _ in data[:120]]) > 0.95
-    assert [out[i]["lang_pred"] for i in (900, 901, 902)] == ["und"] * 3 and out[903]["lang_pred"] in vocab and out[904]["lang_pred"] in vocab
+    assert [out[i]["lang_pred"] for i in (900, 901, 902, 905)] == ["und"] * 4 and out[903]["lang_pred"] in vocab and out[904]["lang_pred"] in vocab
     assert all(0 <= x["score"] <= 1 for x in out.values())
     assert {x["lang_pred"] for x in langid.identify(df, langid.fit(df.limit(0))).collect()} == {"und"}
     assert langid.identify(df.limit(0), model).count() == 0

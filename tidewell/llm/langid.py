@@ -40,7 +40,11 @@ _LETTER = _letters()
 def presence(text: str) -> tuple[np.ndarray, bool]:
     """(flags of the n-gram buckets that occur in the whole text, whether it has a letter)."""
     codes = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    letter = np.where(codes < 65536, _LETTER[np.minimum(codes, 65535)], codes < 0xE0000)
+    letter = _LETTER[np.minimum(codes, 65535)]
+    beyond = codes > 65535
+    if beyond.any():
+        kinds, which = np.unique(codes[beyond], return_inverse=True)
+        letter[beyond] = np.array([unicodedata.category(chr(c))[0] == "L" for c in kinds.tolist()])[which]
     flags = np.zeros(BUCKETS, dtype=bool)
     if not letter.any():
         return flags, False
