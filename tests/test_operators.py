@@ -34,7 +34,7 @@ def test_boards_to_candidates(spark):
     assert got["1"]["locations_raw"] == ["Pune", "Delhi"] and got["1"]["description_text"] == "Hi & you" and got["1"]["apply_url"] == "https://g/1"
     assert got["l1"]["locations_raw"] == ["Goa", "Pune", "Pune"] and got["l1"]["description_text"] == "x" and got["l1"]["posted_at"].year == 2023
     assert got["a1"]["locations_raw"] == ["Pune", "Goa"] and got["a1"]["employment_type"] is None
-    assert {(r["source_job_id"], r["processing_error"]) for r in bad.collect()} == {("2", "missing title"), ("C1", "missing company_name"), ("1", "no connector")} or bad.count() == 3
+    assert {(r["source_job_id"], r["processing_error"]) for r in bad.collect()} == {("2", "missing title"), ("C1", "missing company_name"), ("1", "no connector")}
     place = normalize.normalize_workable(rows[3], sources(spark, ("workable", "acme", "Acme"))).first()
     assert place["locations_raw"] == ["Pune, MH, India"] and place["apply_url"] == "https://w/1"
     schemas.assert_contract(good.select(*schemas.CANDIDATE_COLUMNS), schemas.CANDIDATE)
@@ -178,7 +178,7 @@ def test_structuring_chain(spark):
 
     key = lambda i: jobs.where(f"job_id = {i}").select(text.cache_key(structure.TASK_STRUCTURE, fixed.STRUCTURE_VERSION, text.structure_hash("title_original", structure.posting_text("description_text", "description_html"), "city", "canonical_apply_url")).alias("cache_key"))
     answers = key(1).withColumn("response", F.lit('{"summary": "<b>S</b>", "skills": ["Python", "COBOL"], "work_mode": "remote", "experience_min_years": 5, "experience_label": "5 years", "description_text": "rest of it"}')).unionByName(key(4).withColumn("response", F.lit("nope")))
-    out = structure.structure_postings(jobs, answers).localCheckpoint() if False else structure.structure_postings(jobs, answers)
+    out = structure.structure_postings(jobs, answers)
     got = {r["job_id"]: r for r in out.collect()}
     assert {i: r["outcome"] for i, r in got.items()} == {1: "ready", 2: "failed", 3: "pending", 4: "failed"}
     p = got[1]["payload"]
