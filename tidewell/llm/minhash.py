@@ -6,8 +6,10 @@ correlated, which lowers the variance, and once no place holds more than j + 1,
 the loop stops early, after one or two steps for a text of ordinary length.
 
 Texts with equal shingle sets are one class; only classes are banded. In a bucket the least class is the pivot and
-each other member is verified against it, on full sets. Members that are still apart after that are verified pair by
-pair; so no link between classes that share a bucket is left out, and no bucket is expanded into pairs as such.
+each other member is verified against it, on full sets. For members that are still apart after that, the number of shingles
+that each shares with any of them bounds its similarity to every one of them. Those that these bounds leave open are
+grouped by the buckets they share, and a group is verified block by block: a task holds two blocks of texts and counts all
+intersections by one matrix product. No link between classes that share a bucket is left out, and no pairs are written but links.
 """
 
 from __future__ import annotations
@@ -31,6 +33,8 @@ BANDS, ROWS = 32, 4
 PLACES = BANDS * ROWS
 #: Partners of one pivot that a task verifies at a time.
 CELL = 500
+#: Texts of a block of the second round, and shingles of a slab of its matrix product.
+BLOCK, _COLUMNS = 256, 1 << 14
 _CHUNK = 1 << 16
 
 
@@ -134,6 +138,71 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Da
     return pivots.groupBy("p", "c").cogroup(others.groupBy("u", "cell")).applyInArrow(verify, "u long, v long")
 
 
+def _codes(width: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        ids = batch["rep"].to_numpy()
+        for lo, sets in shingle_sets(batch["text"], width):
+            rows = np.repeat(ids[lo : lo + len(sets)], [len(s) for s in sets])
+            yield pa.RecordBatch.from_arrays([pa.array(rows), pa.array(np.concatenate(sets).view(np.int64))], names=["rep", "code"])
+
+
+def shared_shingles(reps: DataFrame, texts: DataFrame, width: int) -> DataFrame:
+    """(rep, common): how many of a text's shingles some other text of ``reps`` has too, summed by shingle and never paired."""
+    codes = texts.join(reps, texts.doc_id == reps.rep).select("rep", "text").mapInArrow(partial(_codes, width), "rep long, code long")
+    holders = codes.groupBy("code").agg(F.min("rep").alias("rep"), F.max("rep").alias("last"))
+    alone = holders.where("rep = last").groupBy("rep").agg(F.count("*").alias("alone"))
+    sizes = codes.groupBy("rep").agg(F.count("*").alias("size"))
+    return sizes.join(alone, "rep", "left").select("rep", (F.col("size") - F.coalesce("alone", F.lit(0))).alias("common"))
+
+
+def _block_links(width: int, percent: int, key: tuple, rows: pa.Table) -> pa.Table:
+    """Links between the texts of two blocks (or within one) that are in different groups yet."""
+    rows = rows.combine_chunks()
+    ids, group, block = (rows[c].to_numpy() for c in ("rep", "g", "block"))
+    sets = [s for _, part in shingle_sets(rows["text"], width) for s in part]
+    sizes = np.array([len(s) for s in sets])
+    row = np.repeat(np.arange(len(sets)), sizes)
+    _, column, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    both = np.zeros((len(sets), len(sets)), dtype=np.float32)
+    shared = often > 1
+    place = np.cumsum(shared) - 1
+    kept = shared[column]
+    row, column = row[kept], place[column[kept]]
+    for lo in range(0, int(shared.sum()), _COLUMNS):  # a slab of shingles at a time
+        here = (column >= lo) & (column < lo + _COLUMNS)
+        slab = np.zeros((len(sets), _COLUMNS), dtype=np.float32)
+        slab[row[here], column[here] - lo] = 1
+        both += slab @ slab.T
+    whole = sizes[:, None] + sizes[None, :] - both
+    near = np.triu(100 * both >= percent * whole, 1) & (group[:, None] != group[None, :])
+    i, j = key[1].as_py(), key[2].as_py()
+    if i != j:
+        near &= block[:, None] != block[None, :]
+    a, b = np.nonzero(near)
+    return pa.table({"u": pa.array(ids[a]), "v": pa.array(ids[b])})
+
+
+def block_links(open_: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """(u, v): links among open classes (bucket, rep, g) of which some bucket holds both.
+
+    Groups are the components of sharing a bucket. A group is dealt into blocks of about ``BLOCK`` texts, and each two blocks
+    meet in one task; a text goes out once a block of its group, and tasks are bounded however large the group is.
+    """
+    first = open_.groupBy("bucket").agg(F.min("rep").alias("v"))
+    ties = open_.join(first, "bucket").where("rep <> v").select(F.col("rep").alias("u"), "v").distinct()
+    member = written(connected_components(ties), "minhash-open-groups").withColumnsRenamed({"node": "rep", "component": "group"})
+    blocks = member.groupBy("group").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    rows = member.join(blocks, "group").join(open_.select("rep", "g").distinct(), "rep").join(texts, F.col("rep") == texts.doc_id)
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cells = rows.select("group", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "rep", "g", "block", "text")
+
+    def links(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        return _block_links(width, percent, key, table)
+
+    return cells.groupBy("group", "i", "j").applyInArrow(links, "u long, v long")
+
+
 def near_duplicates(
     docs: DataFrame, width: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text"
 ) -> DataFrame:
@@ -159,7 +228,10 @@ def near_duplicates(
         .where("most > pivot").drop("most")
     )
     shared = written(shared, "minhash-buckets")
+    # the classes that share a bucket grow with the corpus: both sides are shuffled, once, and later joins read this table
     texts = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    named = shared.select(F.col("rep").alias("doc_id")).distinct().hint("merge")
+    texts = written(texts.join(named, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "minhash-texts")
     near = lambda a, b: 100 * F.least(a, b) >= percent * F.greatest(a, b)
     first = shared.where((F.col("rep") != F.col("pivot")) & near(F.col("n"), F.col("pivot_n"))).select(
         F.col("pivot").alias("u"), F.col("rep").alias("v")
@@ -171,17 +243,14 @@ def near_duplicates(
     named = shared.join(groups.withColumnRenamed("node", "rep"), "rep", "left").withColumn("g", label).drop("component")
     mixed = named.withColumns({"lo": F.min("g").over(bucket), "hi": F.max("g").over(bucket)}).where("lo < hi").select("bucket", "rep", "n", "g", "pivot")
     mixed = written(mixed, "minhash-mixed")
-    a, b = mixed.alias("a"), mixed.alias("b")
-    second = a.join(
-        b,
-        (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.rep") < F.col("b.rep")) & (F.col("a.g") != F.col("b.g"))
-        & (F.col("a.rep") != F.col("a.pivot")) & near(F.col("a.n"), F.col("b.n")),
-    ).select(F.col("a.rep").alias("u"), F.col("b.rep").alias("v")).distinct()
-    second = written(second, "minhash-second")
-    if not second.isEmpty():
-        more = written(verified(second, texts, width, percent), "minhash-links")
-        if not more.isEmpty():
-            groups = written(connected_components(links.union(more)), "minhash-groups")
+    mixed = mixed.join(written(shared_shingles(mixed.select("rep").distinct(), texts, width), "minhash-shared"), "rep")
+    # x and y share at most what either shares with anyone, so y may have at most ``limit`` shingles (and x at most y's limit)
+    mixed = mixed.withColumn("limit", F.floor(F.col("common") * (100 + percent) / percent) - F.col("n")).where(F.col("common") * 100 >= F.col("n") * percent)
+    mixed = mixed.withColumns({"least": F.min("n").over(bucket), "most": F.max("limit").over(bucket)}).where("limit >= least and n <= most")
+    mixed = written(mixed.drop("least", "most"), "minhash-open")
+    more = written(block_links(mixed, texts, width, percent), "minhash-links")
+    if not more.isEmpty():
+        groups = written(connected_components(links.union(more)), "minhash-groups")
     member = full.select("doc_id", "n_shingles", "class_key").join(classes, "class_key").select("doc_id", "n_shingles", "rep")
     member = member.join(groups.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
     alone = signed.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
