@@ -1,9 +1,7 @@
 import random
 
-from pyspark.sql import functions as F
-
 import corpus_pipeline
-from tidewell.llm import minhash, mixing, quality, shuffle
+from tidewell.llm import mixing, quality
 
 from . import brute
 
@@ -47,5 +45,8 @@ def test_pipeline_equals_plain_stages(spark, tmp_path):
 
 
 def test_stages_keep_the_columns(spark):
-    assert [n for n, _ in corpus_pipeline.STAGES][0] == "quality classifier" and len(corpus_pipeline.STAGES) == 5
-    assert shuffle.record_size and minhash.BANDS * minhash.ROWS == minhash.PLACES and F
+    docs = spark.createDataFrame([(i, f"some words of text {i} " * 9, "en", f"s{i % 2}", 1) for i in range(20)], brute.DOCS)
+    stages = dict(corpus_pipeline.STAGES)
+    assert list(stages) == ["quality classifier", "MinHash near-dedup", "benchmark decontamination", "mixing sources to target weights", "sharding"]
+    for name in ("MinHash near-dedup", "mixing sources to target weights"):
+        assert stages[name](spark, docs, "").columns == docs.columns
