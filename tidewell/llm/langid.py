@@ -24,6 +24,8 @@ ORDERS = (1, 2, 3, 4)
 TEXTS_A_LANGUAGE = 300
 LANDMARKS = 200
 RIDGE = 1e-2
+#: With up to so many languages their table is small and may be broadcast, so that no text is shuffled by its language.
+MAX_LANGUAGES = 10_000
 UNDETERMINED = "und"
 _BATCH = 256
 
@@ -100,8 +102,10 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
     known = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
     share = known.groupBy(lang).agg(F.count("*").alias("_n")).withColumn("_share", F.least(F.lit(1.0), texts_a_language / F.col("_n")))
     rank = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(key)), 11).cast("double")) / float(1 << 53)
+    share = share.select(F.col(lang).alias("lang"), "_share")
+    few = F.broadcast if share.count() <= MAX_LANGUAGES else (lambda df: df)
     sample = known.select(F.col(text).alias("text"), F.col(lang).alias("lang"), rank.alias("_rank"))
-    sample = sample.join(share.withColumnRenamed(lang, "lang"), "lang").where("_rank < _share").select("text", "lang")
+    sample = sample.join(few(share), "lang").where("_rank < _share").select("text", "lang")
     rows = sample.mapInArrow(_packed, "lang string, bits binary").toPandas().sort_values(["lang", "bits"])
     if not len(rows):
         return None
