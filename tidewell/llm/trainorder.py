@@ -30,6 +30,8 @@ ROUNDS = 4
 #: Byte vocabulary: the 256 byte values, end of text, padding.
 END, PAD = 256, 257
 _DTYPE = np.dtype("<u2")
+#: Sequences are packed between the steps; a shard holds them plain.
+_CODEC = pa.Codec("zstd", 1)
 
 
 def byte_tokens(text: str) -> np.ndarray:
@@ -64,9 +66,8 @@ def feistel(x: F.Column, half: int, key: int = KEY, rounds: int = ROUNDS) -> F.C
 def with_slots(numbered: DataFrame, n: int, key: int = KEY) -> DataFrame:
     """``numbered`` (``number`` from 0 to n - 1) with ``slot``: the permutation, by cycle-walking.
 
-    The domain has less than four times n values, so a walk takes four steps on average; the steps run inside an
-    expression that stops once the value is below n, and 64 unfinished ones (a chance below 1e-8 a value) go on in a join-free
-    second expression of the same kind.
+    The domain has at most four times n values, so a walk takes four steps at most on average. The walk is a fold over 256 steps
+    that keeps a value once it is below n; a longer one has a chance of 1e-32.
     """
     half = max(1, ((n - 1).bit_length() + 1) // 2)
     walk = lambda s, _: F.when(s < n, s).otherwise(feistel(s, half, key))
@@ -98,13 +99,22 @@ def _sequences(length: int, tokenise: Callable[[str], np.ndarray], end: int, pad
                 ids.append(doc.as_py())
                 parts.append(part)
                 fills.append(len(piece))
-                rows.append(np.concatenate([piece, np.full(length - len(piece), pad, dtype=_DTYPE)]).tobytes())
+                whole = np.concatenate([piece, np.full(length - len(piece), pad, dtype=_DTYPE)])
+                rows.append(_CODEC.compress(whole.tobytes(), asbytes=True))
                 if len(rows) >= 1000:
                     yield flush()
     if rows:
         yield flush()
 
 
+def _unpacked(stride: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for lo in range(0, batch.num_rows, 1000):
+            part = batch.slice(lo, 1000)
+            rows = [_CODEC.decompress(x.as_buffer(), stride, asbytes=True) for x in part["tokens"]]
+            yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(rows, pa.binary())], names=part.schema.names)
+
+
 def training_order(
     docs: DataFrame, length: int = SEQUENCE, shard_sequences: int = SHARD_SEQUENCES, key: int = KEY, tokenise: Callable[[str], np.ndarray] = byte_tokens,
     end: int = END, pad: int = PAD, id_col: str = "doc_id", text: str = "text",
@@ -130,14 +140,15 @@ def training_order(
     else:
         slotted = with_slots(numbered, total, key)
     stride = length * _DTYPE.itemsize
-    return (
+    ordered = (
         slotted.repartitionByRange("slot")
         .sortWithinPartitions("slot")
         .select(
             "slot", F.floor(F.col("slot") / shard_sequences).cast("long").alias("shard"),
-            ((F.col("slot") % shard_sequences) * stride).alias("offset"), "doc_id", "part", "n_tokens", "tokens",
+            ((F.col("slot") % shard_sequences) * stride).cast("long").alias("offset"), "doc_id", "part", "n_tokens", "tokens",
         )
     )
+    return ordered.mapInArrow(partial(_unpacked, stride), "slot long, shard long, offset long, doc_id long, part int, n_tokens int, tokens binary")
 
 
 def _joined(stride: int, key: tuple, rows: pa.Table) -> pa.Table:
