@@ -30,7 +30,7 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no benchmark item was found."""
-    found = decontaminate.contaminations(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
+    found = decontaminate.contaminations(docs, table(spark, sf_dir, "benchmark"), short=True).select("doc_id").distinct()
     return docs.join(written(found, "contaminated"), "doc_id", "left_anti").select(*docs.columns)
 
 

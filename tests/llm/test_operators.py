@@ -99,6 +99,27 @@ def test_contaminations_equal_brute_force(spark):
     assert decontaminate.contaminations(d.limit(0), b).count() == 0
 
 
+def test_contaminations_at_edges_and_out_of_line(spark):
+    w = brute.by_first_words(500, 5)
+    n, o = w[:38], w[100:160]
+    items = {1: " ".join(n), 2: " ".join(o)}
+    bodies = [
+        w[200:250] + n[:37], w[200:250] + n[:36], n[1:] + w[200:250], n[2:] + w[200:250], n[:2] + n[3:] + w[200:250], w[200:250] + n[:35] + n[36:],
+        w[200:250] + o[1:30] + ["x", "y"] + o[30:59] + w[250:260], w[200:250] + o[30:] + o[:30] + w[250:260], w[200:250] + n[4:30] + w[250:300],
+    ]
+    docs = {i: " ".join(b) for i, b in enumerate(bodies)}
+    b = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    found = lambda rows, **k: {(x["doc_id"], x["item_id"]): x["similarity"] for x in decontaminate.contaminations(frame(spark, rows), b, **k).collect()}
+    want = brute.contaminations(docs, items)
+    assert {d for d, _ in want} == set(range(8))
+    assert found([(i, t, "a") for i, t in docs.items()]) == pytest.approx(want)
+    # rows of one id, null among them, each in its own text; documents shorter than the item only if asked for
+    rows = [(None, docs[8], "a"), (None, docs[0], "a"), (None, docs[0], "a"), (20, docs[1], "a"), (20, docs[8], "a"), (21, " ".join(n[:37]), "a"), (22, " ".join(n[:30]), "a"), (23, " ".join(n[:4]), "a")]
+    long = {(None, 1): want[0, 1], (20, 1): want[1, 1]}
+    assert found(rows) == pytest.approx(long)
+    assert found(rows, short=True) == pytest.approx(long | {(21, 1): 33 / 34})
+
+
 def test_blocks_cover_the_fingerprint():
     edges = decontaminate.block_edges(19)
     assert len(edges) == 20 and sum(n for _, n in edges) == 64 and all(n > 0 for _, n in edges)

@@ -1,9 +1,10 @@
 """Benchmark decontamination by SimHash of item-sized windows, in DataFrame operations only.
 
 An item of n words is compared with windows of n words of a document. Texts are lower-cased (A-Z) words between ASCII
-white space; their shingles are runs of five words (an item of fewer words: all of them). A window that shares no shingle with an
-item has similarity 0 with it, so windows are laid where a document's shingle meets an item's, the shingle at the
-same place in both. Every such window gets a 64-bit SimHash of its shingles. The fingerprint is cut into RADIUS + 1
+white space; their shingles are runs of five words (an item of fewer words: all of them). A window can reach the similarity
+only if enough of its shingles are those of items of its size, whatever their order, and the first of the best windows begins
+with the document or ends with such a shingle (else the window one word before it is as good): windows are laid at those
+places, at the edges of a document too. Every such window gets a 64-bit SimHash of its shingles. The fingerprint is cut into RADIUS + 1
 blocks: two fingerprints within RADIUS bits agree in one block at least, so equality of a block finds every item of the
 window's size within the radius. These are verified by the exact weighted similarity: the sum of the lesser over the sum
 of the greater multiplicities of all shingles of either side.
@@ -79,58 +80,70 @@ def item_table(items: DataFrame, item: str = "item_id", text: str = "text", widt
 
 def contaminations(
     docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text",
-    width: int = WIDTH, radius: int = RADIUS, min_similarity: float = MIN_SIMILARITY,
+    width: int = WIDTH, radius: int = RADIUS, min_similarity: float = MIN_SIMILARITY, short: bool = False,
 ) -> DataFrame:
     """(doc_id, item_id, start_word, n_words, hamming, similarity): the best window of each document for each item it holds.
 
-    Null, empty and blank texts and items match nothing. Repeated items match each by itself, repeated documents count as one
-    by their id; ties between windows go to the first; a document shorter than an item has no window of its size. An empty
-    table on either side gives an empty result, and other columns are not read.
+    Null, empty and blank texts and items match nothing. Repeated items match each by itself; rows of one id (null is an id too)
+    are searched each in its own text and the best window of all is given; ties between windows go to the first. A document
+    shorter than an item has no window of its size; with ``short`` it is one window by itself (``n_words`` is then its own size).
+    An empty table on either side gives an empty result, and other columns are not read.
     """
     known = written(item_table(items, item, item_text, width, radius), "benchmark-items")
     widths = [r[0] for r in known.select("width").distinct().collect()]  # 1 to ``width`` numbers
     small = known.count() <= BROADCAST_ITEMS
     hint = F.broadcast if small else (lambda df: df)
-    codes = known.select("item_id", "n_words", "width", F.posexplode("codes").alias("at", "code"))
-    # places of an item's shingles, one row a code and offset, whatever the number of items that have it there
-    marks = codes.select("width", "code", "at", "n_words").distinct()
-    split = docs.select(F.col(key).alias("doc_id"), words(text).alias("w"))
+    codes = known.select("n_words", "width", F.explode("codes").alias("code"))
+    # sizes of the items that have a shingle, one row each, whatever the number of items that have it there
+    marks = codes.distinct()
+    # rows of one id are told apart by their text
+    named = docs.select(F.col(key).alias("doc_id"), F.xxhash64(text).alias("body"), F.col(text).alias("text"))
+    split = named.select("doc_id", "body", words("text").alias("w"))
     found = [
-        split.select("doc_id", F.size("w").alias("size"), F.posexplode(shingles("w", k)).alias("pos", "code"))
-        .join(hint(marks.where(F.col("width") == k).select("code", "at", F.col("n_words").alias("n"))), "code")
-        .select("doc_id", (F.col("pos") - F.col("at")).alias("start"), "n", F.lit(k).alias("width"), "size")
+        split.select("doc_id", "body", F.size("w").alias("size"), F.posexplode(shingles("w", k)).alias("pos", "code"))
+        .join(hint(marks.where(F.col("width") == k).select("code", F.col("n_words").alias("n"))), "code")
+        .select("doc_id", "body", "pos", "n", F.lit(k).alias("width"), "size")
         for k in widths
     ]
     if not found:
         return split.select("doc_id", F.lit(None).cast(known.schema["item_id"].dataType).alias("item_id"), F.lit(0).alias("start_word"), F.lit(0).alias("n_words"), F.lit(0).alias("hamming"), F.lit(0.0).alias("similarity")).limit(0)
-    windows = reduce(DataFrame.unionByName, found).where((F.col("start") >= 0) & (F.col("start") + F.col("n") <= F.col("size"))).drop("size").distinct()
+    hits = reduce(DataFrame.unionByName, found)
+    hits = hits if short else hits.where("size >= n")
+    hits = hits.groupBy("doc_id", "body", "n", "width", "size").agg(F.sort_array(F.collect_set("pos")).alias("p"))
+    # both / (a + b - both) >= s needs both >= s * (a + b) / (1 + s); a window has at most ``_own`` shingles
+    need = F.ceil(min_similarity * (F.col("n") - F.col("width") + 1 + F.col("_own")) / (1 + min_similarity) - 1e-9)
+    hits = hits.withColumn("_own", F.least("n", "size") - F.col("width") + 1).withColumn("_need", F.greatest(F.lit(1), need).cast("int"))
+    ends = "filter(sequence(_need - 1, size(p) - 1), j -> get(p, j - _need + 1) > get(p, j) - _own)"
+    starts = F.expr(f"array_distinct(transform({ends}, j -> greatest(0, get(p, j) - _own + 1)))")
+    windows = hits.where("_need <= _own and size(p) >= _need").select("doc_id", "body", F.explode(starts).alias("start"), "n", "width")
     windows = written(windows, "benchmark-windows")
-    # the windows of a document in one row beside its text: the words are cut once more, for those documents only
-    per_doc = windows.groupBy("doc_id").agg(F.collect_set(F.struct("start", "n", "width")).alias("ws"))
-    texts = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).join(per_doc, "doc_id").select("doc_id", words("text").alias("w"), "ws")
+    # the windows of a text in one row beside it: the words are cut once more, for those texts only
+    per_doc = windows.groupBy("doc_id", "body").agg(F.collect_set(F.struct("start", "n", "width")).alias("ws")).withColumnsRenamed({"doc_id": "_doc", "body": "_body"})
+    texts = named.join(per_doc, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("body") == F.col("_body")))
+    texts = texts.select("doc_id", "body", words("text").alias("w"), "ws")
     cut = reduce(
         DataFrame.unionByName,
         [
-            texts.select("doc_id", F.expr(f"filter(ws, x -> x.width = {k})").alias("ws"), shingles("w", k).alias("codes"))
-            .select("doc_id", F.explode("ws").alias("x"), "codes")
-            .select("doc_id", F.col("x.start").alias("start"), F.col("x.n").alias("n"), F.lit(k).alias("width"), F.slice("codes", F.col("x.start") + 1, F.col("x.n") - k + 1).alias("codes"))
+            texts.select("doc_id", "body", F.size("w").alias("size"), F.expr(f"filter(ws, x -> x.width = {k})").alias("ws"), shingles("w", k).alias("codes"))
+            .select("doc_id", "body", "size", F.explode("ws").alias("x"), "codes")
+            .select("doc_id", "body", F.col("x.start").alias("start"), F.col("x.n").alias("n"), F.least("x.n", "size").alias("own"), F.slice("codes", F.col("x.start") + 1, F.col("x.n") - k + 1).alias("codes"))
             for k in widths
         ],
     )
     prints = cut.withColumn("fingerprint", simhash(F.col("codes")))
-    prints = written(prints.withColumn("id", F.xxhash64("doc_id", "start", "n")), "benchmark-prints")
+    prints = written(prints.withColumn("id", F.xxhash64("doc_id", "body", "start", "n")), "benchmark-prints")
     probe = prints.select("id", "n", "fingerprint", F.inline(blocks("fingerprint", radius)))
     index = known.select("item_id", F.col("n_words").alias("n"), F.col("fingerprint").alias("item_print"), F.inline(blocks("fingerprint", radius)))
     near = probe.join(hint(index), ["n", "block", "value"]).withColumn("hamming", F.bit_count(F.col("fingerprint").bitwiseXOR(F.col("item_print"))))
     near = near.where(F.col("hamming") <= radius).select("id", "item_id", "n", "hamming").distinct()
-    sides = near.join(prints.select("id", "doc_id", "start", F.col("codes").alias("a")), "id").join(
+    sides = near.join(prints.select("id", "doc_id", "start", "own", F.col("codes").alias("a")), "id").join(
         hint(known.select("item_id", F.col("n_words").alias("n"), F.col("codes").alias("b"))), ["item_id", "n"]
     )
     # sum of lesser multiplicities: each distinct shingle of the window, as often as both sides have it
     times = lambda codes, c: F.size(F.filter(codes, lambda x: x == c))
     both = F.aggregate(F.array_intersect("a", "b"), F.lit(0), lambda s, c: s + F.least(times(F.col("a"), c), times(F.col("b"), c)))
     judged = sides.withColumn("_both", both).withColumn("similarity", F.col("_both") / (F.size("a") + F.size("b") - F.col("_both")))
-    best = F.min(F.struct((-F.col("similarity")).alias("s"), "start", F.col("n").alias("n"), "hamming"))
+    best = F.min(F.struct((-F.col("similarity")).alias("s"), "start", F.col("own").alias("n"), "hamming"))
     return (
         judged.where(F.col("similarity") >= min_similarity)
         .groupBy("doc_id", "item_id")

@@ -57,7 +57,7 @@ def op6_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_simhash_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.contaminations(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontaminate.contaminations(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), short=True)
 
 
 def op8_url_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
