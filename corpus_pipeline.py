@@ -2,6 +2,9 @@
 
 ``STAGES`` are run in order; each takes all that its predecessor kept and its result is written as Parquet and read again as
 the next one's documents. All but the last return the columns of ``documents``.
+
+Every row is a document, whatever its ``doc_id``: ids may be null or repeated, so the middle stages number the rows and
+choose them by number.
 """
 
 from __future__ import annotations
@@ -22,21 +25,32 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return scores.where(F.col("score") >= quality.CUT).select(*docs.columns)
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` with a number of its own in each row, written so that later reads find the same numbers."""
+    return written(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+
+
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the least id, of each group of near-duplicates (five words, similarity 0.8)."""
-    kept = minhash.near_duplicates(docs, width=5, percent=80).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    """One row, one of the least id (null ids last), of each group of near-duplicates (five words, similarity 0.8)."""
+    rows = numbered(docs)
+    member = minhash.near_duplicates(rows, width=5, percent=80, key="_row").select(F.col("doc_id").alias("_row"), "component_id")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_row"))
+    kept = member.join(rows.select("_row", "doc_id"), "_row").groupBy("component_id").agg(least.alias("x")).select("x._row")
+    return rows.join(kept, "_row", "left_semi").select(*docs.columns)
 
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no benchmark item was found."""
-    found = decontaminate.contaminations(docs, table(spark, sf_dir, "benchmark"), short=True).select("doc_id").distinct()
-    return docs.join(written(found, "contaminated"), "doc_id", "left_anti").select(*docs.columns)
+    rows = numbered(docs)
+    found = decontaminate.contaminations(rows, table(spark, sf_dir, "benchmark"), key="_row", short=True)
+    found = found.select(F.col("doc_id").alias("_row")).distinct()
+    return rows.join(written(found, "contaminated"), "_row", "left_anti").select(*docs.columns)
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents of the mix, once a copy taken."""
-    return mixing.repeat_mix(docs, mixing.pareto_mix(docs))
+    rows = numbered(docs)
+    return mixing.repeat_mix(rows, mixing.pareto_mix(rows, row="_row"), "_row").select(*docs.columns)
 
 
 def shard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -59,19 +59,26 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, cap:
 
 def pareto_mix(
     docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", seed: int = SEED, weights=WEIGHTS,
-    share: float = SHARE, cap: int = MAX_COPIES,
+    share: float = SHARE, cap: int = MAX_COPIES, row: str | None = None,
 ) -> DataFrame:
     """One row per document: key, size, source_size, target, copies, taken.
 
+    ``row`` names a column of numbers that tell rows apart, where keys are null or repeated: it is carried to the result,
+    draws for null keys and breaks ties between rows of one key.
+
     ``copies`` is 0 to ``cap`` and ``taken`` is copies * size. Reruns agree: the random number is a hash of the key.
     Null texts and texts without words have size 0 and no copies beyond the certain ones; a null source is a source,
     ordered last; ties in rank (repeated keys) are cut by size; an empty table gives an empty result.
     A source that holds a third of all rows is summed by bins of the rank key before the cut; only the documents of
     the one bin that holds the cut are sorted.
     """
-    uniform = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(key)), 11).cast("double") + 0.5) / float(1 << 53)
+    draw = F.xxhash64(F.lit(seed), F.col(key))
+    if row:
+        draw = F.when(F.col(key).isNull(), F.xxhash64(F.lit(seed), F.lit("row"), F.col(row))).otherwise(draw)
+    own = ["_row"] if row else []
+    uniform = (F.shiftrightunsigned(draw, 11).cast("double") + 0.5) / float(1 << 53)
     base = written(
-        docs.select(F.col(key).alias("_key"), F.col(source).alias("source"), n_words(text).alias("size"), uniform.alias("_u")),
+        docs.select(F.col(key).alias("_key"), F.col(source).alias("source"), n_words(text).alias("size"), uniform.alias("_u"), *[F.col(row).alias(c) for c in own]),
         "mix-sizes",
     )
     sizes = base.groupBy("source").agg(F.sum("size").alias("source_size"))
@@ -104,22 +111,25 @@ def pareto_mix(
     rows = rows.join(cut, F.col("source").eqNullSafe(F.col("_source")), "left").drop("_source")
     open_ = (F.col("_rest") > 0) & (F.col("size") > 0)
     at_cut = rows.where(open_ & (F.col("_bin") == F.col("_cut")))
-    within = Window.partitionBy("source").orderBy("_rank", "_key", "size").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("source").orderBy("_rank", "_key", *([F.xxhash64(F.lit(seed), "_row"), "_row"] if row else ["size"])).rowsBetween(Window.unboundedPreceding, -1)
     at_cut = at_cut.withColumn("_sum", F.col("_before") + F.coalesce(F.sum("size").over(within), F.lit(0)))
     # the document on the cut is taken if that brings the sum nearer to what remains
     at_cut = at_cut.withColumn("_extra", (F.col("_sum") + F.col("size") / 2 <= F.col("_rest")).cast("int"))
     elsewhere = rows.where(~F.coalesce(open_ & (F.col("_bin") == F.col("_cut")), F.lit(False)))
     elsewhere = elsewhere.withColumn("_extra", F.coalesce(open_ & (F.col("_bin") < F.col("_cut")), F.lit(False)).cast("int"))
-    cols = ["_key", "size", "source_size", "target", "_whole", "_extra"]
+    cols = [*own, "_key", "size", "source_size", "target", "_whole", "_extra"]
     copies = F.least(F.lit(cap), F.col("_whole") + F.col("_extra"))
     return (
         at_cut.select(cols)
         .unionByName(elsewhere.select(cols))
-        .select(F.col("_key").alias(key), "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).cast("long").alias("taken"))
+        .select(F.col("_key").alias(key), "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).cast("long").alias("taken"), *[F.col(c).alias(row) for c in own])
     )
 
 
 def repeat_mix(docs: DataFrame, mix: DataFrame, key: str = "doc_id") -> DataFrame:
-    """The documents of a mix, each as many times as it is taken, with the columns of ``docs``."""
+    """The documents of a mix, each as many times as it is taken, with the columns of ``docs``.
+
+    ``key`` tells rows apart: where ids are null or repeated, it is the ``row`` of :func:`pareto_mix`.
+    """
     copies = mix.where("copies > 0").select(key, "copies")
     return docs.join(copies, key).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(docs.columns)
