@@ -10,16 +10,34 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a local one is set only where that is unset (tests)."""
+    """This application's part of the folder named by ``spark.checkpoint.dir``; Spark deletes it when the application ends.
+
+    A local folder is set only where that is unset and the master is local (tests): on a cluster the executors would each
+    write to a disk of their own, so that is an error.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir names no folder that driver and executors share")
         base = f"file://{tempfile.mkdtemp(prefix='tidewell-')}"
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{spark.sparkContext.applicationId}"
+    mine = f"{base.rstrip('/')}/{spark.sparkContext.applicationId}"
+    _delete(spark, mine, at_exit=True)
+    return mine
+
+
+def _delete(spark: SparkSession, path: str, at_exit: bool = False) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    store = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if at_exit:
+        store.mkdirs(where)
+        store.deleteOnExit(where)
+    else:
+        store.delete(where, True)
 
 
 @contextmanager
-def _shuffles_dropped(spark: SparkSession):
+def shuffles_dropped(spark: SparkSession):
     """Have Spark delete a query's shuffle files when it ends: what they held is in the table then."""
     key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
     before = spark.conf.get(key, "false")
@@ -30,17 +48,21 @@ def _shuffles_dropped(spark: SparkSession):
         spark.conf.set(key, before)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, *used_up: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and return the table read back.
 
     The plan that follows starts from files, so a lost executor costs a re-read and not the jobs before,
-    and nothing upstream is computed twice.
+    and nothing upstream is computed twice. ``used_up`` are tables of this function that nothing reads after this one.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    with _shuffles_dropped(spark):
+    with shuffles_dropped(spark):
         df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back.scratch_path = path
+    for table_ in used_up:
+        _delete(spark, table_.scratch_path)
+    return back
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
