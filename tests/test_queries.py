@@ -6,7 +6,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from tidewell.plans import queries
+from tidewell.plans import chains, queries  # noqa: F401
 
 SF = Path("/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()

@@ -118,11 +118,6 @@ def strip_tags(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", text.strip_tags("html").alias("bare"))
 
 
-@query()
-def html_text(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", text.html_to_text("html").alias("body"), text.plain_text("html").alias("plain"))
-
-
 @query(r"""SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS iso, strftime(date_trunc('second', ts), '%Y-%m-%dT%H:%M:%SZ') AS back, strftime(date_trunc('day', ts), '%Y-%m-%dT%H:%M:%SZ') AS basic,
  make_timestamp(CAST(1700000000 + event_id AS BIGINT) * 1000000) AS seconds, make_timestamp(CAST(1700000000 + event_id AS BIGINT) * 1000000) AS millis FROM events""")
 def timestamps(spark, sf_dir):
@@ -142,11 +137,11 @@ def cache_keys(spark, sf_dir):
 
 
 @query("""SELECT id, nullif(concat_ws(', ', nullif(trim(city), ''), nullif(trim(state), ''), nullif(trim(country_code), '')), '') AS place,
- CASE WHEN id % 4 = 0 THEN (id % 6) || ' years' WHEN id % 6 = 0 THEN '0–' || (id % 9) || ' years' ELSE (id % 6) || '–' || (id % 9) || ' years' END AS label FROM jobs_v WHERE NOT (id % 4 = 0 AND id % 6 = 0)""", "jobs_v")
+ CASE WHEN id % 4 = 0 THEN CASE WHEN id % 6 > 0 THEN (id % 6) || ' years' END WHEN id % 6 = 0 THEN '0–' || (id % 9) || ' years' ELSE (id % 6) || '–' || (id % 9) || ' years' END AS label FROM jobs_v""", "jobs_v")
 def labels_of_jobs(spark, sf_dir):
     j = view(spark, sf_dir, "jobs_v")
     low, high = F.col("id") % 6, F.when(F.col("id") % 4 != 0, F.col("id") % 9)
-    return j.where(~((F.col("id") % 4 == 0) & (F.col("id") % 6 == 0))).select("id", text.job_location("city", "state", "country_code").alias("place"), text.experience_label(low, high).alias("label"))
+    return j.select("id", text.job_location("city", "state", "country_code").alias("place"), text.experience_label(low, high).alias("label"))
 
 
 @query(r"""SELECT id, 'TITLE: ' || title || chr(10) || 'COMPANY: ' || company || chr(10) || 'LOCATION: ' || concat_ws(', ', city, state, country_code) || chr(10) || 'EMPLOYMENT: ' || chr(10) || 'WORK MODE: ' || coalesce(work_mode, '') || chr(10) || 'POSTING:' || chr(10) || description || chr(10) AS prompt FROM jobs_v""", "jobs_v")
@@ -155,17 +150,6 @@ def prompts(spark, sf_dir):
     return j.select("id", text.prompt_text("title", "company", "city", "state", "country_code", F.lit(None).cast("string"), "work_mode", "description").alias("prompt"))
 
 
-@query()
-def title_ratios(spark, sf_dir):
-    """Each candidate's title and text against those of the candidate before it of the same company."""
-    c = resolve.with_identity(view(spark, sf_dir, "candidates_v"))
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("company_key").orderBy("candidate_id")
-    pairs = c.select("candidate_id", "title_key", "text_key", F.lag("title_key").over(w).alias("t2"), F.lag("text_key").over(w).alias("x2")).where("t2 is not null")
-    return pairs.select("candidate_id", similarity.indel_ratio("title_key", "t2").alias("ratio"), similarity.token_set_ratio("text_key", "x2").alias("set_ratio"))
-
-
 # --- places and relevance --------------------------------------------------------------------------------------
 
 
@@ -243,16 +227,6 @@ def ground_facts(spark, sf_dir):
     return v.select("doc_id", facts.ground_skills("f.skills", "posting").alias("skills"), facts.ground_experience("f.experience_min_years", "f.experience_label", "posting")["experience_min_years"].alias("years"))
 
 
-@query()
-def grounded_modes(spark, sf_dir):
-    v = _responses(spark, sf_dir).withColumn("f", facts.coerce_facts("response"))
-    none = F.lit(None).cast("string")
-    return v.select(
-        "doc_id", facts.ground_mode("f.work_mode", none, "posting", none, F.lit("unknown")).alias("mode"), facts.ground_employment("f.employment_type", none, "posting").alias("employment"),
-        facts.leftover_text("f.description_text", "f.skills", "f.requirements").alias("leftover"), facts.lines("f.requirements").alias("requirements"), facts.dropped_skills("f.skills", "posting").alias("dropped"),
-    )
-
-
 @query("SELECT doc_id, doc_id % 4 IN (0, 1) AS valid, CASE WHEN doc_id % 4 IN (0, 1) THEN 'T' || doc_id END AS title FROM documents")
 def enrich_valid(spark, sf_dir):
     """Well-formed answers, one with an extra key, one with a range the wrong way round."""
@@ -287,9 +261,7 @@ def _envelopes(spark, sf_dir):
 
 
 def _all_envelopes(spark, sf_dir):
-    r = _envelopes(spark, sf_dir)
-    each = [f(r.where(F.col("source_type") == k)) for k, f in (("greenhouse", envelopes.envelopes_greenhouse), ("lever", envelopes.envelopes_lever), ("ashby", envelopes.envelopes_ashby), ("workable", envelopes.envelopes_workable))]
-    return each[0].unionByName(each[1]).unionByName(each[2]).unionByName(each[3])
+    return envelopes.envelopes_boards(_envelopes(spark, sf_dir))
 
 
 @query("SELECT k AS source_type, source AS source_external_key, CASE WHEN k = 'workable' THEN 'S' ELSE '' END || doc_id AS source_job_id, 'https://' || CASE k WHEN 'greenhouse' THEN 'b' ELSE k[1] END || '/' || doc_id AS source_url FROM (SELECT *, ['greenhouse', 'lever', 'ashby', 'workable'][doc_id % 4 + 1] AS k FROM documents)")
@@ -400,19 +372,6 @@ def match_exact(spark, sf_dir):
     return resolve.find_duplicates(c, j).where("how = 'exact'").select("candidate_id", "job_id")
 
 
-@query()
-def match_fuzzy(spark, sf_dir):
-    c, j = _sides(spark, sf_dir)
-    return resolve.fuzzy_pairs(c, j)
-
-
-@query()
-def resolve_rows(spark, sf_dir):
-    c, j = _sides(spark, sf_dir)
-    links = j.where("source_job_id is not null").select("source_id", "source_job_id", "job_id").groupBy("source_id", "source_job_id").agg(F.min("job_id").alias("job_id"))
-    return resolve.resolve_identity(c, j, links)
-
-
 @query(IDENTITY.replace("c AS (", "cc AS (") + f""", e AS (SELECT i.candidate_id, {FP} AS g, row_number() OVER (PARTITION BY {FP} ORDER BY CASE WHEN source_type IN ('greenhouse', 'lever', 'ashby', 'workable') THEN 0 WHEN source_type = 'adzuna' THEN 2 ELSE 3 END, i.candidate_id) AS n FROM candidates_v JOIN i USING (candidate_id))
 SELECT candidate_id FROM e WHERE n = 1""", "candidates_v")
 def canonical_jobs(spark, sf_dir):
@@ -452,16 +411,16 @@ def job_upsert(spark, sf_dir):
 
 
 def _links(spark, sf_dir):
-    li = table(spark, sf_dir, "lineitem").where("l_linenumber <= 2")
+    li = table(spark, sf_dir, "lineitem")
     return li.select(F.col("l_orderkey").alias("job_id"), (F.col("l_suppkey") % 20).alias("source_id"), F.concat_ws("-", "l_orderkey", "l_linenumber").alias("source_job_id"), (F.col("l_linenumber") % 2).alias("missing_count"), (F.col("l_quantity") > 10).alias("active"))
 
 
-LINKS = """lk AS (SELECT l_orderkey AS job_id, l_suppkey % 20 AS source_id, l_orderkey || '-' || l_linenumber AS source_job_id, l_linenumber % 2 AS missing_count, l_quantity > 10 AS active, bool_or(l_discount > 0.05) OVER (PARTITION BY l_suppkey % 20, l_orderkey, l_linenumber) AS seen, l_suppkey % 20 < 10 AS crawled FROM lineitem WHERE l_linenumber <= 2),
+LINKS = """lk AS (SELECT l_orderkey AS job_id, l_suppkey % 20 AS source_id, l_orderkey || '-' || l_linenumber AS source_job_id, l_linenumber % 2 AS missing_count, l_quantity > 10 AS active, bool_or(l_discount > 0.05) OVER (PARTITION BY l_suppkey % 20, l_orderkey, l_linenumber) AS seen, l_suppkey % 20 < 10 AS crawled FROM lineitem),
 nl AS (SELECT job_id, source_id, source_job_id, CASE WHEN crawled AND seen THEN 0 WHEN crawled AND active THEN missing_count + 1 ELSE missing_count END AS missing_count, CASE WHEN crawled AND seen THEN TRUE WHEN crawled AND active THEN missing_count + 1 < 2 ELSE active END AS active FROM lk)"""
 
 
 def _crawl(spark, sf_dir):
-    li = table(spark, sf_dir, "lineitem").where("l_linenumber <= 2")
+    li = table(spark, sf_dir, "lineitem")
     seen = li.where("l_discount > 0.05").select((F.col("l_suppkey") % 20).alias("source_id"), F.concat_ws("-", "l_orderkey", "l_linenumber").alias("source_job_id"))
     return seen, li.select((F.col("l_suppkey") % 20).alias("source_id")).where("source_id < 10").distinct()
 
@@ -681,21 +640,6 @@ def acked(spark, sf_dir):
 # --- structuring, end to end -------------------------------------------------------------------------------------------------
 
 
-@query()
-def structured_postings(spark, sf_dir):
-    """Candidates as jobs, with answers for most of them, through the whole structuring chain."""
-    v = view(spark, sf_dir, "candidates_v")
-    none = F.lit(None).cast("string")
-    jobs = v.select(
-        F.col("candidate_id").alias("job_id"), F.col("title").alias("title_original"), "company_name", text.normalize_company("company_name").alias("company_normalized"), F.col("description").alias("description_text"), none.alias("description_html"),
-        F.lit("Pune").alias("city"), none.alias("state"), none.alias("work_mode"), F.lit("Full-time").alias("employment_type"), F.lit("india").alias("india_relevance"), F.col("canonical_url").alias("canonical_apply_url"),
-        F.lit(None).cast("timestamp").alias("posted_at"), none.alias("structure_status"), none.alias("structure_hash"), text.exact_fingerprint("company_name", "title", "location", "requisition_id").alias("exact_fingerprint"),
-    )
-    digest = text.structure_hash("title_original", structure.posting_text("description_text", "description_html"), "city", "canonical_apply_url")
-    answers = jobs.where("job_id % 4 > 0").select(text.cache_key(structure.TASK_STRUCTURE, fixed.STRUCTURE_VERSION, digest).alias("cache_key"), F.lit('{"summary": "S", "skills": ["the", "Quantum Basketry"], "experience_min_years": 3}').alias("response")).dropDuplicates(["cache_key"])
-    return structure.structure_postings(jobs, answers).select("job_id", "outcome", "work_mode", "employment_type", "state", "skills", F.to_json("payload").alias("payload"))
-
-
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as candidates, classified, collapsed to one job a fingerprint, and the first page of a search over them."""
     c = resolve.with_identity(view(spark, sf_dir, "candidates_v"))

@@ -21,6 +21,16 @@ SELECT doc_id AS candidate_id, substr(split_part(text, chr(10), 1), 1, 60) AS ti
   'https://Jobs.example.com/' || source || '/' || (doc_id % 700) || '/?utm_source=feed&b=' || (doc_id % 3) || '#apply' AS canonical_url,
   text AS description
 FROM {documents}""",
+    "postings_v": """
+SELECT p_partkey AS candidate_id, p_name || CASE p_partkey % 3 WHEN 0 THEN 's' WHEN 1 THEN '' ELSE '!' END AS title,
+  p_brand || CASE p_partkey % 2 WHEN 0 THEN '' ELSE ' Inc.' END AS company_name,
+  CASE p_size % 5 WHEN 0 THEN 'Pune' WHEN 1 THEN 'Pune, India' WHEN 2 THEN 'Mumbai, India' WHEN 3 THEN 'Remote - India' ELSE 'Hybrid, Pune' END AS location,
+  CASE p_partkey % 6 WHEN 0 THEN 'greenhouse' WHEN 1 THEN 'lever' WHEN 2 THEN 'ashby' WHEN 3 THEN 'workable' WHEN 4 THEN 'adzuna' ELSE 'generic' END AS source_type,
+  p_partkey % 7 AS source_id, CASE WHEN p_partkey % 5 = 0 THEN 'J' || (p_partkey % 45) END AS source_job_id,
+  CASE WHEN p_partkey % 11 = 0 THEN 'R' || (p_partkey % 97) END AS requisition_id,
+  'https://Jobs.example.com/' || (p_partkey % 901) || '/?utm_source=feed' AS canonical_url,
+  p_name || ' role with ' || CASE p_partkey % 4 WHEN 0 THEN 'travel and benefits' WHEN 1 THEN 'benefits' WHEN 2 THEN 'a large and friendly team' ELSE 'travel' END AS description
+FROM {part}""",
     "facts_v": """
 SELECT doc_id,
   CASE doc_id % 9 WHEN 0 THEN 'Pay is 15-20 LPA plus bonus' WHEN 1 THEN 'We offer ₹80,000 per month' WHEN 2 THEN '12.5 lakhs per annum' WHEN 3 THEN 'Rs. 50,000 to Rs. 90,000 per month'

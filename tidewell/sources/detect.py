@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from tidewell.functions.text import _col
 
+from .envelopes import ld_postings
+
 URL = r"(?i)https?://[^\s\"'<>]+"
 GREENHOUSE_HOST = r"^(job-boards(\.eu)?|boards-api|boards)\.greenhouse\.io$"
 SLUG = r"^[A-Za-z0-9][A-Za-z0-9_-]{0,80}$"
@@ -68,9 +70,7 @@ def board_key(url: Column | str) -> Column:
 
 def has_job_posting(html: Column | str) -> Column:
     """An ld+json block with an object of type JobPosting."""
-    blocks = F.regexp_extract_all(F.coalesce(_col(html), F.lit("")), F.lit(r"(?is)<script\b[^>]*application/ld\+json[^>]*>(.*?)</script\s*>"), F.lit(1))
-    typed = r'"@type"\s*:\s*(?:\[[^\]]*)?"(?:[^"]*[/#])?JobPosting"'
-    return F.exists(blocks, lambda b: F.try_parse_json(b).isNotNull() & b.rlike(typed))
+    return F.size(ld_postings(_col(html))) > 0
 
 
 def detect(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:

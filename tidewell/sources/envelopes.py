@@ -5,8 +5,13 @@ Input frames are landed documents: (source_type, source_external_key, fetched_at
 
 from __future__ import annotations
 
+import json
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidewell.functions.facts import _string
 from tidewell.functions.text import hash_payload, unescape
@@ -27,35 +32,42 @@ def _is_object(v: Column) -> Column:
     return F.schema_of_variant(v).startswith("OBJECT")
 
 
-def _exploded(responses: DataFrame, items: Column) -> DataFrame:
-    return responses.withColumn("payload", F.explode(items)).where(_is_object(F.col("payload")))
+def _shaped(df: DataFrame, job_id: Column, url: Column) -> DataFrame:
+    return df.withColumns({"source_job_id": job_id, "source_url": url}).where("source_job_id is not null").select(*COLUMNS)
 
 
-def _jobs(responses: DataFrame) -> DataFrame:
-    return _exploded(responses, F.from_json("body", "jobs array<variant>")["jobs"])
+def envelopes_boards(responses: DataFrame) -> DataFrame:
+    """One row per posting of the four kinds of boards, by the response's ``source_type``: one pass, each body parsed once."""
+    kind = F.col("source_type")
+    items = F.when(kind == "lever", F.from_json("body", "array<variant>")).otherwise(F.from_json("body", "jobs array<variant>")["jobs"])
+    rows = responses.where(kind.isin("greenhouse", "lever", "ashby", "workable")).withColumn("payload", F.explode(items)).where(_is_object(F.col("payload")))
+    code = F.coalesce(trimmed_at("payload", "$.shortcode"), trimmed_at("payload", "$.code"))
+    job_id = F.when(kind == "workable", code).otherwise(F.try_variant_get("payload", "$.id", "string"))
+    url = (
+        F.when(kind == "greenhouse", text_at("payload", "$.absolute_url")).when(kind == "lever", text_at("payload", "$.hostedUrl"))
+        .when(kind == "ashby", text_at("payload", "$.jobUrl")).otherwise(F.coalesce(text_at("payload", "$.url"), text_at("payload", "$.shortlink")))
+    )
+    return _shaped(rows, job_id, url)
 
 
-def _shaped(df: DataFrame, job_id: Column, url: Column) -> DataFrame:
-    return df.withColumns({"source_job_id": job_id, "source_url": url}).where("source_job_id is not null").select(*COLUMNS)
+def _of(kind: str, responses: DataFrame) -> DataFrame:
+    return envelopes_boards(responses.withColumn("source_type", F.lit(kind)))
 
 
 def envelopes_greenhouse(responses: DataFrame) -> DataFrame:
-    return _shaped(_jobs(responses), F.try_variant_get("payload", "$.id", "string"), text_at("payload", "$.absolute_url"))
+    return _of("greenhouse", responses)
 
 
 def envelopes_lever(responses: DataFrame) -> DataFrame:
-    rows = _exploded(responses, F.from_json("body", "array<variant>"))
-    return _shaped(rows, F.try_variant_get("payload", "$.id", "string"), text_at("payload", "$.hostedUrl"))
+    return _of("lever", responses)
 
 
 def envelopes_ashby(responses: DataFrame) -> DataFrame:
-    return _shaped(_jobs(responses), F.try_variant_get("payload", "$.id", "string"), text_at("payload", "$.jobUrl"))
+    return _of("ashby", responses)
 
 
 def envelopes_workable(responses: DataFrame) -> DataFrame:
-    job_id = F.coalesce(trimmed_at("payload", "$.shortcode"), trimmed_at("payload", "$.code"))
-    url = F.coalesce(text_at("payload", "$.url"), text_at("payload", "$.shortlink"))
-    return _shaped(_jobs(responses), job_id, url)
+    return _of("workable", responses)
 
 
 def account_name_check(responses: DataFrame, sources: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -67,29 +79,45 @@ def account_name_check(responses: DataFrame, sources: DataFrame) -> tuple[DataFr
     return both.where(good).select(responses.columns), both.where(~good).select(*responses.columns, F.lit("account name differs").alias("error"))
 
 
-LD_JSON = r"(?is)<script\b[^>]*type\s*=\s*[\"']?application/ld\+json[\"']?[^>]*>(.*?)</script\s*>"
+LD_JSON = re.compile(r"<script\b[^>]*type\s*=\s*[\"']?application/ld\+json[\"']?[^>]*>(.*?)</script\s*>", re.I | re.S)
+
 
+def _no_number(text: str) -> None:
+    raise ValueError(text)
 
-def extract_jsonld_postings(pages: DataFrame, depth: int = 6) -> DataFrame:
+
+def page_postings(html: str) -> list[str]:
+    """The JSON of every object of type JobPosting in a page's ld+json blocks, at whatever depth; a type may be a whole URL."""
+    found = []
+    for block in LD_JSON.findall(html):
+        try:
+            open_ = [json.loads(block, parse_constant=_no_number)]
+            while open_:
+                x = open_.pop()
+                if isinstance(x, dict):
+                    types = x.get("@type")
+                    if any(isinstance(t, str) and re.split("[/#]", t)[-1] == "JobPosting" for t in (types if isinstance(types, list) else [types])):
+                        found.append(json.dumps(x))
+                    open_ += reversed(x.values())
+                elif isinstance(x, list):
+                    open_ += reversed(x)
+        except (ValueError, RecursionError):
+            continue
+    return found
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def ld_postings(html: pd.Series) -> pd.Series:
+    return html.map(lambda page: page_postings(page) if page else [])
+
+
+def extract_jsonld_postings(pages: DataFrame) -> DataFrame:
     """Every nested object of type JobPosting in the page's ld+json blocks: ``pages`` columns with ``payload``.
 
-    Blocks that are no JSON are skipped. Objects and lists are opened level by level, ``depth`` levels at most.
+    Blocks that are no JSON are skipped. Pages are read and their blocks parsed once, whatever the depth of a posting.
     """
-    keys = pages.columns
-    blocks = pages.withColumn("_block", F.explode(F.regexp_extract_all("html", F.lit(LD_JSON), F.lit(1))))
-    level = blocks.select(*keys, F.try_parse_json("_block").alias("payload")).where("payload is not null")
-    found = None
-    for _ in range(depth):
-        kind = F.try_variant_get("payload", "$['@type']", "variant")
-        names = F.coalesce(F.try_variant_get("payload", "$['@type']", "array<string>"), F.array(text_at("payload", "$['@type']")))
-        # a type may be a whole URL: its last part counts
-        posting = F.exists(names, lambda n: F.substring_index(F.substring_index(n, "/", -1), "#", -1) == "JobPosting") & kind.isNotNull()
-        here = level.where(_is_object(F.col("payload")) & posting).select(*keys, "payload")
-        found = here if found is None else found.unionByName(here)
-        as_list = F.try_variant_get("payload", "$", "array<variant>")
-        as_map = F.map_values(F.try_variant_get("payload", "$", "map<string,variant>"))
-        level = level.select(*keys, F.explode(F.coalesce(as_list, as_map)).alias("payload")).where("payload is not null")
-    return found
+    found = pages.withColumn("payload", F.explode(ld_postings("html")))
+    return found.withColumn("payload", F.try_parse_json("payload")).where("payload is not null")
 
 
 def envelopes_jsonld(pages: DataFrame) -> DataFrame:
