@@ -81,9 +81,18 @@ def test_stages_take_null_and_repeated_ids(spark, tmp_path):
     assert sent[0] == sent[1]
 
 
-def test_stages_keep_the_columns(spark):
+def test_stages_keep_the_columns(spark, tmp_path):
     docs = spark.createDataFrame([(i, f"some words of text {i} " * 9, "en", f"s{i % 2}", 1) for i in range(20)], brute.DOCS)
     stages = dict(corpus_pipeline.STAGES)
     assert list(stages) == ["quality classifier", "MinHash near-dedup", "benchmark decontamination", "mixing sources to target weights", "sharding"]
-    for name in ("MinHash near-dedup", "mixing sources to target weights"):
-        assert stages[name](spark, docs, "").columns == docs.columns
+    names = ("score", "_text", "body", "row", "_row", "copies", "_copy", "shard", "slot", "_slot", "doc", "size", "node", "kept", "component_id")
+    clash = docs.select("*", *[F.concat(F.lit(f"{n}-"), "doc_id").alias(n) for n in names])
+    spark.createDataFrame([(i, i % 2, 0) for i in range(20)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, "not in there at all")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    for name, stage in stages.items():
+        out = stage(spark, clash, str(tmp_path))
+        made = ["shard_", "slot_"] if name == "sharding" else []
+        assert out.columns == clash.columns + made
+        rows = out.collect()
+        assert rows and all(x[n] == f"{n}-{x['doc_id']}" for x in rows for n in names)
+        assert stage(spark, clash.limit(0), str(tmp_path)).count() == 0

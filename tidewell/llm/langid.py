@@ -17,12 +17,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .storage import free_names
 
 BUCKETS = 1 << 14
 ORDERS = (1, 2, 3, 4)
-#: Bounds of the training sample: labelled texts a language (expected), and landmarks over all.
+#: Bounds of the training sample (expected): labelled texts a language, and over all languages; landmarks a language.
 TEXTS_A_LANGUAGE = 300
-LANDMARKS = 200
+MAX_TEXTS = 6000
+LANDMARKS = 50
 RIDGE = 1e-2
 #: With up to so many languages their table is small and may be broadcast, so that no text is shuffled by its language.
 MAX_LANGUAGES = 10_000
@@ -79,37 +83,47 @@ class KernelRidge:
     """One-versus-rest ridge regression on the Nystroem features of the presence kernel."""
 
     def __init__(self, flags: np.ndarray, labels: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE, seed: int = 1):
+        """``flags``: one row of packed bits a text; they are unpacked ``_BATCH`` rows at a time. ``landmarks`` of each class."""
         self.classes = sorted(set(labels))
-        x = flags.astype(np.float32)
-        x /= np.sqrt(np.maximum(x.sum(1, keepdims=True), 1))
-        pick = np.sort(np.random.default_rng(seed).permutation(len(x))[:landmarks])
-        marks = x[pick]
-        among, to_marks = (marks @ marks.T).astype(np.float64), (x @ marks.T).astype(np.float64)
-        truth = np.where(np.array(labels)[:, None] == np.array(self.classes)[None, :], 1.0, -1.0)
-        lhs = to_marks.T @ to_marks + ridge * len(x) / len(marks) * among + 1e-6 * np.eye(len(marks))
+        own = np.array(labels)
+        draw = np.random.default_rng(seed)
+        pick = np.sort(np.concatenate([draw.permutation(np.flatnonzero(own == c))[:landmarks] for c in self.classes]))
+        marks = self._unit(np.unpackbits(flags[pick], axis=1))
+        among = (marks @ marks.T).astype(np.float64)
+        to_marks = np.concatenate([self._unit(np.unpackbits(flags[lo : lo + _BATCH], axis=1)) @ marks.T for lo in range(0, len(flags), _BATCH)]).astype(np.float64)
+        truth = np.where(own[:, None] == np.array(self.classes)[None, :], 1.0, -1.0)
+        lhs = to_marks.T @ to_marks + ridge * len(own) / len(marks) * among + 1e-6 * np.eye(len(marks))
         self.weights = (marks.T @ np.linalg.solve(lhs, to_marks.T @ truth)).astype(np.float32)
 
-    def scores(self, flags: np.ndarray) -> np.ndarray:
+    @staticmethod
+    def _unit(flags: np.ndarray) -> np.ndarray:
         x = flags.astype(np.float32)
-        return (x @ self.weights) / np.sqrt(np.maximum(x.sum(1, keepdims=True), 1))
+        return x / np.sqrt(np.maximum(x.sum(1, keepdims=True), 1))
+
+    def scores(self, flags: np.ndarray) -> np.ndarray:
+        return self._unit(flags) @ self.weights
 
 
 def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", texts_a_language: int = TEXTS_A_LANGUAGE, seed: int = 3) -> KernelRidge | None:
-    """A model from a sample of the labelled rows: the rows of least hash, about ``texts_a_language`` of each language.
+    """A model from a sample of the labelled rows: the rows of least hash, about ``texts_a_language`` of each language, fewer
+    where there are so many languages that ``MAX_TEXTS`` would be exceeded: the driver holds about that many texts' bits.
 
     Rows without text, language or letters are no examples. None where nothing is left.
     """
     known = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    share = known.groupBy(lang).agg(F.count("*").alias("_n")).withColumn("_share", F.least(F.lit(1.0), texts_a_language / F.col("_n")))
+    share = known.groupBy(lang).agg(F.count("*").alias("_n"))
+    languages = share.count()
+    texts_a_language = min(texts_a_language, max(1, MAX_TEXTS // max(1, languages)))
+    share = share.withColumn("_share", F.least(F.lit(1.0), texts_a_language / F.col("_n")))
     rank = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(key)), 11).cast("double")) / float(1 << 53)
     share = share.select(F.col(lang).alias("lang"), "_share")
-    few = F.broadcast if share.count() <= MAX_LANGUAGES else (lambda df: df)
+    few = F.broadcast if languages <= MAX_LANGUAGES else (lambda df: df)
     sample = known.select(F.col(text).alias("text"), F.col(lang).alias("lang"), rank.alias("_rank"))
     sample = sample.join(few(share), "lang").where("_rank < _share").select("text", "lang")
     rows = sample.mapInArrow(_packed, "lang string, bits binary").toPandas().sort_values(["lang", "bits"])
     if not len(rows):
         return None
-    flags = np.stack([np.unpackbits(np.frombuffer(b, dtype=np.uint8)).astype(bool) for b in rows["bits"]])
+    flags = np.stack([np.frombuffer(b, dtype=np.uint8) for b in rows["bits"]])
     return KernelRidge(flags, rows["lang"].tolist())
 
 
@@ -118,7 +132,7 @@ def _predict(model: KernelRidge | None, batches: Iterator[pa.RecordBatch]) -> It
         n = batch.num_rows
         langs, scores = [UNDETERMINED] * n, np.zeros(n)
         for lo in range(0, n if model else 0, _BATCH):
-            found = [presence(t.as_py() or "") for t in batch["_text"].slice(lo, _BATCH)]
+            found = [presence(t.as_py() or "") for t in batch.columns[-1].slice(lo, _BATCH)]
             raw = model.scores(np.stack([f for f, _ in found]))
             top = raw.argmax(1)
             for i, (_, known) in enumerate(found):
@@ -133,7 +147,10 @@ def identify(docs: DataFrame, model: KernelRidge | None, keep: tuple[str, ...] =
 
     Null texts and texts without a letter (empty ones too), and all texts where there is no model, are ``und`` with
     score 0. Repeated rows stay; a tie of scores goes to the first language in order; memory is bounded by ``_BATCH`` texts.
+    A kept column called ``lang_pred`` or ``score`` gives way; no other name clashes.
     """
-    narrow = docs.select(*keep, F.col(text).alias("_text"))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in narrow.schema.fields[:-1])
-    return narrow.mapInArrow(partial(_predict, model), f"{fields}, lang_pred string, score double")
+    keep = tuple(c for c in keep if c not in ("lang_pred", "score"))
+    (body,) = free_names([*keep, "lang_pred", "score"], "body")
+    narrow = docs.select(*keep, F.col(text).alias(body))
+    fields = T.StructType([*narrow.schema.fields[:-1], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    return narrow.mapInArrow(partial(_predict, model), fields)

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .storage import written
+from .storage import numbered_among_equals, row_hash, written
 
 SEED = 20240607
 BUCKET_BYTES = 8 << 20
@@ -42,17 +42,6 @@ def _fisher_yates(n: int, seed: list[int]) -> np.ndarray:
     return place
 
 
-def _numbered_among_equals(rows: DataFrame, heavy: DataFrame) -> DataFrame:
-    """``rows`` with ``_nth``: 0, 1, ... among the rows of each heavy ``_order``, 0 for others; counted by parts of the table."""
-    rows = written(rows.withColumn("_row", F.monotonically_increasing_id()), "shuffle-rows")
-    mine = rows.select("_order", "_row", F.shiftright("_row", 33).alias("_part")).join(heavy, "_order")
-    before = Window.partitionBy("_order").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    counts = mine.groupBy("_order", "_part").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
-    place = F.row_number().over(Window.partitionBy("_order", "_part").orderBy("_row")) - 1
-    nth = mine.withColumn("place", place).join(counts, ["_order", "_part"]).select("_row", (F.col("place") + F.col("before")).alias("_nth"))
-    return rows.join(nth, "_row", "left").drop("_row").withColumn("_nth", F.coalesce("_nth", F.lit(0).cast("long")))
-
-
 def external_shuffle(
     docs: DataFrame,
     n_shards: int,
@@ -60,28 +49,39 @@ def external_shuffle(
     text: str = "text",
     seed: int = SEED,
     bucket_bytes: int = BUCKET_BYTES,
+    names: tuple[str, str, str] = ("_shard", "_grown_shard", "_slot"),
 ) -> DataFrame:
-    """All rows and columns of ``docs`` with ``_shard``, ``_grown_shard`` and ``_slot``.
+    """All rows and columns of ``docs`` with shard, shard among one more, and slot, called by ``names``.
 
-    ``_slot`` counts from 0 without gaps inside each shard, in shuffled order. Reruns agree, whatever the
+    The slot counts from 0 without gaps inside each shard, in shuffled order. Reruns agree, whatever the
     partitioning: a bucket's records are put in order of (key, row hash) before they are permuted.
     A key with very many rows fills its one shard, not one bucket: buckets are counted by the shard's bytes and chosen by a hash
     of the whole row; where equal rows alone exceed a bucket, by their number among them too.
     Null keys hash as a key of their own; null texts travel as they are; repeated rows keep one slot each;
-    an empty table gives an empty result; columns that clash with the three above are refused by name.
+    a very long text is a record like any other; an empty table gives an empty result. ``names`` that are columns of ``docs``
+    already are refused (``free_names`` gives such that are not); no other name clashes.
     """
-    clash = {"_shard", "_grown_shard", "_slot", "_bucket", "_base", "_order", "_row", "_part", "_nth"} & set(docs.columns)
+    clash = set(names) & set(docs.columns)
     if clash:
         raise ValueError(f"columns {sorted(clash)} are made here")
+    # inside, the columns of docs go by number, so that none of them meets a name of this function
+    inner = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)])
+    at = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    out = T.StructType([T.StructField(at[f.name], f.dataType) for f in docs.schema.fields] + [T.StructField("_shard", T.IntegerType()), T.StructField("_grown_shard", T.IntegerType()), T.StructField("_slot", T.LongType())])
+    moved = _moved(inner, n_shards, at[key], at[text], seed, bucket_bytes, out)
+    return moved.toDF(*docs.columns, *names)
+
+
+def _moved(docs: DataFrame, n_shards: int, key: str, text: str, seed: int, bucket_bytes: int, out: T.StructType) -> DataFrame:
     weight = docs.select(shard_of(key, n_shards, seed).alias("s"), record_size(text).alias("b")).groupBy("s").agg(F.sum("b")).collect()  # a row a shard
     weight = {s: -(-b // bucket_bytes) for s, b in weight}
     per_shard = F.array(*[F.lit(max(1, weight.get(s, 1))) for s in range(n_shards)])
-    placed = docs.withColumn("_order", F.xxhash64(*docs.columns))
+    placed = docs.withColumn("_order", row_hash(docs))
     heavy = placed.groupBy("_order").agg(F.sum(record_size(text)).alias("_bytes")).where(F.col("_bytes") > bucket_bytes).select("_order")
     heavy = written(heavy, "shuffle-equal-rows")
     nth = F.lit(0).cast("long")
     if not heavy.isEmpty():
-        placed, nth = _numbered_among_equals(placed, heavy), F.col("_nth")
+        placed, nth = numbered_among_equals(placed, heavy), F.col("_nth")
     placed = placed.withColumn("_nth", nth).withColumns(
         {
             "_shard": shard_of(key, n_shards, seed),
@@ -92,7 +92,6 @@ def external_shuffle(
     before = Window.partitionBy("_shard").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     bases = sizes.select("_shard", "_bucket", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_base"))
     placed = placed.join(bases, ["_shard", "_bucket"])
-    out = T.StructType([*docs.schema.fields, T.StructField("_shard", T.IntegerType()), T.StructField("_grown_shard", T.IntegerType()), T.StructField("_slot", T.LongType())])
 
     def permute(bucket: pa.Table) -> pa.Table:
         bucket = bucket.combine_chunks()

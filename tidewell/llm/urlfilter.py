@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .storage import free_names
+
 #: Host, path prefix and verdict of the rules.
 RULES = (
     ("com", "/", "allow"),
@@ -52,7 +54,11 @@ def _top(key: str, labels: int) -> F.Column:
 
 
 def rule_table(spark: SparkSession, rules=RULES) -> DataFrame:
-    return spark.createDataFrame(list(rules), "host string, path string, verdict string")
+    """The rules as a table of literals: no row of it passes through a Python worker."""
+    if not rules:
+        return spark.sql("SELECT '' AS host, '' AS path, '' AS verdict WHERE false")
+    row = [F.struct(F.lit(h).alias("host"), F.lit(p).alias("path"), F.lit(v).alias("verdict")) for h, p, v in rules]
+    return spark.range(1).select(F.inline(F.array(*row)))
 
 
 def _chains(rules: DataFrame) -> DataFrame:
@@ -108,16 +114,13 @@ def filter_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: s
 
     The longest rule that fits (host and path together; then the longer host, then the later text) decides;
     where none fits, ``rule`` is null and the verdict is ``default``. Null urls and such without ``://`` have an empty
-    host and path, which no rule fits. Repeated rows stay; a column of one of the four names is replaced;
-    an empty table of pages or rules gives no rows or no rule.
+    host and path, which no rule fits. Repeated rows stay; a column of one of the four names is replaced, and all others pass
+    through; an empty table of pages or rules gives no rows or no rule.
     """
-    made = {"host", "path", "rule", "verdict", "_key", "_best"}
-    kept = [c for c in pages.columns if c not in made]
-    parsed = pages.withColumns({"_host": host_of(url), "_path": path_of(url)}).select(*kept, F.col("_host").alias("host"), F.col("_path").alias("path"))
-    parsed = parsed.withColumn("_key", host_key(F.col("host")))
-    stacks = sweep(parsed.select(F.col("_key").alias("key")).distinct(), rules).withColumnRenamed("key", "_key")
-    fits = F.flatten(F.transform("chain", lambda c: F.filter(c["own"], lambda r: F.startswith(F.col("path"), r["path"]))))
-    out = parsed.join(stacks, "_key", "left").withColumn("_best", F.array_max(fits))
-    return out.select(
-        *kept, "host", "path", F.col("_best.rule").alias("rule"), F.coalesce("_best.verdict", F.lit(default)).alias("verdict")
-    )
+    kept = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
+    key, chain = free_names([*kept, "host", "path"], "key", "chain")
+    parsed = pages.select(*kept, host_of(url).alias("host"), path_of(url).alias("path")).withColumn(key, host_key(F.col("host")))
+    stacks = sweep(parsed.select(F.col(key).alias("key")).distinct(), rules).select(F.col("key").alias(key), F.col("chain").alias(chain))
+    fits = F.flatten(F.transform(chain, lambda c: F.filter(c["own"], lambda r: F.startswith(F.col("path"), r["path"]))))
+    best = F.array_max(fits)
+    return parsed.join(stacks, key, "left").select(*kept, "host", "path", best["rule"].alias("rule"), F.coalesce(best["verdict"], F.lit(default)).alias("verdict"))
