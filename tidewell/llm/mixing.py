@@ -1,17 +1,19 @@
 """Mixing sources to target weights by Pareto order sampling.
 
-Every source gets a target in words. Copies that are certain (the whole part of target / size) are given to all
-of its documents; the rest is a sample of unequal inclusion probabilities across sources, drawn by ranking the
-documents by random odds over inclusion odds, (u / (1 - u)) / (p / (1 - p)), and taking them in that order
-until the source's remaining words are reached.
+Every source gets a target in words. Copies that are certain (the whole part of target / size) are given to all of its
+documents. The words that remain are a sample of unequal inclusion probabilities: a document's is in proportion to its
+size, p = c * size, with c such that the expected words are those that remain; documents for which that reaches 1 are
+taken for certain. (So few documents are repeated for the words that are needed.) Documents are ranked by random odds over inclusion odds,
+(u / (1 - u)) / (p / (1 - p)), and taken in that order as long as they fit; what the first that does not fit leaves open is
+filled by the next ones in the same order that do fit (twice), and at last by the one document whose size comes nearest.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .storage import written
+from .storage import free_names, hot_join, numbered, numbered_among_equals, written
 
 #: Fixed values of the mix: weights by rank of source, share of all words, most copies of a document.
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -20,116 +22,137 @@ MAX_COPIES = 2
 SEED = 7
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rank keys fall into this many bins a source, so that the cut is found from sums and not from a sorted source.
-BINS = 1 << 14
+BINS = 1 << 12
+#: Bins of sizes a doubling, for the constant of the inclusion probabilities.
+SIZE_BINS = 16
 
 
-def n_words(text: str = "text") -> F.Column:
+def n_words(text: str = "text") -> Column:
     return F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = MAX_COPIES) -> DataFrame:
+def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: int = MAX_COPIES) -> DataFrame:
     """(source, source_size) -> the same with ``target``: weights share out the words, none above its cap.
 
-    Handing on the excess by weight until none is above its cap ends where every source has
-    min(cap, level * weight); with sources in order of cap / weight, the level is the first whose
-    remaining words over remaining weight do not exceed the next source's cap / weight.
-    One row a source, so these windows see the catalogue of sources and not the documents.
+    The excess is handed on by weight until none is above its cap: each round is one sum over the sources, and ends with the
+    level (words a weight) of all that are below their cap.
     """
     cycle = F.array(*[F.lit(float(w)) for w in weights])
-    by_name = Window.orderBy(F.col("source").asc_nulls_last())
-    everything = Window.partitionBy()
-    filled = Window.orderBy("_ratio", F.col("source").asc_nulls_last())
-    before = filled.rowsBetween(Window.unboundedPreceding, -1)
-    level = (F.col("_total") - F.coalesce(F.sum("_cap").over(before), F.lit(0.0))) / (
-        F.col("_weights") - F.coalesce(F.sum("_w").over(before), F.lit(0.0))
-    )
-    return (
-        sizes.withColumn("_w", F.element_at(cycle, (F.pmod(F.row_number().over(by_name) - 1, F.lit(len(weights))) + 1)))
-        .withColumn("_cap", cap * F.col("source_size"))
-        .withColumn("_ratio", F.col("_cap") / F.col("_w"))
-        .withColumn("_total", share * F.sum("source_size").over(everything))
-        .withColumn("_weights", F.sum("_w").over(everything))
-        .withColumn("_level", level)
-        .withColumn("_fits", F.when(F.col("_level") <= F.col("_ratio"), F.struct(F.row_number().over(filled), F.col("_level").alias("level"))))
-        .withColumn("_level", F.min("_fits").over(everything)["level"])
-        .withColumn("target", F.coalesce(F.least(F.col("_cap"), F.col("_level") * F.col("_w")), F.col("_cap")))
-        .select("source", "source_size", F.col("target").cast("double").alias("target"))
+    known = numbered(sizes, "mix-sources", F.asc_nulls_last("source")).withColumn("_w", F.element_at(cycle, (F.pmod("_nth", F.lit(len(weights))) + 1).cast("int")))
+    known = written(known.withColumn("_cap", cap * F.col("source_size")).drop("_nth"), "mix-weights")
+    total = share * (known.agg(F.sum("source_size")).first()[0] or 0)
+    level, full = 0.0, -1
+    while True:
+        over = F.col("_cap") <= level * F.col("_w")
+        n, held, weight = known.agg(F.count_if(over), F.sum(F.when(over, F.col("_cap"))), F.sum(F.when(~over, F.col("_w")))).first()
+        if n == full or not weight:
+            break
+        full, level = n, (total - (held or 0)) / weight
+    target = F.least(F.col("_cap").cast("double"), level * F.col("_w")) if weight else F.col("_cap").cast("double")
+    return known.select("source", "source_size", target.alias("target"))
+
+
+def _chances(base: DataFrame, goals: DataFrame) -> DataFrame:
+    """(_s, _c): the constant of each source, so that the sum of size * min(1, c * size) is what remains.
+
+    Sizes are summed in bins (at most 64 * ``SIZE_BINS`` a source); from the largest bin down, bins are certain until the rest's
+    constant gives none of them a chance above 1.
+    """
+    bins = base.where("size > 0").groupBy("_s", F.floor(F.log2("size") * SIZE_BINS).alias("_b")).agg(
+        F.sum("size").alias("_one"), F.sum(F.col("size").cast("double") * F.col("size")).alias("_two"), F.max("size").alias("_most")
     )
+    bins = bins.join(goals.where("_rest > 0").select("_s", "_rest"), "_s")
+    above = Window.partitionBy("_s").orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, -1)
+    below = Window.partitionBy("_s").orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
+    c = (F.col("_rest") - F.coalesce(F.sum("_one").over(above), F.lit(0))) / F.sum("_two").over(below)
+    fits = bins.select("_s", "_b", c.alias("_c"), "_most").withColumn("_fits", F.col("_c") * F.col("_most") <= 1)
+    best = F.coalesce(F.max(F.when(F.col("_fits"), F.struct("_b", "_c"))), F.min(F.struct("_b", "_c")))
+    return fits.where("_c > 0").groupBy("_s").agg(best["_c"].alias("_c"))
+
+
+def _cut(live: DataFrame, total: int) -> DataFrame:
+    """(_s, _edge, _took): of each source the first document in rank order that does not fit any more, and the words before it."""
+    bins = live.groupBy("_s", "_bin").agg(F.sum("size").alias("_words"), F.first("_need").alias("_need"), F.first("_docs").alias("_docs"))
+    upto = Window.partitionBy("_s").orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    bins = bins.withColumn("_before", F.coalesce(F.sum("_words").over(upto), F.lit(0)))
+    crossed = F.min(F.when(F.col("_before") + F.col("_words") > F.col("_need"), F.struct("_bin", "_before")))
+    cut = written(bins.groupBy("_s").agg(crossed.alias("x"), F.sum("_words").alias("_all"), F.first("_docs").alias("_docs")), "mix-cut-bins")
+    open_ = cut.where("x is not null").select("_s", "_docs", F.col("x._bin").alias("_at"), F.col("x._before").alias("_before"))
+    here = hot_join(live.drop("_docs"), open_, "_s", "_docs", total).where("_bin = _at")
+    within = Window.partitionBy("_s").orderBy("_rank", "_row").rowsBetween(Window.unboundedPreceding, 0)
+    here = here.withColumn("_sum", F.col("_before") + F.sum("size").over(within))
+    edge = here.where("_sum > _need").groupBy("_s").agg(F.min(F.struct(F.col("_rank"), F.col("_row"), (F.col("_sum") - F.col("size")).alias("took"))).alias("e"))
+    everything = F.struct(F.lit(float("inf")).alias("_rank"), F.lit(0).cast("long").alias("_row"), F.col("_all").alias("took"))
+    both = cut.join(edge, "_s", "left").withColumn("e", F.coalesce("e", everything))
+    return both.select("_s", F.struct("e._rank", "e._row").alias("_edge"), F.col("e.took").alias("_took"))
 
 
 def pareto_mix(
     docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", seed: int = SEED, weights=WEIGHTS,
     share: float = SHARE, cap: int = MAX_COPIES, row: str | None = None,
 ) -> DataFrame:
-    """One row per document: key, size, source_size, target, copies, taken.
-
-    ``row`` names a column of numbers that tell rows apart, where keys are null or repeated: it is carried to the result,
-    draws for null keys and breaks ties between rows of one key.
+    """One row per document: key, size, source_size, target, copies, taken, and the column ``row`` if one is named.
 
-    ``copies`` is 0 to ``cap`` and ``taken`` is copies * size. Reruns agree: the random number is a hash of the key.
+    ``copies`` is 0 to ``cap`` and ``taken`` is copies * size. Reruns agree: the random number is a hash of key and text
+    (where equal rows are very many, of their number among them too).
     Null texts and texts without words have size 0 and no copies beyond the certain ones; a null source is a source,
-    ordered last; ties in rank (repeated keys) are cut by size; an empty table gives an empty result.
-    A source that holds a third of all rows is summed by bins of the rank key before the cut; only the documents of
+    ordered last; null and repeated keys are documents of their own; of equal rows, which one is taken is left open; a very
+    long text that does not fit is passed over; an empty table gives an empty result; other columns are not read.
+    A source that holds a third of all rows is summed by bins of the rank before the cut; only the documents of
     the one bin that holds the cut are sorted.
     """
-    draw = F.xxhash64(F.lit(seed), F.col(key))
-    if row:
-        draw = F.when(F.col(key).isNull(), F.xxhash64(F.lit(seed), F.lit("row"), F.col(row))).otherwise(draw)
-    own = ["_row"] if row else []
-    uniform = (F.shiftrightunsigned(draw, 11).cast("double") + 0.5) / float(1 << 53)
+    own = [F.col(row).alias("_own")] if row else []
+    mark = F.xxhash64(F.lit(seed), F.col(key), F.col(text))
     base = written(
-        docs.select(F.col(key).alias("_key"), F.col(source).alias("source"), n_words(text).alias("size"), uniform.alias("_u"), *[F.col(row).alias(c) for c in own]),
+        docs.select(F.col(key).alias("_key"), F.col(source).alias("source"), n_words(text).alias("size"), mark.alias("_order"), *own).withColumn("_row", F.monotonically_increasing_id()),
         "mix-sizes",
     )
-    sizes = base.groupBy("source").agg(F.sum("size").alias("source_size"))
-    goals = source_targets(sizes, weights, share, cap).withColumns(
-        {
-            "_whole": F.least(F.lit(cap), F.floor(F.try_divide("target", "source_size") + 1e-9)).cast("int"),
-            "_rest": F.col("target"),
-        }
-    )
-    goals = goals.withColumn("_whole", F.coalesce("_whole", F.lit(0))).withColumn(
-        "_rest", F.greatest(F.lit(0.0), F.col("target") - F.col("_whole") * F.col("source_size"))
-    )
-    goals = written(goals.withColumn("_p", F.coalesce(F.try_divide("_rest", "source_size"), F.lit(0.0))), "mix-targets")
-    goals_ = goals.withColumnRenamed("source", "_source")
-    rows = base.join(goals_, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
-    odds = F.col("_p") / (1 - F.col("_p"))
-    rows = rows.withColumn("_rank", F.try_divide(F.col("_u") / (1 - F.col("_u")), odds))
-    # rank / (1 + rank) is uniform enough to bin and keeps the order of the rank
-    rows = rows.withColumn("_bin", F.least(F.lit(BINS - 1), F.floor(F.col("_rank") / (1 + F.col("_rank")) * BINS)).cast("int"))
-    drawn = rows.where((F.col("_rest") > 0) & (F.col("size") > 0))
-    bins = drawn.groupBy("source", "_bin").agg(F.sum("size").alias("_words"), F.first("_rest").alias("_rest"))
-    upto = Window.partitionBy("source").orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
-    bins = bins.withColumn("_before", F.coalesce(F.sum("_words").over(upto), F.lit(0)))
-    cut = (
-        bins.where((F.col("_before") <= F.col("_rest")))
-        .groupBy("source")
-        .agg(F.max(F.struct("_bin", "_before")).alias("_c"))
-        .select(F.col("source").alias("_source"), F.col("_c._bin").alias("_cut"), F.col("_c._before").alias("_before"))
-    )
-    rows = rows.join(cut, F.col("source").eqNullSafe(F.col("_source")), "left").drop("_source")
-    open_ = (F.col("_rest") > 0) & (F.col("size") > 0)
-    at_cut = rows.where(open_ & (F.col("_bin") == F.col("_cut")))
-    within = Window.partitionBy("source").orderBy("_rank", "_key", *([F.xxhash64(F.lit(seed), "_row"), "_row"] if row else ["size"])).rowsBetween(Window.unboundedPreceding, -1)
-    at_cut = at_cut.withColumn("_sum", F.col("_before") + F.coalesce(F.sum("size").over(within), F.lit(0)))
-    # the document on the cut is taken if that brings the sum nearer to what remains
-    at_cut = at_cut.withColumn("_extra", (F.col("_sum") + F.col("size") / 2 <= F.col("_rest")).cast("int"))
-    elsewhere = rows.where(~F.coalesce(open_ & (F.col("_bin") == F.col("_cut")), F.lit(False)))
-    elsewhere = elsewhere.withColumn("_extra", F.coalesce(open_ & (F.col("_bin") < F.col("_cut")), F.lit(False)).cast("int"))
-    cols = [*own, "_key", "size", "source_size", "target", "_whole", "_extra"]
-    copies = F.least(F.lit(cap), F.col("_whole") + F.col("_extra"))
-    return (
-        at_cut.select(cols)
-        .unionByName(elsewhere.select(cols))
-        .select(F.col("_key").alias(key), "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).cast("long").alias("taken"), *[F.col(c).alias(row) for c in own])
+    total = base.count()
+    heavy = written(base.groupBy("_order").agg(F.count("*").alias("n")).where(F.col("n") * BINS > max(total, 1000 * BINS)).select("_order"), "mix-equal-rows")
+    if not heavy.isEmpty():
+        base = written(numbered_among_equals(base, heavy), "mix-numbered")
+    draw = F.xxhash64("_order", "_nth") if "_nth" in base.columns else F.col("_order")
+    base = base.withColumns({"_u": (F.shiftrightunsigned(draw, 11).cast("double") + 0.5) / float(1 << 53), "_s": F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("n"))})
+    sizes = base.groupBy("_s").agg(F.first("source").alias("source"), F.sum("size").alias("source_size"), F.count("*").alias("_docs"))
+    goals = source_targets(sizes.select("source", "source_size"), weights, share, cap).withColumn("_s", F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("n")))
+    whole = F.coalesce(F.least(F.lit(cap), F.floor(F.try_divide("target", "source_size") + 1e-9)), F.lit(0)).cast("int")
+    goals = goals.withColumn("_whole", whole).withColumn("_rest", F.greatest(F.lit(0.0), F.col("target") - F.col("_whole") * F.col("source_size")))
+    goals = written(goals.join(sizes.select("_s", "_docs"), "_s"), "mix-goals")
+    goals = written(goals.join(_chances(base, goals), "_s", "left").drop("source"), "mix-targets")
+    p = F.least(F.lit(1.0), F.col("_c") * F.col("size"))
+    rank = F.when(p >= 1, 0.0).otherwise(F.try_divide(F.col("_u") / (1 - F.col("_u")), p / (1 - p)))
+    ranked = hot_join(base.drop("source"), goals, "_s", "_docs", total).withColumn("_rank", F.when(F.col("_rest") > 0, rank))
+    # rank / (1 + rank) keeps the order of the rank and lies between 0 and 1
+    ranked = ranked.withColumn("_bin", F.floor(F.col("_rank") / (1 + F.col("_rank")) * BINS).cast("int"))
+    ranked = written(ranked.drop("_u", "_order", "_nth", "_c"), "mix-ranked")
+    drawn = ranked.where("_rank is not null and size > 0").select("_s", "_row", "size", "_rank", "_bin")
+
+    edges = F.array().cast("array<struct<most:double,rank:double,row:bigint>>")
+    state = goals.where("_rest > 0").select("_s", "_docs", F.col("_rest").alias("_need"), edges.alias("_edges"))
+    is_taken = F.exists("_edges", lambda e: (F.col("size") <= e["most"]) & ((F.col("_rank") < e["rank"]) | ((F.col("_rank") == e["rank"]) & (F.col("_row") < e["row"]))))
+    for most in (F.lit(float("inf")), F.col("_need"), F.col("_need")):
+        asked = state.withColumn("_most", most)
+        live = hot_join(drawn, asked, "_s", "_docs", total).where((F.col("size") <= F.col("_most")) & ~is_taken)
+        both = asked.join(_cut(live, total), "_s", "left")
+        edge = F.array(F.struct(F.col("_most").alias("most"), F.col("_edge._rank").alias("rank"), F.col("_edge._row").alias("row")))
+        grown = F.when(F.col("_edge").isNull(), F.col("_edges")).otherwise(F.concat("_edges", edge))
+        state = written(both.select("_s", "_docs", (F.col("_need") - F.coalesce("_took", F.lit(0))).alias("_need"), grown.alias("_edges")), "mix-edges")
+    live = hot_join(drawn, state, "_s", "_docs", total).where(~is_taken).withColumn("_off", F.abs(F.col("size") - F.col("_need")))
+    last = live.where("_off < _need").groupBy("_s").agg(F.min(F.struct("_off", "_rank", "_row"))["_row"].alias("_last"))
+    state = written(state.drop("_need").join(last, "_s", "left"), "mix-edges")
+    final = hot_join(ranked.drop("_docs"), goals.select("_s", "_docs").join(state.drop("_docs"), "_s", "left"), "_s", "_docs", total)
+    extra = (F.col("_rank").isNotNull() & (F.col("size") > 0)) & (F.coalesce(is_taken, F.lit(False)) | F.coalesce(F.col("_row") == F.col("_last"), F.lit(False)))
+    copies = F.least(F.lit(cap), F.col("_whole") + F.when(extra, 1).otherwise(0))
+    return final.select(
+        F.col("_key").alias(key), "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).cast("long").alias("taken"), *([F.col("_own").alias(row)] if row else [])
     )
 
 
 def repeat_mix(docs: DataFrame, mix: DataFrame, key: str = "doc_id") -> DataFrame:
-    """The documents of a mix, each as many times as it is taken, with the columns of ``docs``.
+    """The documents of a mix, each as many times as it is taken, with the columns of ``docs`` whatever their names.
 
-    ``key`` tells rows apart: where ids are null or repeated, it is the ``row`` of :func:`pareto_mix`.
+    ``key`` tells rows apart and is not null: where ids are null or repeated, it is the ``row`` of :func:`pareto_mix`.
     """
-    copies = mix.where("copies > 0").select(key, "copies")
-    return docs.join(copies, key).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(docs.columns)
+    n, copy = free_names(docs.columns, "copies", "copy")
+    copies = mix.where("copies > 0").select(key, F.col("copies").alias(n))
+    return docs.join(copies, key).select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col(n))).alias(copy)).drop(copy)
