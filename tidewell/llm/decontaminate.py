@@ -5,9 +5,11 @@ white space; their shingles are runs of five words (an item of fewer words: all
 only if enough of its shingles are those of items of its size, whatever their order, and the first of the best windows begins
 with the document or ends with such a shingle (else the window one word before it is as good): windows are laid at those
 places, at the edges of a document too. Every such window gets a 64-bit SimHash of its shingles. The fingerprint is cut into RADIUS + 1
-blocks: two fingerprints within RADIUS bits agree in one block at least, so equality of a block finds every item of the
-window's size within the radius. These are verified by the exact weighted similarity: the sum of the lesser over the sum
-of the greater multiplicities of all shingles of either side.
+blocks: two fingerprints within RADIUS bits agree in one block at least, so the items with an equal block hold every item
+within the radius. At this similarity blocks are 3 or 4 bits wide and let most items of a size through, so they are looked up
+only among the items that a window meets: of an item's shingles the rarest so many that a similar window must have one of them
+are its marks, and a window goes with the items of whose marks it has one. What is within the radius is verified by the exact
+weighted similarity: the sum of the lesser over the sum of the greater multiplicities of all shingles of either side.
 
 Fingerprints of texts of similarity 0.8 differ in 9.7 bits on average, with a deviation of 2.9: RADIUS leaves
 out less than one pair in a thousand of those, and practically none above.
@@ -25,8 +27,6 @@ from .storage import written
 WIDTH = 5
 MIN_SIMILARITY = 0.8
 RADIUS = 19
-#: Items up to this many are a small table that may be broadcast; beyond it Spark joins by shuffles.
-BROADCAST_ITEMS = 20_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -68,6 +68,31 @@ def blocks(fingerprint: str, radius: int) -> Column:
     )
 
 
+def with_bag(df: DataFrame) -> DataFrame:
+    """``df`` with ``bag``: a hash of each of ``codes`` and its number among its equals, so that bags meet as sets do."""
+    df = df.withColumn("_s", F.array_sort("codes"))
+    df = df.withColumn("_at", F.expr("filter(sequence(0, size(_s) - 1), i -> i = 0 or get(_s, i) <> get(_s, i - 1))"))
+    each = "transform(sequence(0, coalesce(get(_at, j + 1), size(_s)) - p - 1), k -> xxhash64(get(_s, p), k))"
+    return df.withColumn("bag", F.expr(f"flatten(transform(_at, (p, j) -> {each}))")).drop("_s", "_at")
+
+
+def item_marks(known: DataFrame, min_similarity: float) -> DataFrame:
+    """(n, code, item_id): the rarest shingles of each item, as many as leave out too few for the similarity.
+
+    A similar window has at least ``min_similarity`` of an item's shingles, so of any ``size - need + 1`` of them it has one.
+    """
+    codes = known.select("item_id", "n_words", F.size("codes").alias("size"), F.explode("codes").alias("code"))
+    often = codes.groupBy("n_words", "code").agg(F.count_distinct("item_id").alias("items"))
+    ranked = codes.join(often, ["n_words", "code"]).groupBy("item_id", "n_words").agg(F.first("size").alias("size"), F.sort_array(F.collect_list(F.struct("items", "code"))).alias("x"))
+    spare = (F.col("size") - F.ceil(F.col("size") * min_similarity - 1e-9) + 1).cast("int")
+    return ranked.select("item_id", F.col("n_words").alias("n"), F.explode(F.array_distinct(F.slice("x", F.lit(1), spare))["code"]).alias("code")).distinct()
+
+
+def _placed(k: int) -> Column:
+    """(pos, code, width) of each shingle of ``k`` words."""
+    return F.transform(shingles("w", k), lambda c, i: F.struct(i.alias("pos"), c.alias("code"), F.lit(k).alias("width")))
+
+
 def item_table(items: DataFrame, item: str = "item_id", text: str = "text", width: int = WIDTH, radius: int = RADIUS) -> DataFrame:
     """(item_id, n_words, width, codes, fingerprint) of the items that have words."""
     split = items.select(F.col(item).alias("item_id"), words(text).alias("w")).where(F.size("w") > 0)
@@ -75,7 +100,16 @@ def item_table(items: DataFrame, item: str = "item_id", text: str = "text", widt
         split.where(F.least(F.size("w"), F.lit(width)) == k).select("item_id", F.size("w").alias("n_words"), F.lit(k).alias("width"), shingles("w", k).alias("codes"))
         for k in range(1, width + 1)
     ]
-    return reduce(DataFrame.unionByName, each).distinct().withColumn("fingerprint", simhash(F.col("codes")))
+    return with_bag(reduce(DataFrame.unionByName, each).distinct().withColumn("fingerprint", simhash(F.col("codes"))))
+
+
+def met(prints: DataFrame, known: DataFrame, marks: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(id, item_id, n, hamming): windows and the items of their size that they have a mark of, agree with in a block, and lie near."""
+    pairs = prints.select("id", "n", F.explode(F.array_distinct("codes")).alias("code")).join(marks, ["n", "code"]).select("id", "n", "item_id").distinct()
+    pairs = pairs.join(prints.select("id", "fingerprint"), "id").join(known.select("item_id", F.col("n_words").alias("n"), F.col("fingerprint").alias("item_print")), ["item_id", "n"])
+    pairs = pairs.where(F.exists(F.zip_with(blocks("fingerprint", radius), blocks("item_print", radius), lambda x, y: x["value"] == y["value"]), lambda same: same))
+    distance = F.bit_count(F.col("fingerprint").bitwiseXOR(F.col("item_print")))
+    return pairs.select("id", "item_id", "n", distance.alias("hamming")).where(F.col("hamming") <= radius)
 
 
 def contaminations(
@@ -91,23 +125,16 @@ def contaminations(
     """
     known = written(item_table(items, item, item_text, width, radius), "benchmark-items")
     widths = [r[0] for r in known.select("width").distinct().collect()]  # 1 to ``width`` numbers
-    small = known.count() <= BROADCAST_ITEMS
-    hint = F.broadcast if small else (lambda df: df)
-    codes = known.select("n_words", "width", F.explode("codes").alias("code"))
-    # sizes of the items that have a shingle, one row each, whatever the number of items that have it there
-    marks = codes.distinct()
+    # sizes of the items that have a shingle, one row each, whatever the number of items that have it there; a written table,
+    # so that Spark knows its bytes and broadcasts it only if it is small
+    sizes = written(known.select(F.col("n_words").alias("n"), "width", F.explode("codes").alias("code")).distinct(), "benchmark-shingles")
+    marks = written(item_marks(known, min_similarity), "benchmark-marks")
     # rows of one id are told apart by their text
     named = docs.select(F.col(key).alias("doc_id"), F.xxhash64(text).alias("body"), F.col(text).alias("text"))
     split = named.select("doc_id", "body", words("text").alias("w"))
-    found = [
-        split.select("doc_id", "body", F.size("w").alias("size"), F.posexplode(shingles("w", k)).alias("pos", "code"))
-        .join(hint(marks.where(F.col("width") == k).select("code", F.col("n_words").alias("n"))), "code")
-        .select("doc_id", "body", "pos", "n", F.lit(k).alias("width"), "size")
-        for k in widths
-    ]
-    if not found:
+    if not widths:
         return split.select("doc_id", F.lit(None).cast(known.schema["item_id"].dataType).alias("item_id"), F.lit(0).alias("start_word"), F.lit(0).alias("n_words"), F.lit(0).alias("hamming"), F.lit(0.0).alias("similarity")).limit(0)
-    hits = reduce(DataFrame.unionByName, found)
+    hits = split.select("doc_id", "body", F.size("w").alias("size"), F.inline(F.concat(*[_placed(k) for k in widths]))).join(sizes, ["width", "code"])
     hits = hits if short else hits.where("size >= n")
     hits = hits.groupBy("doc_id", "body", "n", "width", "size").agg(F.sort_array(F.collect_set("pos")).alias("p"))
     # both / (a + b - both) >= s needs both >= s * (a + b) / (1 + s); a window has at most ``_own`` shingles
@@ -131,17 +158,12 @@ def contaminations(
         ],
     )
     prints = cut.withColumn("fingerprint", simhash(F.col("codes")))
-    prints = written(prints.withColumn("id", F.xxhash64("doc_id", "body", "start", "n")), "benchmark-prints")
-    probe = prints.select("id", "n", "fingerprint", F.inline(blocks("fingerprint", radius)))
-    index = known.select("item_id", F.col("n_words").alias("n"), F.col("fingerprint").alias("item_print"), F.inline(blocks("fingerprint", radius)))
-    near = probe.join(hint(index), ["n", "block", "value"]).withColumn("hamming", F.bit_count(F.col("fingerprint").bitwiseXOR(F.col("item_print"))))
-    near = near.where(F.col("hamming") <= radius).select("id", "item_id", "n", "hamming").distinct()
-    sides = near.join(prints.select("id", "doc_id", "start", "own", F.col("codes").alias("a")), "id").join(
-        hint(known.select("item_id", F.col("n_words").alias("n"), F.col("codes").alias("b"))), ["item_id", "n"]
+    prints = written(with_bag(prints).withColumn("id", F.xxhash64("doc_id", "body", "start", "n")), "benchmark-prints")
+    near = met(prints, known, marks, radius)
+    sides = near.join(prints.select("id", "doc_id", "start", "own", F.col("bag").alias("a")), "id").join(
+        known.select("item_id", F.col("n_words").alias("n"), F.col("bag").alias("b")), ["item_id", "n"]
     )
-    # sum of lesser multiplicities: each distinct shingle of the window, as often as both sides have it
-    times = lambda codes, c: F.size(F.filter(codes, lambda x: x == c))
-    both = F.aggregate(F.array_intersect("a", "b"), F.lit(0), lambda s, c: s + F.least(times(F.col("a"), c), times(F.col("b"), c)))
+    both = F.size(F.array_intersect("a", "b"))  # the sum of lesser multiplicities
     judged = sides.withColumn("_both", both).withColumn("similarity", F.col("_both") / (F.size("a") + F.size("b") - F.col("_both")))
     best = F.min(F.struct((-F.col("similarity")).alias("s"), "start", F.col("own").alias("n"), "hamming"))
     return (
