@@ -8,7 +8,7 @@ the loop stops early, after one or two steps for a text of ordinary length.
 Texts with equal shingle sets are one class; only classes are banded. In a bucket the least class is the pivot and
 each other member is verified against it, on full sets. For members that are still apart after that, the number of shingles
 that each shares with any of them bounds its similarity to every one of them. Those that these bounds leave open are
-grouped by the buckets they share, and a group is verified block by block: a task holds two blocks of texts and counts all
+verified bucket by bucket, and a bucket block by block: a task holds two blocks of texts and counts all
 intersections by one matrix product. No link between classes that share a bucket is left out, and no pairs are written but links.
 """
 
@@ -20,12 +20,12 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewell.operators.clusters import connected_components
 
-from .storage import written
+from .storage import hot_join, written
 from .textarrays import Words, mix64, shingle_sets, slices
 
 #: 32 bands of 4 places: two texts of similarity 0.8 share no band with a chance of 5e-8.
@@ -88,18 +88,23 @@ def _signatures(width: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Re
                 short = mix64(np.where(np.isfinite(ranks), ranks, 0.0).view(np.uint64)).astype(np.uint16)
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch["doc_id"].slice(lo, hi - lo),
+                    *[batch[c].slice(lo, hi - lo) for c in ("doc_id", "ta", "tb")],
                     pa.array(sizes.astype(np.int64)),
                     pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()),
                     pa.array([x.tobytes() for x in short], pa.binary()),
                 ],
-                names=["doc_id", "n_shingles", "class_key", "signature"],
+                names=["doc_id", "ta", "tb", "n_shingles", "class_key", "signature"],
             )
 
 
+def hashed(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(doc_id, ta, tb, text): two hashes of a text find it again, whatever ids are null or repeated."""
+    return docs.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(text).alias("ta"), F.xxhash64(F.lit(1), F.col(text)).alias("tb"), F.col(text).alias("text"))
+
+
 def signatures(docs: DataFrame, width: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(
-        partial(_signatures, width), "doc_id long, n_shingles long, class_key binary, signature binary"
+    return hashed(docs, key, text).mapInArrow(
+        partial(_signatures, width), "doc_id long, ta long, tb long, n_shingles long, class_key binary, signature binary"
     )
 
 
@@ -125,8 +130,8 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Da
     Partners of a pivot are dealt into cells of about ``CELL``, each with its own copy of the pivot's text, so a pivot
     with very many partners is spread over tasks.
     """
-    share = pairs.groupBy("u").agg(F.ceil(F.count("*") / CELL).cast("int").alias("cells"))
-    dealt = pairs.join(share, "u").withColumn("cell", F.pmod(F.xxhash64("v"), F.col("cells")).cast("int"))
+    share = written(pairs.groupBy("u").agg(F.count("*").alias("n"), F.ceil(F.count("*") / CELL).cast("int").alias("cells")), "minhash-shares")
+    dealt = hot_join(pairs, share, "u", "n", pairs.count(), merge=True).withColumn("cell", F.pmod(F.xxhash64("v"), F.col("cells")).cast("int"))
     others = dealt.join(texts, dealt.v == texts.doc_id).select(F.col("u"), "cell", F.col("v").alias("other"), "text")
     pivots = share.join(texts, share.u == texts.doc_id).select(
         F.col("u").alias("p"), F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("c"), F.col("text").alias("pivot_text")
@@ -185,22 +190,28 @@ def _block_links(width: int, percent: int, key: tuple, rows: pa.Table) -> pa.Tab
 def block_links(open_: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     """(u, v): links among open classes (bucket, rep, g) of which some bucket holds both.
 
-    Groups are the components of sharing a bucket. A group is dealt into blocks of about ``BLOCK`` texts, and each two blocks
-    meet in one task; a text goes out once a block of its group, and tasks are bounded however large the group is.
+    A bucket is dealt into blocks of about ``BLOCK`` texts, and each two blocks meet in one task: tasks are bounded however
+    large a bucket is. Of buckets that hold the same classes (near copies share most of their bands) one is enough.
     """
-    first = open_.groupBy("bucket").agg(F.min("rep").alias("v"))
-    ties = open_.join(first, "bucket").where("rep <> v").select(F.col("rep").alias("u"), "v").distinct()
-    member = written(connected_components(ties), "minhash-open-groups").withColumnsRenamed({"node": "rep", "component": "group"})
-    blocks = member.groupBy("group").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    rows = member.join(blocks, "group").join(open_.select("rep", "g").distinct(), "rep").join(texts, F.col("rep") == texts.doc_id)
+    mark = lambda *c: F.bit_xor(F.xxhash64(*c))
+    sets = open_.groupBy("bucket").agg(F.count("*").alias("m"), mark("rep").alias("h"), mark(F.lit(1), F.col("rep")).alias("i"))
+    sets = sets.groupBy("m", "h", "i").agg(F.min("bucket").alias("bucket")).select("bucket", "m", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
+    sets = written(sets, "minhash-bucket-sets")
+    rows = hot_join(open_.select("bucket", "rep", "g"), sets, "bucket", "m", open_.count())
     rows = rows.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cells = rows.select("group", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "rep", "g", "block", "text")
+    rows = rows.join(texts, F.col("rep") == texts.doc_id)
+    cells = rows.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "rep", "g", "block", "text")
 
     def links(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         return _block_links(width, percent, key, table)
 
-    return cells.groupBy("group", "i", "j").applyInArrow(links, "u long, v long")
+    return cells.groupBy("bucket", "i", "j").applyInArrow(links, "u long, v long").distinct()
+
+
+def _by_bucket(rows: DataFrame, per_bucket: DataFrame, name: str) -> DataFrame:
+    """``rows`` with facts of their bucket: sums by bucket are made in parts, and a bucket of very many rows is not shuffled whole."""
+    return hot_join(rows, written(per_bucket, name), "bucket", "m", rows.count(), merge=True)
 
 
 def near_duplicates(
@@ -210,48 +221,52 @@ def near_duplicates(
 
     Documents are linked where 100 * shared >= percent * all of their distinct word shingles (lower-cased A-Z, words between
     ASCII white space; a text of fewer words than ``width`` is one shingle). Null and blank texts have no shingle and
-    no link: each is a component by itself. Equal texts are one class and so one component; repeated ids are one document
-    to the grouping and keep their rows; a very long text is one set; an empty table gives an empty result; other columns
-    are not read. The component id is the least id reachable.
+    no link: each is a component by itself. Every row is a document: rows that repeat an id have each their own text and
+    links. The component id is the least id reachable (null only where no row of the component has an id), and a row is kept
+    if that is its own. Equal texts are one class and so one component; a very long text is one set; an empty table gives an
+    empty result; other columns are not read.
     """
     signed = written(signatures(docs, width, key, text), "minhash-signatures")
     full = signed.where("n_shingles > 0")
-    classes = full.groupBy("class_key").agg(F.min("doc_id").alias("rep"))
-    reps = full.join(classes.select("rep").withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi").select("doc_id", "n_shingles", "signature").dropDuplicates(["doc_id"])
-    bands = reps.select(
-        F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"),
+    # a class is a set of shingles: it has a number, its least id, and the row whose text stands for it
+    row = F.first(F.struct(F.col("doc_id").alias("id"), F.col("ta").alias("a"), F.col("tb").alias("b"), F.col("n_shingles").alias("n"), "signature"))
+    classes = full.groupBy("class_key").agg(F.min("doc_id").alias("least"), F.count("*").alias("docs"), row.alias("x"))
+    classes = written(classes.select("class_key", "least", "docs", "x.*").withColumn("rep", F.monotonically_increasing_id()), "minhash-classes")
+    bands = classes.select(
+        "rep", "n",
         F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.substring("signature", i * (2 * ROWS) + 1, F.lit(2 * ROWS)))),
     ).select("rep", "n", F.xxhash64("pos", "col").alias("bucket"))
-    bucket = Window.partitionBy("bucket")
-    shared = (
-        bands.withColumns({"pivot": F.min("rep").over(bucket), "pivot_n": F.min(F.struct("rep", "n")).over(bucket)["n"], "most": F.max("rep").over(bucket)})
-        .where("most > pivot").drop("most")
-    )
-    shared = written(shared, "minhash-buckets")
+    pivots = bands.groupBy("bucket").agg(F.count("*").alias("m"), F.min("rep").alias("pivot"), F.min_by("n", "rep").alias("pivot_n")).where("m > 1")
+    shared = written(_by_bucket(bands, pivots, "minhash-pivots"), "minhash-buckets")
     # the classes that share a bucket grow with the corpus: both sides are shuffled, once, and later joins read this table
-    texts = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    named = shared.select(F.col("rep").alias("doc_id")).distinct().hint("merge")
-    texts = written(texts.join(named, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "minhash-texts")
+    wanted = shared.select("rep").distinct().join(classes.select("rep", "docs", F.col("id").alias("_id"), F.col("a").alias("ta"), F.col("b").alias("_b")), "rep")
+    texts = hot_join(hashed(docs, key, text), written(wanted, "minhash-wanted"), "ta", "docs", signed.count(), merge=True)
+    texts = texts.where(F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("tb") == F.col("_b"))).select(F.col("rep").alias("doc_id"), "text")
+    texts = written(texts.dropDuplicates(["doc_id"]), "minhash-texts")
     near = lambda a, b: 100 * F.least(a, b) >= percent * F.greatest(a, b)
     first = shared.where((F.col("rep") != F.col("pivot")) & near(F.col("n"), F.col("pivot_n"))).select(
         F.col("pivot").alias("u"), F.col("rep").alias("v")
     )
-    links = written(verified(first.distinct(), texts, width, percent), "minhash-links")
+    links = written(verified(written(first.distinct(), "minhash-pairs"), texts, width, percent), "minhash-links")
     groups = written(connected_components(links), "minhash-groups")
     # buckets whose members are not one group yet: every pair across groups that was not tried
-    label = F.coalesce("component", "rep")
-    named = shared.join(groups.withColumnRenamed("node", "rep"), "rep", "left").withColumn("g", label).drop("component")
-    mixed = named.withColumns({"lo": F.min("g").over(bucket), "hi": F.max("g").over(bucket)}).where("lo < hi").select("bucket", "rep", "n", "g", "pivot")
-    mixed = written(mixed, "minhash-mixed")
+    named = shared.select("bucket", "rep", "n").join(groups.withColumnRenamed("node", "rep"), "rep", "left")
+    named = written(named.select("bucket", "rep", "n", F.coalesce("component", "rep").alias("g")), "minhash-named", shared)
+    several = named.groupBy("bucket").agg(F.count("*").alias("m"), F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo < hi").select("bucket", "m")
+    mixed = written(_by_bucket(named, several, "minhash-several").drop("m"), "minhash-mixed", named)
     mixed = mixed.join(written(shared_shingles(mixed.select("rep").distinct(), texts, width), "minhash-shared"), "rep")
     # x and y share at most what either shares with anyone, so y may have at most ``limit`` shingles (and x at most y's limit)
     mixed = mixed.withColumn("limit", F.floor(F.col("common") * (100 + percent) / percent) - F.col("n")).where(F.col("common") * 100 >= F.col("n") * percent)
-    mixed = mixed.withColumns({"least": F.min("n").over(bucket), "most": F.max("limit").over(bucket)}).where("limit >= least and n <= most")
-    mixed = written(mixed.drop("least", "most"), "minhash-open")
+    mixed = written(mixed, "minhash-bounded")
+    bounds = mixed.groupBy("bucket").agg(F.count("*").alias("m"), F.min("n").alias("least"), F.max("limit").alias("most"))
+    mixed = _by_bucket(mixed, bounds, "minhash-bounds").where("limit >= least and n <= most").select("bucket", "rep", "g")
+    mixed = written(mixed, "minhash-open")
     more = written(block_links(mixed, texts, width, percent), "minhash-links")
     if not more.isEmpty():
         groups = written(connected_components(links.union(more)), "minhash-groups")
-    member = full.select("doc_id", "n_shingles", "class_key").join(classes, "class_key").select("doc_id", "n_shingles", "rep")
-    member = member.join(groups.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
+    member = classes.select("class_key", "docs", "least", "rep").join(groups.withColumnRenamed("node", "rep"), "rep", "left").withColumn("g", F.coalesce("component", "rep"))
+    ids = member.groupBy("g").agg(F.min("least").alias("component_id"))
+    member = written(member.join(ids, "g").select("class_key", "docs", "component_id"), "minhash-members")
+    found = hot_join(full.select("doc_id", "n_shingles", "class_key"), member, "class_key", "docs", signed.count(), merge=True).select("doc_id", "n_shingles", "component_id")
     alone = signed.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return member.union(alone).withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    return found.union(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
