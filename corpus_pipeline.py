@@ -1,10 +1,10 @@
 """From raw documents to shards of a training mix: each stage is one operator of ``tidewell.llm``.
 
 ``STAGES`` are run in order; each takes all that its predecessor kept and its result is written as Parquet and read again as
-the next one's documents. All but the last return the columns of ``documents``.
+the next one's documents. All but the last return the columns of ``documents``, whatever other columns these have.
 
 Every row is a document, whatever its ``doc_id``: ids may be null or repeated, so the middle stages number the rows and
-choose them by number.
+choose them by number. Columns of the documents keep their names and values: what a stage makes takes a name that is free.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewell.llm import decontaminate, minhash, mixing, quality, shuffle
-from tidewell.llm.storage import table, written
+from tidewell.llm.storage import free_names, table, written
 
 N_SHARDS = 40
 
@@ -21,42 +21,45 @@ N_SHARDS = 40
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose Bradley-Terry score reaches the cut; learned from all labels."""
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
-    scores = quality.scored(docs, model, tuple(docs.columns))
-    return scores.where(F.col("score") >= quality.CUT).select(*docs.columns)
+    (score,) = free_names(docs.columns, "score")
+    scores = quality.scored(docs, model, tuple(docs.columns), out=score)
+    return scores.where(F.col(score) >= quality.CUT).select(*docs.columns)
 
 
-def numbered(docs: DataFrame) -> DataFrame:
-    """``docs`` with a number of its own in each row, written so that later reads find the same numbers."""
-    return written(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` with a number of its own in each row, written so that later reads find the same numbers, and the number's name."""
+    (row,) = free_names(docs.columns, "row")
+    return written(docs.withColumn(row, F.monotonically_increasing_id()), "numbered"), row
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row, one of the least id (null ids last), of each group of near-duplicates (five words, similarity 0.8)."""
-    rows = numbered(docs)
-    member = minhash.near_duplicates(rows, width=5, percent=80, key="_row").select(F.col("doc_id").alias("_row"), "component_id")
-    least = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_row"))
-    kept = member.join(rows.select("_row", "doc_id"), "_row").groupBy("component_id").agg(least.alias("x")).select("x._row")
-    return rows.join(kept, "_row", "left_semi").select(*docs.columns)
+    rows, row = numbered(docs)
+    member = minhash.near_duplicates(rows, width=5, percent=80, key=row).select(F.col("doc_id").alias("node"), "component_id")
+    ids = rows.select(F.col(row).alias("node"), F.col("doc_id").alias("id"))
+    least = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "node"))
+    kept = member.join(ids, "node").groupBy("component_id").agg(least.alias("x")).select(F.col("x.node").alias(row))
+    return rows.join(kept, row, "left_semi").select(*docs.columns)
 
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no benchmark item was found."""
-    rows = numbered(docs)
-    found = decontaminate.contaminations(rows, table(spark, sf_dir, "benchmark"), key="_row", short=True)
-    found = found.select(F.col("doc_id").alias("_row")).distinct()
-    return rows.join(written(found, "contaminated"), "_row", "left_anti").select(*docs.columns)
+    rows, row = numbered(docs)
+    found = decontaminate.contaminations(rows, table(spark, sf_dir, "benchmark"), key=row, short=True)
+    found = found.select(F.col("doc_id").alias(row)).distinct()
+    return rows.join(written(found, "contaminated"), row, "left_anti").select(*docs.columns)
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents of the mix, once a copy taken."""
-    rows = numbered(docs)
-    return mixing.repeat_mix(rows, mixing.pareto_mix(rows, row="_row"), "_row").select(*docs.columns)
+    rows, row = numbered(docs)
+    return mixing.repeat_mix(rows, mixing.pareto_mix(rows, row=row), row).select(*docs.columns)
 
 
 def shard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents of the mix with their shard and slot."""
-    moved = shuffle.external_shuffle(docs, N_SHARDS)
-    return moved.withColumnsRenamed({"_shard": "shard", "_slot": "slot"}).drop("_grown_shard")
+    """All documents of the mix with their ``shard`` and ``slot`` (with underscores at the end where the documents have such columns)."""
+    shard, slot, grown = free_names(docs.columns, "shard", "slot", "grown_shard")
+    return shuffle.external_shuffle(docs, N_SHARDS, names=(shard, grown, slot)).drop(grown)
 
 
 STAGES = [

@@ -288,7 +288,7 @@ def _jobs(spark, sf_dir) -> DataFrame:
     none = F.lit(None).cast("string")
     return v.select(
         F.col("candidate_id").alias("job_id"), F.col("title").alias("title_original"), "company_name", text.normalize_company("company_name").alias("company_normalized"), F.concat("description", F.lit(". Pay is 15-20 LPA.")).alias("description_text"), none.alias("description_html"),
-        F.lit("Pune").alias("city"), none.alias("state"), none.alias("work_mode"), F.lit("Full-time").alias("employment_type"), F.lit("unknown").alias("india_relevance"), F.when(F.col("candidate_id") % 9 > 0, F.concat(F.lit("https://x/"), "candidate_id")).otherwise("ftp://x").alias("canonical_apply_url"),
+        F.lit("Pune").alias("city"), none.alias("state"), none.alias("work_mode"), F.lit("Full-time").alias("employment_type"), F.lit("unknown").alias("india_relevance"), F.when(F.col("candidate_id") % 9 > 0, F.concat(F.lit("https://x/"), "candidate_id")).otherwise(F.concat(F.lit("ftp://x/"), "candidate_id")).alias("canonical_apply_url"),
         F.lit("2024-01-02").cast("timestamp").alias("posted_at"), none.alias("structure_status"), none.alias("structure_hash"), F.concat(F.lit("fp"), "candidate_id").alias("exact_fingerprint"), "source_type", "source_job_id",
         F.array().cast("array<string>").alias("skills"), *[F.lit(None).cast(t).alias(c) for c, t in (("salary_min", "decimal(18,2)"), ("salary_max", "decimal(18,2)"), ("salary_currency", "string"), ("salary_period", "string"))],
         F.lit("2024-01-01").cast("timestamp").alias("fetched_at"), F.lit("2024-01-02").cast("timestamp").alias("checked_at"),
