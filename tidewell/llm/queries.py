@@ -23,6 +23,7 @@ def op1_bradley_terry(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every sequence with its place, in ranges of whole shards; ``trainorder.write_shards`` puts the same rows into files."""
     return trainorder.training_order(table(spark, sf_dir, "documents"))
 
 
