@@ -6,8 +6,9 @@ above 1 the bucket is skipped whole; if t is small, vectors too short to reach i
 the bucket's sorted coordinate lists give the feasible range of the query's strongest coordinates, and the list with
 the fewest vectors is taken (coordinate pruning). What is left is verified by exact integer products.
 
-Two waves: the first takes the buckets of the longest vectors and yields each query's k-th best score so far;
-the second visits the other buckets with that bound.
+Two waves: the first takes the one bucket of the longest vectors and yields each query's k-th best score so far. With it,
+queries are put in order of the length that they need and cut into blocks; the second wave sends a bucket's vectors only
+to the blocks that they can reach, and a query only to the buckets that can reach it.
 """
 
 from __future__ import annotations
@@ -15,15 +16,18 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .storage import written
+from .storage import numbered, written
 
 #: Vectors of a bucket, queries of a block: together the largest cell that a task holds.
-BUCKET_ROWS = 4096
-BLOCK_ROWS = 4096
+BUCKET_ROWS = 16_384
+BLOCK_ROWS = 16_384
+#: Products below this are exact in floats.
+EXACT = float(1 << 53)
 #: Below this local cosine threshold coordinate ranges are too wide to prune.
 LENGTH_ONLY = 0.3
 FOCUS = 6
@@ -78,27 +82,61 @@ class _Bucket:
         return self.order[left:right, f] if right - left < len(long_enough) else long_enough
 
 
-def _cell(k: int, vectors: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-    """The k best of one bucket for each query of one block."""
-    out: list[tuple] = []
-    if len(vectors) and len(queries):
-        for size, same in vectors.groupby(vectors["q"].map(len)):
-            bucket = _Bucket(same["vec_id"].to_numpy(), np.stack(same["q"].to_numpy()).astype(np.float64).reshape(len(same), size))
-            asked = queries[queries["q"].map(len) == size]
-            for q_id, q, bound in zip(asked["query_id"], asked["q"], asked["bound"], strict=True):
-                q = np.asarray(q, dtype=np.float64)
+def _by_dimension(rows: pa.Table, name: str) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(dimension, positions, ids, vectors as rows of integers)."""
+    rows = rows.combine_chunks()
+    sizes = pc.list_value_length(rows["q"]).to_numpy()
+    for size in np.unique(sizes):
+        at = np.flatnonzero(sizes == size)
+        flat = rows["q"].take(pa.array(at)).combine_chunks().flatten().to_numpy()
+        yield int(size), at, rows[name].to_numpy()[at], flat.reshape(len(at), size)
+
+
+def _cell(k: int, vectors: pa.Table, queries: pa.Table) -> pa.Table:
+    """The k best of one bucket for each query of one block, as far as they reach the query's bound."""
+    asked_ids, found_ids, scores = [], [], []
+    if vectors.num_rows and queries.num_rows:
+        asked = {size: (at, ids, q) for size, at, ids, q in _by_dimension(queries, "query_id")}
+        bounds = queries["bound"].to_numpy()
+        for size, _, ids, whole in _by_dimension(vectors, "vec_id"):
+            if size not in asked:
+                continue
+            bucket = _Bucket(ids, whole.astype(np.float64))
+            for at, q_id, q_whole in zip(*asked[size], strict=True):
+                q, bound = q_whole.astype(np.float64), bounds[at]
                 near = bucket.candidates(q, bound)
+                near = near[ids[near] != q_id]
                 if not len(near):
                     continue
-                near = near[bucket.ids[near] != q_id]
-                score = bucket.rows[near] @ q
-                ids = bucket.ids[near]
-                if len(near) > 4 * k:  # keep all that tie with the k-th
+                if bucket.longest * float(np.sqrt((q * q).sum())) < EXACT:
+                    score = (bucket.rows[near] @ q).astype(np.int64)
+                else:  # products beyond what floats hold: integers of any size, cut to a long at last
+                    score = np.array([min(max(int(x), -(1 << 63)), (1 << 63) - 1) for x in whole[near].astype(object) @ q_whole.astype(object)], dtype=np.int64)
+                own = ids[near]
+                reach = score >= bound * (1 - SLACK) if bound > 0 else score >= bound
+                score, own = score[reach], own[reach]
+                if len(score) > 4 * k:  # keep all that tie with the k-th
                     least = np.partition(score, len(score) - k)[len(score) - k]
-                    score, ids = score[score >= least], ids[score >= least]
-                best = np.lexsort((ids, -score))[:k]
-                out += zip([q_id] * len(best), ids[best], score[best], strict=True)
-    return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype("int64")
+                    score, own = score[score >= least], own[score >= least]
+                best = np.lexsort((own, ~score))[:k]
+                asked_ids.append(np.full(len(best), q_id))
+                found_ids.append(own[best])
+                scores.append(score[best])
+    put = lambda parts: pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int64), pa.int64())
+    return pa.table({"query_id": put(asked_ids), "vec_id": put(found_ids), "score": put(scores)})
+
+
+def reached_cells(buckets: DataFrame, blocks: DataFrame) -> DataFrame:
+    """(bucket, block, least): the buckets (bucket, top) whose longest vector reaches what some query of a block (block, least) needs.
+
+    Buckets are numbered from the longest vectors on, so a block reaches those up to a last one. It is found in one sorted
+    sweep over both catalogues (a row a bucket or block): no bucket is set against all blocks.
+    """
+    events = buckets.select((F.col("top") * (1 + SLACK)).alias("x"), F.lit(0).alias("kind"), "bucket", F.lit(None).cast("int").alias("block"), F.lit(None).cast("double").alias("least"))
+    events = events.unionByName(blocks.select(F.col("least").alias("x"), F.lit(1).alias("kind"), F.lit(None).cast("int").alias("bucket"), "block", "least"))
+    sweep = Window.orderBy(F.desc("x"), "kind").rowsBetween(Window.unboundedPreceding, 0)
+    last = events.withColumn("last", F.max("bucket").over(sweep)).where("kind = 1 and last is not null")
+    return last.select("block", "least", F.explode(F.sequence(F.lit(0), F.col("last"))).alias("bucket"))
 
 
 def norm_bucket_topk(
@@ -109,44 +147,58 @@ def norm_bucket_topk(
 
     Vectors that are null or hold null or non-finite components take no part. A row with the query's own id is never its
     answer. Vectors of another dimension than the query's are no candidates; an empty vector scores 0 with other empty ones.
-    Repeated ids count once a distinct vector. Empty tables give an empty result; other columns are not read.
+    Repeated ids count once a distinct vector. Components beyond a long are the nearest long; products are exact
+    integers, and such that a long cannot hold are the nearest that it can. A very long vector is one row of its bucket. Empty
+    tables give an empty result; other columns are not read.
     """
-    norm = F.aggregate("q", F.lit(0).cast("long"), lambda a, x: a + x * x)
+    square = F.aggregate("q", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
     base = (
         vectors.where(usable(vector))
         .select(F.col(id_col).cast("long").alias("vec_id"), quantised(vector, scale).alias("q"))
-        .where("vec_id is not null").distinct().withColumn("norm", norm)
+        .where("vec_id is not null").distinct().withColumn("norm", square)
     )
+    base = written(base, "topk-vectors")
     rows = base.count()
-    n_buckets = max(1, -(-rows // bucket_rows))
-    placed = base.repartitionByRange(n_buckets, F.col("norm").desc(), "vec_id").withColumn("bucket", F.spark_partition_id())
-    placed = written(placed, "topk-buckets")
+    bucket_rows = min(bucket_rows, max(1024, -(-rows // 64)))  # small tables are buckets too
+    placed = numbered(base, "topk-order", F.col("norm").desc(), F.col("vec_id")).withColumn("bucket", F.floor(F.col("_nth") / bucket_rows).cast("int")).drop("_nth")
+    placed = written(placed, "topk-buckets", base)
     asked = queries.where(usable(vector)).select(F.col(id_col).cast("long").alias("query_id"), quantised(vector, scale).alias("q"))
-    asked = asked.where("query_id is not null").distinct().withColumn("qnorm", norm)
+    asked = written(asked.where("query_id is not null").distinct().withColumn("qnorm", square), "topk-queries")
     n_blocks = max(1, -(-asked.count() // block_rows))
-    asked = asked.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)).cast("int"))
-    # longest vectors first: bucket numbers follow the range order, and a row a bucket is a small table
-    buckets = placed.groupBy("bucket").agg(F.max("norm").alias("top"), F.count("*").alias("n"))
-    buckets = buckets.select("bucket", "top", F.sum("n").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)).alias("ahead"))
-    first = max(bucket_rows, rows // 8)
-
-    def visit(which: DataFrame, bounded: DataFrame) -> DataFrame:
-        """Cells of (bucket, block), each of bounded size, with the queries whose bound the bucket can reach."""
-        sides = which.select("bucket", "top", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("block"))
-        left = placed.join(sides.select("bucket", "block"), "bucket").select(F.col("bucket").alias("cell"), F.col("block").alias("part"), "vec_id", "q")
-        reach = (F.col("bound") <= 0) | (F.col("bound") * F.col("bound") <= F.col("qnorm").cast("double") * F.col("top") * (1 + 1e-9))
-        right = bounded.join(sides, "block").where(reach).select("bucket", "block", "query_id", "q", "bound")
-        return left.groupBy("cell", "part").cogroup(right.groupBy("bucket", "block")).applyInPandas(
-            lambda a, b: _cell(k, a, b), "query_id long, vec_id long, score long"
+    buckets = written(placed.groupBy("bucket").agg(F.max("norm").alias("top")), "topk-catalogue")
+    first = 0
+
+    def visit(cells: DataFrame, bounded: DataFrame) -> DataFrame:
+        """The best of each (bucket, block, least, top) cell; vectors and queries that a cell cannot need are not sent there."""
+        left = placed.join(cells.select("bucket", "block", "least"), "bucket").where(F.col("norm") * (1 + SLACK) >= F.col("least"))
+        right = bounded.join(cells.select("bucket", "block", "top"), "block").where(F.col("need") <= F.col("top") * (1 + SLACK))
+
+        def best(a: pa.Table, b: pa.Table) -> pa.Table:
+            return _cell(k, a, b)
+
+        return (
+            left.select(F.col("bucket").alias("b"), F.col("block").alias("c"), "vec_id", "q").groupBy("b", "c")
+            .cogroup(right.select("bucket", "block", "query_id", "q", "bound").groupBy("bucket", "block"))
+            .applyInArrow(best, "query_id long, vec_id long, score long")
         )
 
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    near = visit(buckets.where(F.coalesce("ahead", F.lit(0)) < first), asked.withColumn("bound", F.lit(float("-inf"))))
+    # every query against the one bucket of the longest vectors: its k-th score there is its bound
+    unbound = asked.withColumns({"block": F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)).cast("int"), "bound": F.lit(float("-inf")), "need": F.lit(0.0)})
+    some = buckets.where(F.col("bucket") == first).select("bucket", "top", F.lit(0.0).alias("least"), F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("block"))
+    near = visit(some, unbound)
     near = written(near.distinct().withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).drop("rank"), "topk-first")
     kth = near.groupBy("query_id").agg(F.min("score").alias("kth"), F.count("*").alias("found"))
-    bound = F.when(F.col("found") == k, F.col("kth").cast("double")).otherwise(F.lit(float("-inf")))
-    bounded = asked.join(kth, "query_id", "left").withColumn("bound", F.coalesce(bound, F.lit(float("-inf")))).select(asked.columns + ["bound"])
-    rest = visit(buckets.where("ahead >= " + str(first)), bounded)
+    bound = F.when(F.col("found") >= k, F.col("kth").cast("double")).otherwise(F.lit(float("-inf")))
+    bounded = asked.join(kth, "query_id", "left").withColumn("bound", F.coalesce(bound, F.lit(float("-inf"))))
+    # the squared length that a vector must have to reach the bound; queries of like needs share a block
+    need = F.when((F.col("bound") > 0) & (F.col("qnorm") > 0), F.col("bound") * F.col("bound") / F.col("qnorm") * (1 - SLACK)).otherwise(F.lit(0.0))
+    bounded = bounded.withColumn("need", need).select("query_id", "q", "bound", "need")
+    bounded = numbered(bounded, "topk-needs", F.col("need"), F.col("query_id")).withColumn("block", F.floor(F.col("_nth") / block_rows).cast("int")).drop("_nth")
+    bounded = written(bounded, "topk-bounded")
+    blocks = bounded.groupBy("block").agg(F.min("need").alias("least"))
+    cells = reached_cells(buckets, blocks).where(F.col("bucket") != first).join(buckets, "bucket")
+    rest = visit(written(cells, "topk-cells"), bounded)
     return (
         near.unionByName(rest).distinct().withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
         .select("query_id", "rank", "vec_id", "score")
