@@ -35,6 +35,8 @@ GRAM, SECOND_GRAM = 32, 80
 #: Windows of a stretch at most, of a run at most, and of a range of the merge (expected).
 STRETCH = 128
 RUN = 400_000
+#: Windows (expected) whose run a task makes.
+TASK = 250_000
 RANGE = 200_000
 #: Open pieces (expected) and windows of each that are sampled for the bounds of the ranges.
 SAMPLE_PIECES, SAMPLE_WINDOWS = 20_000, 2
@@ -222,30 +224,34 @@ def _runs(length: int, bounds: list[bytes], batches: Iterator[pa.RecordBatch]) -
         yield flush()
 
 
-def _decoded(shared: bytes, rest: bytes, docs: bytes, pos: bytes, length: int) -> tuple[list, list, list]:
-    strings, last, at = [], b"", 0
-    for h in shared:
+Head = tuple[bytes, int, tuple[int, int]]
+
+
+def _decoded(shared: bytes, rest: bytes, docs: bytes, pos: bytes, length: int) -> Iterator[Head]:
+    """(window, prefix shared with the one before, place) of a front-coded run, one at a time."""
+    last, at = b"", 0
+    for h, d, p in zip(shared, np.frombuffer(docs, np.int64), np.frombuffer(pos, np.int64), strict=True):
         last = last[:h] + rest[at : at + length - h]
         at += length - h
-        strings.append(last)
-    return strings, list(shared), list(zip(np.frombuffer(docs, np.int64).tolist(), np.frombuffer(pos, np.int64).tolist(), strict=True))
+        yield last, h, (int(d), int(p))
 
 
-def merge_runs(runs: list[tuple[list, list, list]], length: int = LENGTH) -> Iterator[tuple[int, tuple, bytes]]:
+def merge_runs(runs: list[Iterator[Head]], length: int = LENGTH) -> Iterator[tuple[int, tuple, bytes]]:
     """(prefix shared with the window before, place, window) in order of (window, place), by a loser tree.
 
     A run's head carries the length of the prefix it shares with the last window put out. Of two heads the one with the
     longer such prefix is the lesser, unseen bytes are compared only where both are equal, and what that comparison
     finds is the loser's prefix from then on. A run's next window brings its front-coded prefix: its
-    predecessor in the run was the last one put out.
+    predecessor in the run was the last one put out. Only the heads are unpacked.
     """
     k = len(runs)
     size = 1
     while size < k:
         size *= 2
-    index = [0] * k
     known = [0] * size  # prefix of each run's head shared with the last output
-    head: list = [runs[i][0][0] if i < k and runs[i][0] else None for i in range(size)]
+    first = [next(r, None) for r in runs] + [None] * (size - k)
+    head: list = [x and x[0] for x in first]
+    place: list = [x and x[2] for x in first]
     tree = [0] * size  # losers, by inner node
 
     def play(a: int, b: int) -> tuple[int, int]:
@@ -262,11 +268,8 @@ def merge_runs(runs: list[tuple[list, list, list]], length: int = LENGTH) -> Ite
             return b, a
         while h < length and x[h] == y[h]:
             h += 1
-        if h == length:
-            first = runs[a][2][index[a]] <= runs[b][2][index[b]]
-        else:
-            first = x[h] < y[h]
-        if first:
+        before = place[a] <= place[b] if h == length else x[h] < y[h]
+        if before:
             known[b] = h
             return a, b
         known[a] = h
@@ -284,13 +287,8 @@ def merge_runs(runs: list[tuple[list, list, list]], length: int = LENGTH) -> Ite
         level = nxt
     w = level[0]
     while head[w] is not None:
-        i = index[w]
-        yield known[w], runs[w][2][i], head[w]
-        index[w] = i = i + 1
-        if i < len(runs[w][0]):
-            head[w], known[w] = runs[w][0][i], runs[w][1][i]
-        else:
-            head[w] = None
+        yield known[w], place[w], head[w]
+        head[w], known[w], place[w] = next(runs[w], (None, 0, None))
         node = (w + size) // 2
         while node:
             w, tree[node] = play(w, tree[node])
@@ -379,9 +377,13 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, key: str = "doc_id", t
     pieces = written(texts.join(open_, "doc_id").select("doc_id", "text", "ats").mapInArrow(partial(_pieces, length), "doc_id long, base long, bytes binary").distinct(), "repeats-pieces")
     again = written(marked_stretches(pieces, length, SECOND_GRAM), "repeats-stretches")
     parts.append(again.where("copy").select("doc_id", "at"))
-    open_ = again.where("not copy").groupBy("doc_id", "base").agg(F.collect_set("at").alias("ats"), F.sum(F.col("at") % 256).alias("n"))
-    left = written(pieces.join(open_, ["doc_id", "base"]).select("doc_id", "base", "bytes", "ats", "n"), "repeats-open")
-    n_pieces, windows = left.agg(F.count("*"), F.sum("n")).first()
+    left_over = again.where("not copy")
+    windows = left_over.agg(F.sum(F.col("at") % 256)).first()[0] or 0
+    open_ = left_over.groupBy("doc_id", "base").agg(F.collect_set("at").alias("ats"))
+    # tasks of so many windows, however well their bytes pack
+    left = pieces.join(open_, ["doc_id", "base"]).repartition(max(1, -(-windows // TASK)), "doc_id", "base")
+    left = written(left.select("doc_id", "base", "bytes", "ats"), "repeats-open", pieces)
+    n_pieces = left.count()
     if n_pieces:
         few = left.where(F.pmod(F.xxhash64("doc_id", "base"), F.lit(1_000_000)) < int(1_000_000 * min(1.0, SAMPLE_PIECES / n_pieces)) + 1)
         sample = sorted(bytes(r[0]) for r in few.select("base", "bytes", "ats").mapInArrow(partial(_sample, length), "w binary").collect())
