@@ -185,6 +185,23 @@ def test_repeats_equal_brute_force(spark):
     assert suffixdedup.remove_repeats(frame(spark, [])).count() == 0
 
 
+def test_stretches_seen_in_a_slice_are_those_after_the_first_place():
+    anchor = np.array([7, 7, 7, 8, 7, 9], dtype=np.int64)
+    content = np.array([1, 1, 1, 1, 2, 3], dtype=np.int64)
+    docs = np.array([5, 4, 4, 4, 4, 1], dtype=np.int64)
+    starts = np.array([0, 30, 30, 30, 60, 0], dtype=np.int64)
+    assert suffixdedup._seen(anchor, content, docs, starts).tolist() == [True, False, False, False, False, False]
+    none = np.zeros(0, dtype=np.int64)
+    assert suffixdedup._seen(none, none, none, none).tolist() == []
+
+
+def test_rows_of_a_null_id_are_kept_whole(spark):
+    text = " ".join(brute.by_first_words(60, 3))
+    out = suffixdedup.remove_repeats(frame(spark, [(None, text, "a"), (1, text, "a"), (2, text, "a"), (None, None, "a")])).collect()
+    n = len(text.encode())
+    assert sorted((str(x["doc_id"]), x["n_bytes"], x["n_removed"]) for x in out) == sorted([("1", n, 0), ("2", n, n), ("None", n, 0), ("None", 0, 0)])
+
+
 def test_rows_of_one_id_do_not_repeat_each_other(spark):
     text = " ".join(brute.by_first_words(60, 3))
     out = suffixdedup.remove_repeats(frame(spark, [(1, text, "a"), (1, text, "a"), (2, text, "a")])).collect()

@@ -109,19 +109,38 @@ def stretches(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram:
     return rows, starts, counts, anchor[opens].view(np.int64), content.view(np.int64), begins < ends
 
 
-_STRETCH_FIELDS = "anchor long, content long, doc_id long, base long, at long"
+_STRETCH_FIELDS = "anchor long, content long, doc_id long, base long, at long, seen boolean"
+
+
+def _seen(anchor: np.ndarray, content: np.ndarray, docs: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Whether a stretch of equal bytes with a smaller place is among those given."""
+    order = np.lexsort((starts, docs, anchor, content))
+    a, c, d, s = anchor[order], content[order], docs[order], starts[order]
+    head = np.append(True, (a[1:] != a[:-1]) | (c[1:] != c[:-1]))[: len(a)]
+    first = np.maximum.accumulate(np.where(head, np.arange(len(a)), 0))
+    out = np.empty(len(a), dtype=bool)
+    out[order] = (d != d[first]) | (s != s[first])
+    return out
 
 
 def _emit_stretches(length: int, gram: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The stretches of pieces (doc_id, base: where the piece starts in the document, its bytes)."""
+    """The stretches of pieces (doc_id, base: where the piece starts in the document, its bytes).
+
+    Of equal stretches of a slice only the first (all that share its place) can be the first of the corpus, so the others
+    are copies already. They go out under an anchor of their own, drawn from their place: an anchor that very many documents share
+    then has a few rows a slice. Should such a draw ever meet an anchor in use, that one is open and decided by the merge.
+    """
     for batch in batches:
         ids, bases = batch["doc_id"].to_numpy(), batch["base"].to_numpy()
         for lo, _, data, offsets in slices(batch["bytes"]):
             rows, starts, counts, anchor, content, periodic = stretches(data, offsets, length, gram)
-            base = bases[lo + rows]
+            base, docs = bases[lo + rows], ids[lo + rows]
+            places = base + starts
+            seen = _seen(anchor, content, docs, places)
+            own = mix64(mix64(docs.view(np.uint64)) + places.view(np.uint64)).view(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(anchor), pa.array(content), pa.array(ids[lo + rows]), pa.array(base), pa.array((base + starts) * 512 + periodic * 256 + counts)],
-                names=["anchor", "content", "doc_id", "base", "at"],
+                [pa.array(np.where(seen, own, anchor)), pa.array(content), pa.array(docs), pa.array(base), pa.array(places * 512 + periodic * 256 + counts), pa.array(seen)],
+                names=["anchor", "content", "doc_id", "base", "at", "seen"],
             )
 
 
@@ -149,8 +168,8 @@ def marked_stretches(pieces: DataFrame, length: int, gram: int) -> DataFrame:
     copies = Window.partitionBy("anchor", "content").orderBy("doc_id", F.expr("at div 512"))
     return (
         found.withColumns({"n": F.rank().over(copies), "lo": F.min("content").over(same_anchor), "hi": F.max("content").over(same_anchor)})
-        .where("n > 1 or lo <> hi or at % 512 >= 256")
-        .select("doc_id", "base", F.expr("at div 512 * 256 + at % 256").alias("at"), (F.col("n") > 1).alias("copy"))
+        .where("seen or n > 1 or lo <> hi or at % 512 >= 256")
+        .select("doc_id", "base", F.expr("at div 512 * 256 + at % 256").alias("at"), F.expr("seen or n > 1").alias("copy"))
     )
 
 
@@ -365,12 +384,13 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, key: str = "doc_id", t
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256[, kept]): one row per document, what is left after the cut.
 
     Strings are bytes of UTF-8 and are judged on the input. Null and empty texts have no bytes; texts below ``length``
-    bytes are kept whole; rows that repeat an id are the same document, so they do not repeat each other; a very long text is read in
+    bytes are kept whole; rows that repeat an id are the same document, so they do not repeat each other; rows of a null id
+    have no place in the order, so they are kept whole and nothing repeats them; a very long text is read in
     one piece by one task; periodic texts are cut after their first ``length`` bytes and period; an empty table gives an
     empty result; other columns are not read.
     """
     texts = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    whole = texts.where("text is not null").select("doc_id", F.lit(0).cast("long").alias("base"), F.col("text").cast("binary").alias("bytes"))
+    whole = texts.where("text is not null and doc_id is not null").select("doc_id", F.lit(0).cast("long").alias("base"), F.col("text").cast("binary").alias("bytes"))
     marked = written(marked_stretches(whole, length, GRAM), "repeats-stretches")
     parts = [marked.where("copy").select("doc_id", "at")]
     open_ = marked.where("not copy").groupBy("doc_id").agg(F.collect_set("at").alias("ats"))
