@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, minhash, mixing, quality, shuffle, suffixdedup, topk, trainorder, urlfilter
+from . import decontaminate, langid, minhash, mixing, quality, rules, shuffle, suffixdedup, topk, trainorder, urlfilter
 from .storage import table
 
 N_SHARDS = 40
@@ -74,11 +74,15 @@ def op10_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), width=4, percent=80)
 
 
+def op11_rule_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.quality_rules(table(spark, sf_dir, "documents")).drop("failed_rule")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_bradley_terry, op2_training_order, op3_string_kernel, op4_norm_bucket_topk, op5_external_shuffle, op6_pareto_mix,
-        op7_simhash_windows, op8_url_sweep, op9_suffix_merge, op10_superminhash,
+        op7_simhash_windows, op8_url_sweep, op9_suffix_merge, op10_superminhash, op11_rule_cascade,
     )
 }
 
@@ -114,5 +118,46 @@ WITH rules(rhost, rpath, rverdict) AS (
   FROM p LEFT JOIN rules ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath)
 )
 SELECT page_id, host, path, rule, coalesce(rverdict, 'allow') AS verdict FROM f WHERE n = 1
+""",
+    "op11_rule_cascade": r"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS x FROM documents
+), w AS (
+  SELECT rid, unnest(l) AS w, unnest(range(len(l))) AS i
+  FROM (SELECT rid, regexp_extract_all(x, '[^\x20\x09-\x0D]+') AS l FROM d)
+), runs AS (
+  SELECT *, lead(w, 4) OVER o IS NOT NULL AS five, lead(w, 2) OVER o IS NOT NULL AS three,
+         concat_ws(' ', w, lead(w) OVER o, lead(w, 2) OVER o) AS w3,
+         concat_ws(' ', w, lead(w) OVER o, lead(w, 2) OVER o, lead(w, 3) OVER o, lead(w, 4) OVER o) AS w5
+  FROM w WINDOW o AS (PARTITION BY rid ORDER BY i)
+), again AS (
+  SELECT *, five AND count(*) OVER (PARTITION BY rid, five, w5) > 1 AS twice FROM runs
+), covered AS (
+  SELECT *, max(twice::INT) OVER (PARTITION BY rid ORDER BY i ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS covered FROM again
+), words AS (
+  SELECT rid, count(*) AS n_words, sum(length(w))::BIGINT AS word_chars, sum(covered)::BIGINT AS n_repeat_words,
+         count(*) FILTER (regexp_matches(w, '[A-Z].*[A-Z]') AND NOT regexp_matches(w, '[a-z]')) AS loud,
+         count(*) FILTER (NOT regexp_matches(w, '[^\x00-\x40\x5B-\x60\x7B-\x7F]')) AS letterless
+  FROM covered GROUP BY rid
+), triples AS (
+  SELECT rid, max(n) AS triple FROM (SELECT rid, count(*) AS n FROM runs WHERE three GROUP BY rid, w3) GROUP BY rid
+), lines AS (
+  SELECT rid, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines,
+         count(*) FILTER (regexp_matches(line, '^[\x20\x09-\x0D]*(-|\*|•)')) AS bullets,
+         count(*) FILTER (regexp_matches(line, '(\.\.\.|…)[\x20\x09-\x0D]*$')) AS cut
+  FROM (SELECT rid, unnest(string_split(x, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY rid
+), f AS (
+  SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(word_chars, 0) AS word_chars,
+         length(regexp_replace(x, '[^#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines,
+         coalesce(n_repeat_words, 0) AS n_repeat_words, loud, letterless, coalesce(triple, 0) AS triple, n_lines, bullets, cut
+  FROM d LEFT JOIN words USING (rid) LEFT JOIN triples USING (rid) LEFT JOIN lines USING (rid)
+), b AS (
+  SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM f
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT (base_failed OR word_chars < 3 * n_words OR word_chars > 10 * n_words OR 10 * n_symbols > n_words
+            OR 10 * n_dup_lines > 3 * n_lines OR 10 * loud > 3 * n_words OR 10 * letterless > 3 * n_words
+            OR 10 * bullets > 9 * n_lines OR 10 * cut > 3 * n_lines OR (triple >= 3 AND 15 * triple > n_words)) AS kept
+FROM b
 """,
 }
