@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, minhash, mixing, quality, rules, shuffle, suffixdedup, topk, trainorder, urlfilter
+from . import decontaminate, dialogue, langid, minhash, mixing, quality, rules, shuffle, suffixdedup, topk, trainorder, urlfilter
 from .storage import table
 
 N_SHARDS = 40
@@ -78,11 +78,26 @@ def op11_rule_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.quality_rules(table(spark, sf_dir, "documents")).drop("failed_rule")
 
 
+def damaged(rows: DataFrame) -> DataFrame:
+    """Conversations with faults put in by a hash of conversation and turn; a dropped row is marked ``gone``."""
+    blank = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    rows = rows.withColumn("fault", F.crc32(F.concat(blank("conv_id"), F.lit(":"), blank("turn")).cast("binary")) % 20)
+    text = F.when(F.col("fault") == 1, "").when(F.col("fault") == 2, F.regexp_replace(blank("text"), "[.!?]", "")).otherwise(blank("text"))
+    role = F.when(F.col("fault") == 4, "user").otherwise(blank("role"))
+    copies = F.when(F.col("fault") == 3, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))
+    return rows.select("conv_id", "turn", role.alias("role"), text.alias("text"), (F.col("fault") == 0).alias("gone"), F.explode(copies).alias("copy"))
+
+
+def op12_dialogue_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dialogue.repair_conversations(damaged(table(spark, sf_dir, "conversations")), gone="gone")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_bradley_terry, op2_training_order, op3_string_kernel, op4_norm_bucket_topk, op5_external_shuffle, op6_pareto_mix,
         op7_simhash_windows, op8_url_sweep, op9_suffix_merge, op10_superminhash, op11_rule_cascade,
+        op12_dialogue_repair,
     )
 }
 
@@ -159,5 +174,51 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
             OR 10 * n_dup_lines > 3 * n_lines OR 10 * loud > 3 * n_words OR 10 * letterless > 3 * n_words
             OR 10 * bullets > 9 * n_lines OR 10 * cut > 3 * n_lines OR (triple >= 3 AND 15 * triple > n_words)) AS kept
 FROM b
+""",
+    "op12_dialogue_repair": r"""
+WITH RECURSIVE keyed AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k FROM conversations
+), hashed AS (
+  SELECT *, xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(k, ''),
+           lambda x: [ascii(x)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+           lambda c, o: CASE WHEN o >= 0 THEN xor(c, o) ELSE xor(c >> 1, 3988292384 * (c & 1)) END), 4294967295::BIGINT) % 20 AS fault FROM keyed
+), rows_ AS (
+  SELECT conv_id, turn, CASE fault WHEN 4 THEN 'user' ELSE role END AS role,
+         CASE fault WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+         unnest(CASE fault WHEN 0 THEN [] WHEN 3 THEN [1, 2] ELSE [1] END) AS copy FROM hashed
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i, count(*) OVER (PARTITION BY conv_id) AS n FROM rows_
+), seen AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) AS nth, lag(role) OVER (PARTITION BY conv_id ORDER BY i) AS before FROM placed
+), faulty AS (
+  SELECT conv_id, turn, role, text, i, n, before, left(role, 1) AS kind, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank' WHEN nth > 1 THEN 'duplicate'
+         WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 'truncated' ELSE '' END AS fault FROM seen
+), moved AS (
+  -- what each state may do with the row: the states are nothing yet, after s, after u, after a
+  SELECT *, fault IN ('blank', 'duplicate') AS must_go, CASE fault WHEN 'truncated' THEN 3 ELSE 0 END AS broken,
+         CASE kind WHEN 's' THEN [2, NULL, NULL, NULL] WHEN 'u' THEN [3, 3, NULL, 3] WHEN 'a' THEN [NULL, NULL, 4, NULL] ELSE [NULL, NULL, NULL, NULL] END AS keeps FROM faulty
+), way AS (
+  SELECT conv_id, n AS i, [{'c': 0, 'a': '', 't': ''}, {'c': 6, 'a': 'II', 't': chr(10) || 'user:' || chr(10) || 'assistant:'}, {'c': 3, 'a': 'I', 't': chr(10) || 'assistant:'}, {'c': 0, 'a': '', 't': ''}] AS s
+  FROM moved WHERE i = n
+  UNION ALL
+  SELECT conv_id, i - 1, list_transform([1, 2, 3, 4], lambda q: list_sort([b[q],
+           {'c': 3 + b[[3, 3, 4, 3][q]].c, 'a': 'I' || b[[3, 3, 4, 3][q]].a, 't': chr(10) || ['user:', 'user:', 'assistant:', 'user:'][q] || b[[3, 3, 4, 3][q]].t},
+           {'c': 6 + b[[4, 4, 3, 4][q]].c, 'a': 'II' || b[[4, 4, 3, 4][q]].a, 't': chr(10) || ['user:', 'user:', 'assistant:', 'user:'][q] || chr(10) || ['assistant:', 'assistant:', 'user:', 'assistant:'][q] || b[[4, 4, 3, 4][q]].t}])[1])
+  FROM (SELECT w.conv_id, w.i, list_transform([1, 2, 3, 4], lambda q: list_sort(list_filter([
+           {'c': 4 + s[q].c, 'a': 'D' || s[q].a, 't': s[q].t},
+           CASE WHEN NOT must_go AND keeps[q] IS NOT NULL THEN {'c': broken + s[keeps[q]].c, 'a': 'K' || s[keeps[q]].a, 't': chr(10) || role || ':' || text || s[keeps[q]].t} END,
+           CASE WHEN NOT must_go THEN {'c': 3 + broken + s[[3, 3, 4, 3][q]].c, 'a': 'R' || s[[3, 3, 4, 3][q]].a, 't': chr(10) || ['user:', 'user:', 'assistant:', 'user:'][q] || text || s[[3, 3, 4, 3][q]].t} END],
+           lambda x: x IS NOT NULL))[1]) AS b
+        FROM way w JOIN moved m ON m.conv_id IS NOT DISTINCT FROM w.conv_id AND m.i = w.i)
+), counted AS (
+  SELECT conv_id, CASE WHEN count(turn) = 0 THEN 0 ELSE max(turn) - min(turn) + 1 - count(DISTINCT turn) END AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+         count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (before IS NOT NULL AND left(before, 1) || kind NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM faulty GROUP BY conv_id
+)
+SELECT o.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+       coalesce(s[1].c, 0)::BIGINT AS cost, coalesce(s[1].a, '') AS audit, sha256(coalesce(s[1].t[2:], '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN counted f ON f.conv_id IS NOT DISTINCT FROM o.conv_id
+LEFT JOIN way w ON w.conv_id IS NOT DISTINCT FROM o.conv_id AND w.i = 0
 """,
 }
