@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, dialogue, langid, minhash, mixing, quality, rules, shuffle, suffixdedup, topk, trainorder, urlfilter
+from . import decontaminate, dialogue, langid, minhash, mixing, quality, ranking, rules, shuffle, suffixdedup, topk, trainorder, urlfilter
 from .storage import table
 
 N_SHARDS = 40
@@ -92,12 +92,16 @@ def op12_dialogue_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dialogue.repair_conversations(damaged(table(spark, sf_dir, "conversations")), gone="gone")
 
 
+def op13_shared_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_bradley_terry, op2_training_order, op3_string_kernel, op4_norm_bucket_topk, op5_external_shuffle, op6_pareto_mix,
         op7_simhash_windows, op8_url_sweep, op9_suffix_merge, op10_superminhash, op11_rule_cascade,
-        op12_dialogue_repair,
+        op12_dialogue_repair, op13_shared_ranking,
     )
 }
 
@@ -220,5 +224,31 @@ SELECT o.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank
        coalesce(s[1].c, 0)::BIGINT AS cost, coalesce(s[1].a, '') AS audit, sha256(coalesce(s[1].t[2:], '')) AS repaired_sha256
 FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN counted f ON f.conv_id IS NOT DISTINCT FROM o.conv_id
 LEFT JOIN way w ON w.conv_id IS NOT DISTINCT FROM o.conv_id AND w.i = 0
+""",
+    "op13_shared_ranking": r"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS l FROM documents
+), q AS (
+  SELECT row_number() OVER () AS iid, item_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS l FROM benchmark
+), s AS (
+  SELECT count(*)::BIGINT AS docs, sum(len(l))::BIGINT AS length FROM d WHERE len(l) > 0
+), tf AS (
+  SELECT rid, t, count(*) AS tf FROM (SELECT rid, unnest(l) AS t FROM d) GROUP BY ALL
+), w AS (
+  SELECT t, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM tf, s GROUP BY t, docs
+), m AS (
+  SELECT rid, doc_id, 25 + (75 * len(l) * docs) // length AS m FROM d, s WHERE len(l) > 0
+), c AS (
+  SELECT rid, doc_id, t, w * ((1000000000 * tf) // (1000 * tf + 8 * m)) AS c FROM tf JOIN w USING (t) JOIN m USING (rid)
+), i AS (
+  SELECT iid, item_id, t, count(*) AS times FROM (SELECT iid, item_id, unnest(l) AS t FROM q) GROUP BY ALL
+), r AS (
+  SELECT iid, item_id, doc_id, sum(times * c)::BIGINT AS score FROM i JOIN c USING (t) GROUP BY iid, item_id, rid, doc_id
+), n AS (
+  SELECT *, row_number() OVER (PARTITION BY iid ORDER BY score DESC, doc_id) AS rank FROM r WHERE score > 0
+)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM n WHERE rank <= 10
 """,
 }

@@ -62,11 +62,11 @@ def slices(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]
 
 
 class Words:
-    """The words ``[^\\x20\\x09-\\x0D]+`` of a slice: ``start``, ``end``, ``code`` (64-bit), and ``first`` word of each row."""
+    """The words ``[^\\x20\\x09-\\x0D]+`` (or runs of bytes that are not ``outside``) of a slice: ``start``, ``end``, ``code`` (64-bit), and ``first`` word of each row."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = True):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = True, outside: np.ndarray = IS_SPACE):
         rows = len(offsets) - 1
-        inside = ~IS_SPACE[data]
+        inside = ~outside[data]
         opens = inside.copy()
         opens[1:] &= ~inside[:-1]
         edges = offsets[1:-1]
