@@ -17,13 +17,14 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from functools import cache
+from functools import cache, partial
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .storage import written
 
@@ -287,7 +288,7 @@ def _part(rows: Rows, part: int, seq: int) -> dict:
     return n | ends | {"part": part, "seq": seq, "symbols": symbols, "digests": digests, "least": least, "most": most, "turns": turns, "roles": rows.roles, "texts": rows.texts}
 
 
-def _repair_sorted(names: list[str], types: list[pa.DataType], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _repair_sorted(names: list[str], types: list[pa.DataType], chunk_rows: int, chunk_chars: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by conversation and turn: conversations that lie within the range repaired, others as chunks."""
     part, rows, seq = TaskContext.get().partitionId(), Rows(), 0
     at_edge, any_row, now = True, False, None
@@ -306,7 +307,7 @@ def _repair_sorted(names: list[str], types: list[pa.DataType], batches: Iterator
                 at_edge, rows, seq = False, Rows(), 0
             any_row, now = True, conv
             if text is not None:  # else the row only names its conversation
-                if len(rows.turns) >= CHUNK_ROWS or (rows.turns and rows.chars + len(text) > CHUNK_CHARS):
+                if len(rows.turns) >= chunk_rows or (rows.turns and rows.chars + len(text) > chunk_chars):
                     made.append({"conv_id": now} | _part(rows, part, seq))
                     rows, seq = Rows(), seq + 1
                 rows.add(turn, role, text)
@@ -447,7 +448,7 @@ def _name(conv: Column) -> Column:
     return F.when(conv.isNull(), "-").otherwise(F.concat(F.lit("="), conv.cast("string")))
 
 
-def repair_conversations(rows: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", gone: str | None = None) -> DataFrame:
+def repair_conversations(rows: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", gone: str | None = None, chunk_rows: int = CHUNK_ROWS, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
     """One row a conversation: ``conv_id``, counts of faults, and the digests of its cheapest repair.
 
     ``gone``: a boolean column; such a row only names its conversation. The order is by turn (nulls first); rows of one turn
@@ -466,10 +467,8 @@ def repair_conversations(rows: DataFrame, conv: str = "conv_id", turn: str = "tu
     kind = placed.schema["conv_id"].dataType
     schema = f"conv_id {kind.simpleString()}, {RESULT}, " + ", ".join(f for f in CHUNK.split(", ") if f.split()[0] not in COUNTS)
     fields = rows.sparkSession.createDataFrame([], schema).schema
-    from pyspark.sql.pandas.types import to_arrow_type
-
     names, types = fields.names, [to_arrow_type(f.dataType) for f in fields]
-    first = written(placed.mapInArrow(lambda b: _repair_sorted(names, types, b), fields), "dialogue-chunks")
+    first = written(placed.mapInArrow(partial(_repair_sorted, names, types, chunk_rows, chunk_chars), fields), "dialogue-chunks")
     result = ["conv_id", *COUNTS, "audit", "repaired_sha256"]
     done = first.where("part is null").select(result)
     chunks = first.where("part is not null").withColumn("conv", _name(F.col("conv_id")))
