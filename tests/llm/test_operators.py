@@ -190,9 +190,12 @@ def test_stretches_seen_in_a_slice_are_those_after_the_first_place():
     content = np.array([1, 1, 1, 1, 2, 3], dtype=np.int64)
     docs = np.array([5, 4, 4, 4, 4, 1], dtype=np.int64)
     starts = np.array([0, 30, 30, 30, 60, 0], dtype=np.int64)
-    assert suffixdedup._seen(anchor, content, docs, starts).tolist() == [True, False, False, False, False, False]
+    texts = np.zeros(6, dtype=np.int64)
+    assert suffixdedup._seen(anchor, content, docs, texts, starts).tolist() == [True, False, False, False, False, False]
+    texts[2] = 1  # another text of the same id is a place of its own
+    assert suffixdedup._seen(anchor, content, docs, texts, starts).tolist() == [True, False, True, False, False, False]
     none = np.zeros(0, dtype=np.int64)
-    assert suffixdedup._seen(none, none, none, none).tolist() == []
+    assert suffixdedup._seen(none, none, none, none, none).tolist() == []
 
 
 def test_rows_of_a_null_id_are_kept_whole(spark):
@@ -208,6 +211,18 @@ def test_rows_of_one_id_do_not_repeat_each_other(spark):
     assert sorted((x["doc_id"], x["n_removed"]) for x in out) == [(1, 0), (1, 0), (2, len(text.encode()))]
 
 
+def test_rows_of_one_id_with_different_texts_are_documents_of_their_own(spark):
+    w = brute.by_first_words(900, 11)
+    a, b, other = " ".join(w[:60]), " ".join(w[30:90]), " ".join(w[300:420])
+    rows = [(1, b), (2, a), (2, other), (2, "short text"), (2, other[:140]), (None, a), (None, other), (3, "x " + other[50:260]), (3, a + " " + b), (2, a), (2, None)]
+    places = sorted({(i, xxhash.xxh64_intdigest(t, 42), t) for i, t in rows if i is not None and t}, key=lambda x: (x[0], (x[1] + (1 << 63)) % (1 << 64)))
+    gone = brute.repeats([(n, t) for n, (_, _, t) in enumerate(places)], 100)
+    want = {(i, t): bytes(c for c, g in zip(t.encode(), gone[n], strict=True) if not g) for n, (i, _, t) in enumerate(places)}
+    out = suffixdedup.remove_repeats(frame(spark, [(i, t, "a") for i, t in rows]), with_text=True).collect()
+    kept = Counter((x["doc_id"], x["n_bytes"], bytes(x["kept"])) for x in out)
+    assert kept == Counter((i, len((t or "").encode()), want.get((i, t), (t or "").encode())) for i, t in rows)
+
+
 def test_loser_tree_merges_runs():
     r = random.Random(1)
     strings = ["".join(r.choice("ab") for _ in range(8)).encode() for _ in range(200)]

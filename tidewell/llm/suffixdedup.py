@@ -1,7 +1,8 @@
 """Removal of repeated byte strings by a common-prefix-aware distributed merge sort of suffixes.
 
 A byte goes if a string of ``LENGTH`` bytes that covers it also starts earlier (a smaller id, or the same document and an
-earlier start). The suffixes in question, cut to ``LENGTH`` bytes, are called windows here. Sorting every window of the corpus is
+earlier start). A document is an id and a text: rows of one id with different texts are documents of their own, in the order of a
+hash of the text, which goes with the id through every step. The suffixes in question, cut to ``LENGTH`` bytes, are called windows here. Sorting every window of the corpus is
 not needed to sort all that can repeat:
 
 1. Each window has an anchor: the least hash of its ``GRAM``-byte grams. Equal windows have equal anchors. Consecutive windows of
@@ -109,17 +110,17 @@ def stretches(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram:
     return rows, starts, counts, anchor[opens].view(np.int64), content.view(np.int64), begins < ends
 
 
-_STRETCH_FIELDS = "anchor long, content long, doc_id long, base long, at long, seen boolean"
+_STRETCH_FIELDS = "anchor long, content long, doc_id long, text_hash long, base long, at long, seen boolean"
 
 
-def _seen(anchor: np.ndarray, content: np.ndarray, docs: np.ndarray, starts: np.ndarray) -> np.ndarray:
+def _seen(anchor: np.ndarray, content: np.ndarray, docs: np.ndarray, texts: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """Whether a stretch of equal bytes with a smaller place is among those given."""
-    order = np.lexsort((starts, docs, anchor, content))
-    a, c, d, s = anchor[order], content[order], docs[order], starts[order]
+    order = np.lexsort((starts, texts, docs, anchor, content))
+    a, c, d, t, s = anchor[order], content[order], docs[order], texts[order], starts[order]
     head = np.append(True, (a[1:] != a[:-1]) | (c[1:] != c[:-1]))[: len(a)]
     first = np.maximum.accumulate(np.where(head, np.arange(len(a)), 0))
     out = np.empty(len(a), dtype=bool)
-    out[order] = (d != d[first]) | (s != s[first])
+    out[order] = (d != d[first]) | (t != t[first]) | (s != s[first])
     return out
 
 
@@ -131,45 +132,51 @@ def _emit_stretches(length: int, gram: int, batches: Iterator[pa.RecordBatch]) -
     then has a few rows a slice. Should such a draw ever meet an anchor in use, that one is open and decided by the merge.
     """
     for batch in batches:
-        ids, bases = batch["doc_id"].to_numpy(), batch["base"].to_numpy()
+        ids, hashes, bases = (batch[c].to_numpy() for c in ("doc_id", "text_hash", "base"))
         for lo, _, data, offsets in slices(batch["bytes"]):
             rows, starts, counts, anchor, content, periodic = stretches(data, offsets, length, gram)
-            base, docs = bases[lo + rows], ids[lo + rows]
+            base, docs, texts = bases[lo + rows], ids[lo + rows], hashes[lo + rows]
             places = base + starts
-            seen = _seen(anchor, content, docs, places)
-            own = mix64(mix64(docs.view(np.uint64)) + places.view(np.uint64)).view(np.int64)
+            seen = _seen(anchor, content, docs, texts, places)
+            own = mix64(mix64(mix64(docs.view(np.uint64)) + texts.view(np.uint64)) + places.view(np.uint64)).view(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.where(seen, own, anchor)), pa.array(content), pa.array(docs), pa.array(base), pa.array(places * 512 + periodic * 256 + counts), pa.array(seen)],
-                names=["anchor", "content", "doc_id", "base", "at", "seen"],
+                [pa.array(np.where(seen, own, anchor)), pa.array(content), pa.array(docs), pa.array(texts), pa.array(base), pa.array(places * 512 + periodic * 256 + counts), pa.array(seen)],
+                names=["anchor", "content", "doc_id", "text_hash", "base", "at", "seen"],
             )
 
 
+_PIECE_FIELDS = "doc_id long, text_hash long, base long, bytes binary"
+
+
 def _pieces(length: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The bytes of each packed stretch of each text."""
+    names, kinds = [f.split()[0] for f in _PIECE_FIELDS.split(", ")], [pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+
+    def made(out: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate(kinds)], names=names)
+
     for batch in batches:
-        ids, bases, parts = [], [], []
-        for doc, text, ats in zip(batch["doc_id"], batch["text"], batch["ats"], strict=True):
+        out = []
+        for doc, text_hash, text, ats in zip(*(batch[c] for c in ("doc_id", "text_hash", "text", "ats")), strict=True):
             raw = text.as_py().encode()
             for at in ats.as_py():
-                ids.append(doc.as_py())
-                bases.append(at // 256)
-                parts.append(raw[at // 256 : at // 256 + at % 256 + length - 1])
-                if len(parts) >= 20_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(bases, pa.int64()), pa.array(parts, pa.binary())], names=["doc_id", "base", "bytes"])
-                    ids, bases, parts = [], [], []
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(bases, pa.int64()), pa.array(parts, pa.binary())], names=["doc_id", "base", "bytes"])
+                out.append((doc.as_py(), text_hash.as_py(), at // 256, raw[at // 256 : at // 256 + at % 256 + length - 1]))
+                if len(out) >= 20_000:
+                    yield made(out)
+                    out = []
+        yield made(out)
 
 
 def marked_stretches(pieces: DataFrame, length: int, gram: int) -> DataFrame:
-    """(doc_id, base, at, copy): stretches that copy an earlier one, and such that are open: first of their bytes, but not alone
+    """(doc_id, text_hash, base, at, copy): stretches that copy an earlier one, and such that are open: first of their bytes, but not alone
     with their anchor, or periodic. All others hold nothing that repeats and are left out."""
     found = pieces.mapInArrow(partial(_emit_stretches, length, gram), _STRETCH_FIELDS)
     same_anchor = Window.partitionBy("anchor")
-    copies = Window.partitionBy("anchor", "content").orderBy("doc_id", F.expr("at div 512"))
+    copies = Window.partitionBy("anchor", "content").orderBy("doc_id", "text_hash", F.expr("at div 512"))
     return (
         found.withColumns({"n": F.rank().over(copies), "lo": F.min("content").over(same_anchor), "hi": F.max("content").over(same_anchor)})
         .where("seen or n > 1 or lo <> hi or at % 512 >= 256")
-        .select("doc_id", "base", F.expr("at div 512 * 256 + at % 256").alias("at"), F.expr("seen or n > 1").alias("copy"))
+        .select("doc_id", "text_hash", "base", F.expr("at div 512 * 256 + at % 256").alias("at"), F.expr("seen or n > 1").alias("copy"))
     )
 
 
@@ -190,51 +197,53 @@ def _sample(length: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Recor
         yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["w"])
 
 
-def _front_coded(part: int, rows: np.ndarray, shared: np.ndarray, docs: np.ndarray, pos: np.ndarray, dup_docs: np.ndarray, dup_pos: np.ndarray) -> list:
+def _front_coded(part: int, rows: np.ndarray, shared: np.ndarray, places: np.ndarray, again: np.ndarray) -> list:
     """One run of one range: prefix lengths (the first starts anew), the remaining bytes end to end, and places."""
     shared = shared.copy()
     shared[:1] = 0
     rest = rows[np.arange(rows.shape[1])[None, :] >= shared[:, None]]
-    return [part, shared.astype(np.uint8).tobytes(), rest.tobytes(), docs.tobytes(), pos.tobytes(), dup_docs.tobytes(), dup_pos.tobytes()]
+    return [part, shared.astype(np.uint8).tobytes(), rest.tobytes(), places.tobytes(), again.tobytes()]
 
 
-_RUN_FIELDS = "part int, shared binary, rest binary, docs binary, pos binary, dup_docs binary, dup_pos binary"
+_RUN_FIELDS = "part int, shared binary, rest binary, places binary, again binary"
 
 
 def _runs(length: int, bounds: list[bytes], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted, front-coded runs, cut at the bounds of the ranges."""
+    """Sorted, front-coded runs, cut at the bounds of the ranges. A place is (document, hash of its text, start)."""
     cut_at = np.array(bounds, dtype=f"S{length}")
-    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    held: list[tuple[np.ndarray, np.ndarray]] = []
 
     def flush() -> pa.RecordBatch:
-        docs, pos, rows = (np.concatenate(x) for x in zip(*held, strict=True))
+        places, rows = (np.concatenate(x) for x in zip(*held, strict=True))
         held.clear()
-        order = np.lexsort((pos, docs))
-        docs, pos, rows = docs[order], pos[order], np.ascontiguousarray(rows[order])
+        order = np.lexsort(places.T[::-1])
+        places, rows = places[order], np.ascontiguousarray(rows[order])
         order = np.argsort(rows.view(f"S{length}").ravel(), kind="stable")
-        docs, pos, rows = docs[order], pos[order], rows[order]
+        places, rows = places[order], rows[order]
         same = rows[1:] == rows[:-1]
         shared = np.concatenate([[0], np.where(same.all(1), length, same.argmin(1))])
         again = shared == length
         # the first of equal windows stays; the others repeat it, unless they are the very same place
         head = np.maximum.accumulate(np.where(again, 0, np.arange(len(again))))
-        true_dup = again & ((docs != docs[head]) | (pos != pos[head]))
+        true_dup = again & (places != places[head]).any(1)
         parts = np.searchsorted(cut_at, rows.view(f"S{length}").ravel(), "right")
         # prefix shared with the window kept before: nothing is lost by dropping equal ones in between
         out = []
         for part in np.unique(parts):
             own = parts == part
             k, d = own & ~again, own & true_dup
-            out.append(_front_coded(int(part), rows[k], shared[k], docs[k], pos[k], docs[d], pos[d]))
+            out.append(_front_coded(int(part), rows[k], shared[k], places[k], places[d]))
         names = [f.split()[0] for f in _RUN_FIELDS.split(", ")]
-        kinds = [pa.int32()] + [pa.binary()] * 6
+        kinds = [pa.int32()] + [pa.binary()] * 4
         return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
 
     n = 0
     for batch in batches:
-        for doc, base, piece, ats in zip(batch["doc_id"], batch["base"], batch["bytes"], batch["ats"], strict=True):
+        for doc, text, base, piece, ats in zip(*(batch[c] for c in ("doc_id", "text_hash", "base", "bytes", "ats")), strict=True):
             starts, rows = _windows(piece.as_py(), base.as_py(), ats.as_py(), length)
-            held.append((np.full(len(starts), doc.as_py(), dtype=np.int64), starts.astype(np.int64), rows))
+            places = np.empty((len(starts), 3), dtype=np.int64)
+            places[:, 0], places[:, 1], places[:, 2] = doc.as_py(), text.as_py(), starts
+            held.append((places, rows))
             n += len(starts)
             if n >= RUN:
                 yield flush()
@@ -243,16 +252,16 @@ def _runs(length: int, bounds: list[bytes], batches: Iterator[pa.RecordBatch]) -
         yield flush()
 
 
-Head = tuple[bytes, int, tuple[int, int]]
+Head = tuple[bytes, int, tuple[int, int, int]]
 
 
-def _decoded(shared: bytes, rest: bytes, docs: bytes, pos: bytes, length: int) -> Iterator[Head]:
+def _decoded(shared: bytes, rest: bytes, places: bytes, length: int) -> Iterator[Head]:
     """(window, prefix shared with the one before, place) of a front-coded run, one at a time."""
     last, at = b"", 0
-    for h, d, p in zip(shared, np.frombuffer(docs, np.int64), np.frombuffer(pos, np.int64), strict=True):
+    for h, (doc, text, start) in zip(shared, np.frombuffer(places, np.int64).reshape(-1, 3), strict=True):
         last = last[:h] + rest[at : at + length - h]
         at += length - h
-        yield last, h, (int(d), int(p))
+        yield last, h, (int(doc), int(text), int(start))
 
 
 def merge_runs(runs: list[Iterator[Head]], length: int = LENGTH) -> Iterator[tuple[int, tuple, bytes]]:
@@ -314,14 +323,15 @@ def merge_runs(runs: list[Iterator[Head]], length: int = LENGTH) -> Iterator[tup
             node //= 2
 
 
+_CUT_FIELDS = "doc_id long, text_hash long, at long"
+
+
 def _merge(length: int, table: pa.Table) -> pa.Table:
-    docs, pos = [], []
-    runs = []
+    again, runs = [], []
     for row in table.to_pylist():
-        docs.append(np.frombuffer(row["dup_docs"], np.int64))
-        pos.append(np.frombuffer(row["dup_pos"], np.int64))
+        again.append(np.frombuffer(row["again"], np.int64).reshape(-1, 3))
         if row["shared"]:
-            runs.append(_decoded(row["shared"], row["rest"], row["docs"], row["pos"], length))
+            runs.append(_decoded(row["shared"], row["rest"], row["places"], length))
     more: list[tuple] = []
     first = None
     if len(runs) > 1:  # a single run has put its repeats aside by itself
@@ -330,19 +340,14 @@ def _merge(length: int, table: pa.Table) -> pa.Table:
                 first = place
             elif place != first:
                 more.append(place)
-    if more:
-        both = np.array(more, dtype=np.int64)
-        docs.append(both[:, 0])
-        pos.append(both[:, 1])
-    d = np.concatenate(docs) if docs else np.zeros(0, np.int64)
-    p = np.concatenate(pos) if pos else np.zeros(0, np.int64)
-    order = np.lexsort((p, d))
-    d, p = d[order], p[order]
+    places = np.concatenate([*again, np.array(more, dtype=np.int64).reshape(-1, 3)])
+    places = places[np.lexsort(places.T[::-1])]
     # windows in a row of one document become one stretch again
-    opens = np.flatnonzero(np.append(True, (d[1:] != d[:-1]) | (p[1:] != p[:-1] + 1))) if len(d) else np.zeros(0, np.int64)
-    counts = np.diff(np.append(opens, len(d)))
-    pieces = [(int(d[o]), int(p[o]) + j, min(255, c - j)) for o, c in zip(opens.tolist(), counts.tolist(), strict=True) for j in range(0, c, 255)]
-    return pa.table({"doc_id": pa.array([x[0] for x in pieces], pa.int64()), "at": pa.array([x[1] * 256 + x[2] for x in pieces], pa.int64())})
+    opens = np.flatnonzero(np.append(True, (places[1:] != places[:-1] + [0, 0, 1]).any(1))) if len(places) else np.zeros(0, np.int64)
+    counts = np.diff(np.append(opens, len(places)))
+    pieces = [(*places[o].tolist(), j, min(255, c - j)) for o, c in zip(opens.tolist(), counts.tolist(), strict=True) for j in range(0, c, 255)]
+    columns = [[x[0] for x in pieces], [x[1] for x in pieces], [(x[2] + x[3]) * 256 + x[4] for x in pieces]]
+    return pa.table({name: pa.array(c, pa.int64()) for name, c in zip(("doc_id", "text_hash", "at"), columns, strict=True)})
 
 
 def _cut(length: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -384,40 +389,42 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, key: str = "doc_id", t
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256[, kept]): one row per document, what is left after the cut.
 
     Strings are bytes of UTF-8 and are judged on the input. Null and empty texts have no bytes; texts below ``length``
-    bytes are kept whole; rows that repeat an id are the same document, so they do not repeat each other; rows of a null id
+    bytes are kept whole; rows of one id and text are the same document, so they do not repeat each other; rows of one id with
+    different texts are documents of their own; rows of a null id
     have no place in the order, so they are kept whole and nothing repeats them; a very long text is read in
     one piece by one task; periodic texts are cut after their first ``length`` bytes and period; an empty table gives an
     empty result; other columns are not read.
     """
-    texts = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    whole = texts.where("text is not null and doc_id is not null").select("doc_id", F.lit(0).cast("long").alias("base"), F.col("text").cast("binary").alias("bytes"))
+    texts = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("text_hash"))
+    place = ["doc_id", "text_hash"]
+    whole = texts.where("text is not null and doc_id is not null").select(*place, F.lit(0).cast("long").alias("base"), F.col("text").cast("binary").alias("bytes"))
     marked = written(marked_stretches(whole, length, GRAM), "repeats-stretches")
-    parts = [marked.where("copy").select("doc_id", "at")]
-    open_ = marked.where("not copy").groupBy("doc_id").agg(F.collect_set("at").alias("ats"))
-    pieces = written(texts.join(open_, "doc_id").select("doc_id", "text", "ats").mapInArrow(partial(_pieces, length), "doc_id long, base long, bytes binary").distinct(), "repeats-pieces")
+    parts = [marked.where("copy").select(*place, "at")]
+    open_ = marked.where("not copy").groupBy(*place).agg(F.collect_set("at").alias("ats"))
+    pieces = written(texts.join(open_, place).select(*place, "text", "ats").mapInArrow(partial(_pieces, length), _PIECE_FIELDS).distinct(), "repeats-pieces")
     again = written(marked_stretches(pieces, length, SECOND_GRAM), "repeats-stretches")
-    parts.append(again.where("copy").select("doc_id", "at"))
+    parts.append(again.where("copy").select(*place, "at"))
     left_over = again.where("not copy")
     windows = left_over.agg(F.sum(F.col("at") % 256)).first()[0] or 0
-    open_ = left_over.groupBy("doc_id", "base").agg(F.collect_set("at").alias("ats"))
+    open_ = left_over.groupBy(*place, "base").agg(F.collect_set("at").alias("ats"))
     # tasks of so many windows, however well their bytes pack
-    left = pieces.join(open_, ["doc_id", "base"]).repartition(max(1, -(-windows // TASK)), "doc_id", "base")
-    left = written(left.select("doc_id", "base", "bytes", "ats"), "repeats-open", pieces)
+    left = pieces.join(open_, [*place, "base"]).repartition(max(1, -(-windows // TASK)), *place, "base")
+    left = written(left.select(*place, "base", "bytes", "ats"), "repeats-open", pieces)
     n_pieces = left.count()
     if n_pieces:
-        few = left.where(F.pmod(F.xxhash64("doc_id", "base"), F.lit(1_000_000)) < int(1_000_000 * min(1.0, SAMPLE_PIECES / n_pieces)) + 1)
+        few = left.where(F.pmod(F.xxhash64(*place, "base"), F.lit(1_000_000)) < int(1_000_000 * min(1.0, SAMPLE_PIECES / n_pieces)) + 1)
         sample = sorted(bytes(r[0]) for r in few.select("base", "bytes", "ats").mapInArrow(partial(_sample, length), "w binary").collect())
         n_ranges = max(1, min(-(-windows // RANGE), len(sample)))
         bounds = [sample[i * len(sample) // n_ranges] for i in range(1, n_ranges)]
-        runs = left.select("doc_id", "base", "bytes", "ats").mapInArrow(partial(_runs, length, bounds), _RUN_FIELDS)
+        runs = left.select(*place, "base", "bytes", "ats").mapInArrow(partial(_runs, length, bounds), _RUN_FIELDS)
 
         def merge(table: pa.Table) -> pa.Table:
             return _merge(length, table)
 
-        parts.append(runs.groupBy("part").applyInArrow(merge, "doc_id long, at long"))
+        parts.append(runs.groupBy("part").applyInArrow(merge, _CUT_FIELDS))
     every = reduce(DataFrame.union, parts)
-    cuts = written(every.groupBy("doc_id").agg(F.collect_list("at").alias("ats")), "repeats-cuts")
-    both = texts.join(cuts, "doc_id", "left").select("doc_id", "text", "ats")
+    cuts = written(every.groupBy(*place).agg(F.collect_list("at").alias("ats")), "repeats-cuts")
+    both = texts.join(cuts, place, "left").select("doc_id", "text", "ats")
     if with_text:
         return both.mapInArrow(partial(_cut, length), _DIGEST + ", kept binary")
     return both.mapInArrow(partial(_cut_digest, length), _DIGEST)
