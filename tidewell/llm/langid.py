@@ -15,21 +15,19 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .storage import free_names
+from .storage import free_names, written
 
 BUCKETS = 1 << 14
 ORDERS = (1, 2, 3, 4)
-#: Bounds of the training sample (expected): labelled texts a language, and over all languages; landmarks a language.
+#: Bounds of the training sample: labelled texts a language, and over all languages; landmarks a language.
 TEXTS_A_LANGUAGE = 300
 MAX_TEXTS = 6000
 LANDMARKS = 50
 RIDGE = 1e-2
-#: With up to so many languages their table is small and may be broadcast, so that no text is shuffled by its language.
-MAX_LANGUAGES = 10_000
 UNDETERMINED = "und"
 _BATCH = 256
 
@@ -105,21 +103,22 @@ class KernelRidge:
 
 
 def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", texts_a_language: int = TEXTS_A_LANGUAGE, seed: int = 3) -> KernelRidge | None:
-    """A model from a sample of the labelled rows: the rows of least hash, about ``texts_a_language`` of each language, fewer
-    where there are so many languages that ``MAX_TEXTS`` would be exceeded: the driver holds about that many texts' bits.
+    """A model from a sample of the labelled rows: the ``texts_a_language`` rows of least hash of each language, fewer where there
+    are so many languages that ``MAX_TEXTS`` would be exceeded; of more than ``MAX_TEXTS`` languages the commonest are learned. The
+    driver holds at most that many texts' bits.
 
+    The hash is of id and text, so rows that share an id, or have none, are drawn by themselves; of equal rows any may be drawn.
     Rows without text, language or letters are no examples. None where nothing is left.
     """
     known = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    share = known.groupBy(lang).agg(F.count("*").alias("_n"))
-    languages = share.count()
-    texts_a_language = min(texts_a_language, max(1, MAX_TEXTS // max(1, languages)))
-    share = share.withColumn("_share", F.least(F.lit(1.0), texts_a_language / F.col("_n")))
-    rank = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(key)), 11).cast("double")) / float(1 << 53)
-    share = share.select(F.col(lang).alias("lang"), "_share")
-    few = F.broadcast if languages <= MAX_LANGUAGES else (lambda df: df)
-    sample = known.select(F.col(text).alias("text"), F.col(lang).alias("lang"), rank.alias("_rank"))
-    sample = sample.join(few(share), "lang").where("_rank < _share").select("text", "lang")
+    rows = known.select(F.col(text).alias("text"), F.col(lang).alias("lang"), F.xxhash64(F.lit(seed), F.col(key), F.col(text)).alias("_rank"))
+    commonest = rows.groupBy("lang").agg(F.count("*").alias("_n")).orderBy(F.desc("_n"), "lang").limit(MAX_TEXTS)
+    commonest = written(commonest.select("lang"), "languages")
+    texts_a_language = min(texts_a_language, MAX_TEXTS // max(1, commonest.count()))
+    # each task keeps its least ranks of a language, so a language of most rows is no single task; first ranks alone, then texts
+    first = lambda df: df.withColumn("_nth", F.row_number().over(Window.partitionBy("lang").orderBy("_rank"))).where(F.col("_nth") <= texts_a_language)
+    last = first(rows.select("lang", "_rank")).groupBy("lang").agg(F.max("_rank").alias("_last")).join(commonest, "lang")
+    sample = first(rows.join(F.broadcast(last), "lang").where("_rank <= _last")).select("text", "lang")
     rows = sample.mapInArrow(_packed, "lang string, bits binary").toPandas().sort_values(["lang", "bits"])
     if not len(rows):
         return None
