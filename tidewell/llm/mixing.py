@@ -93,8 +93,8 @@ def pareto_mix(
 ) -> DataFrame:
     """One row per document: key, size, source_size, target, copies, taken, and the column ``row`` if one is named.
 
-    ``copies`` is 0 to ``cap`` and ``taken`` is copies * size. Reruns agree: the random number is a hash of key and text
-    (where equal rows are very many, of their number among them too).
+    ``copies`` is 0 to ``cap`` and ``taken`` is copies * size. Reruns agree: the random number is a hash of key, text and
+    the row's number among equal ones.
     Null texts and texts without words have size 0 and no copies beyond the certain ones; a null source is a source,
     ordered last; null and repeated keys are documents of their own; of equal rows, which one is taken is left open; a very
     long text that does not fit is passed over; an empty table gives an empty result; other columns are not read.
@@ -108,11 +108,9 @@ def pareto_mix(
         "mix-sizes",
     )
     total = base.count()
-    heavy = written(base.groupBy("_order").agg(F.count("*").alias("n")).where(F.col("n") * BINS > max(total, 1000 * BINS)).select("_order"), "mix-equal-rows")
-    if not heavy.isEmpty():
-        base = written(numbered_among_equals(base, heavy), "mix-numbered")
-    draw = F.xxhash64("_order", "_nth") if "_nth" in base.columns else F.col("_order")
-    base = base.withColumns({"_u": (F.shiftrightunsigned(draw, 11).cast("double") + 0.5) / float(1 << 53), "_s": F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("n"))})
+    equal = written(base.groupBy("_order").agg(F.count("*").alias("n")).where("n > 1").select("_order"), "mix-equal-rows")
+    base = written(numbered_among_equals(base, equal), "mix-numbered", base)  # each of equal rows has a draw of its own
+    base = base.withColumns({"_u": (F.shiftrightunsigned(F.xxhash64("_order", "_nth"), 11).cast("double") + 0.5) / float(1 << 53), "_s": F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("n"))})
     sizes = base.groupBy("_s").agg(F.first("source").alias("source"), F.sum("size").alias("source_size"), F.count("*").alias("_docs"))
     goals = source_targets(sizes.select("source", "source_size"), weights, share, cap).withColumn("_s", F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("n")))
     whole = F.coalesce(F.least(F.lit(cap), F.floor(F.try_divide("target", "source_size") + 1e-9)), F.lit(0)).cast("int")
