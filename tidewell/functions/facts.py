@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import fixed
 from .geo import any_of, infer_work_mode
-from .text import _col, blank_to_null, plain_text, text_map
+from .text import _col, blank_to_null, plain_items, plain_text, text_map
 
 
 def parse_salary(text: Column | str) -> Column:
@@ -82,12 +83,13 @@ def mentioned(skill: Column, source: Column | str) -> Column:
     return (needle != "") & F.contains(F.concat(F.lit(" "), squeeze(_col(source)), F.lit(" ")), F.concat(F.lit(" "), needle, F.lit(" ")))
 
 
-def ground_skills(skills: Column | str, source: Column | str) -> Column:
-    return F.slice(F.filter(_col(skills), lambda s: mentioned(s, source)), 1, 20)
+def ground_skills(skills: Column | str, source: Column | str, plain: bool = False) -> Column:
+    """At most twenty skills, as plain text, that the text mentions; ``plain``: the skills are plain text already."""
+    return F.slice(F.filter(_col(skills) if plain else plain_items(skills), lambda s: mentioned(s, source)), 1, 20)
 
 
-def dropped_skills(skills: Column | str, source: Column | str) -> Column:
-    return F.filter(_col(skills), lambda s: (F.trim(s) != "") & ~mentioned(s, source))
+def dropped_skills(skills: Column | str, source: Column | str, plain: bool = False) -> Column:
+    return F.filter(_col(skills) if plain else plain_items(skills), lambda s: ~mentioned(s, source))
 
 
 def _number_text(n: Column) -> Column:
@@ -101,8 +103,8 @@ def number_in_text(n: Column, source: Column | str) -> Column:
 
 
 def ground_experience(years: Column | str, label: Column | str, source: Column | str) -> Column:
-    """struct(experience_min_years, experience_label): an unwritten number takes its label with it."""
-    years, label = _col(years), blank_to_null(label)
+    """struct(experience_min_years, experience_label): an unwritten number takes its label with it; the label is plain text."""
+    years, label = _col(years), plain_text(label)
     unwritten = years.isNotNull() & ~number_in_text(years, source)
     numbers = F.regexp_extract_all(label, F.lit(r"\d+(?:\.\d+)?"), F.lit(0))
     good = F.forall(numbers, lambda s: number_in_text(s.cast("double"), source))
@@ -148,9 +150,9 @@ def leftover_text(text: Column | str, *lists: Column | str) -> Column:
     return F.when(blob == "", cleaned).when(covered < 0.75, cleaned)
 
 
-def lines(items: Column | str, limit: int = 500, most: int = 20) -> Column:
-    texts = F.filter(_col(items), lambda s: F.trim(s) != "")
-    return F.slice(F.transform(texts, lambda s: F.substring(F.trim(s), 1, limit)), 1, most)
+def lines(items: Column | str, limit: int = 500, most: int = 20, plain: bool = False) -> Column:
+    """The first ``most`` items that have any text, as plain text, each cut at ``limit``."""
+    return F.slice(F.transform(_col(items) if plain else plain_items(items), lambda s: F.substring(s, 1, limit)), 1, most)
 
 
 def short(c: Column | str, limit: int) -> Column:
@@ -158,17 +160,19 @@ def short(c: Column | str, limit: int) -> Column:
 
 
 def scrubbed(columns: dict[str, str], schema) -> dict[str, Column]:
-    """Plain text for string fields and the non-empty strings of list fields; other fields as they are."""
-    out = {}
-    for name in columns:
-        kind = schema[name].dataType.simpleString()
-        if kind == "string":
-            out[name] = plain_text(name)
-        elif kind == "array<string>":
-            out[name] = F.filter(F.transform(F.col(name), lambda s: F.trim(F.regexp_replace(F.regexp_replace(s, "<[^>]+>", " "), r"\s+", " "))), lambda s: s != "")
-        else:
-            out[name] = F.col(name)
-    return out
+    """Plain text for string fields and the strings of list fields, without those that have none; other fields as they are."""
+    return {name: scrub(F.col(name), schema[name].dataType) for name in columns}
+
+
+def scrub(c: Column, kind: T.DataType) -> Column:
+    """A value without markup; the fields of a struct one by one."""
+    if isinstance(kind, T.StringType):
+        return plain_text(c)
+    if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.StringType):
+        return plain_items(c)
+    if isinstance(kind, T.StructType):
+        return F.struct(*[scrub(c[f.name], f.dataType).alias(f.name) for f in kind.fields])
+    return c
 
 
 def experience_years(c: Column | str) -> Column:

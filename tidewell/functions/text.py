@@ -65,10 +65,6 @@ def requisition_key(company: Column | str, requisition: Column | str) -> Column:
     return F.when(token != "", F.concat_ws("|", normalize_company(company), token))
 
 
-def _form_encode(c: Column) -> Column:
-    return F.url_encode(c)
-
-
 def normalize_url(c: Column | str) -> Column:
     """Scheme and host required; tracking parameters, fragment and trailing slashes dropped; lower case.
 
@@ -82,7 +78,9 @@ def normalize_url(c: Column | str) -> Column:
     key = lambda p: decode(F.substring_index(p, "=", 1))
     value = lambda p: F.when(F.contains(p, F.lit("=")), decode(F.regexp_replace(p, "^[^=]*=", ""))).otherwise(F.lit(""))
     kept = F.filter(pairs, lambda p: ~F.lower(key(p)).isin(*fixed.TRACKING_PARAMS))
-    query = F.array_join(F.transform(kept, lambda p: F.concat(_form_encode(key(p)), F.lit("="), _form_encode(value(p)))), "&")
+    # form encoding that leaves ~ as it is and escapes *
+    encode = lambda c: F.replace(F.replace(F.url_encode(c), F.lit("%7E"), F.lit("~")), F.lit("*"), F.lit("%2A"))
+    query = F.array_join(F.transform(kept, lambda p: F.concat(encode(key(p)), F.lit("="), encode(value(p)))), "&")
     whole = F.concat(part(1), F.lit("://"), part(2), part(3), F.when(query != "", F.concat(F.lit("?"), query)).otherwise(F.lit("")))
     return F.when(part(2) != "", F.lower(F.regexp_replace(whole, "/+$", "")))
 
@@ -111,6 +109,18 @@ def unescape(s: pd.Series) -> pd.Series:
     return s.map(html.unescape, na_action="ignore")
 
 
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def unescape_all(s: pd.Series) -> pd.Series:
+    """HTML entities decoded in every string of a list; nulls of a list are left out."""
+    return s.map(lambda items: [html.unescape(x) for x in items if x is not None], na_action="ignore")
+
+
+def plain_items(c: Column | str) -> Column:
+    """The strings of a list as plain text, in order, without those that have none; one Arrow call a list."""
+    bare = F.transform(unescape_all(_col(c)), lambda x: F.trim(F.regexp_replace(F.regexp_replace(x, "<[^>]+>", " "), r"\s+", " ")))
+    return F.filter(bare, lambda x: x != "")
+
+
 def collapse_ws(c: Column | str) -> Column:
     return F.nullif(F.trim(F.regexp_replace(_col(c), r"\s+", " ")), F.lit(""))
 

@@ -8,11 +8,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewell.functions import fixed
-from tidewell.functions.geo import locations_match
-from tidewell.functions.similarity import indel_ratio, token_set_ratio
 from tidewell.functions.text import exact_fingerprint, fuzzy_title, normalize_company, normalize_location, normalize_url, requisition_key, token_fingerprint
+from tidewell.tables import written
 
 from .clusters import connected_components
+from .similar import class_key, classes, near_classes
 
 
 def source_rank(source_type: Column | str) -> Column:
@@ -57,28 +57,20 @@ def match_by_url(candidates: DataFrame, jobs: DataFrame) -> DataFrame:
     return match_on(candidates, jobs, "url_key")
 
 
-def company_block(candidates: DataFrame, jobs: DataFrame) -> DataFrame:
-    """Candidates beside the jobs of the same company that share a place: a company with very many jobs is blocked by place too.
+def fuzzy_pairs(candidates: DataFrame, jobs: DataFrame, title_threshold: float = fixed.TITLE_THRESHOLD, text_threshold: float = fixed.DESCRIPTION_THRESHOLD) -> DataFrame:
+    """(candidate_id, job_id) of the same company and place, near titles and near descriptions: all pairs, written out.
 
-    Places match when they are equal or share a token that names a place, so each side is listed under its whole place and
-    its naming tokens; the pair is made once by its first common block.
+    Where the least job is enough, or which postings hang together, ``fuzzy_matches`` and ``clusters`` do without.
     """
-    generic = F.array(*[F.lit(t) for t in fixed.GENERIC_LOCATION_TOKENS])
-    tokens = F.array_except(F.filter(F.split("location_key", " "), lambda t: t != ""), generic)
-    blocks = F.array_distinct(F.concat(F.array(F.concat(F.lit("="), F.col("location_key"))), tokens))
-    a = candidates.select("candidate_id", "company_key", F.col("title_key").alias("a_title"), F.col("location_key").alias("a_loc"), F.col("text_key").alias("a_text"), blocks.alias("a_blocks"), F.explode(blocks).alias("block"))
-    b = jobs.select("job_id", "company_key", F.col("title_key").alias("b_title"), F.col("location_key").alias("b_loc"), F.col("text_key").alias("b_text"), blocks.alias("b_blocks"), F.explode(blocks).alias("block"))
-    # titles as near as the threshold asks for have lengths within 23/27 of each other
-    close = F.least(F.length("a_title"), F.length("b_title")) * 27 >= F.greatest(F.length("a_title"), F.length("b_title")) * 23
-    pairs = a.join(b, ["company_key", "block"]).where(close & (F.get(F.array_intersect("a_blocks", "b_blocks"), 0) == F.col("block")))
-    return pairs.where(locations_match("a_loc", "b_loc", normalized=True)).drop("a_blocks", "b_blocks", "block")
+    a, b = (rows.select(i, class_key().alias(k)) for rows, i, k in ((candidates, "candidate_id", "a_class"), (jobs, "job_id", "b_class")))
+    near = near_classes(classes(candidates, "candidate_id"), classes(jobs, "job_id"), title_threshold, text_threshold)
+    return a.join(near.select("a_class", "b_class"), "a_class").join(b, "b_class").select("candidate_id", "job_id")
 
 
-def fuzzy_pairs(candidates: DataFrame, jobs: DataFrame, title_threshold: float = fixed.TITLE_THRESHOLD, text_threshold: float = fixed.DESCRIPTION_THRESHOLD) -> DataFrame:
-    """(candidate_id, job_id) of the same company and place, near titles and near descriptions; the costly ratio last."""
-    near = company_block(candidates, jobs).where((F.col("a_text") != "") & (F.col("b_text") != ""))
-    near = near.where(indel_ratio("a_title", "b_title") >= title_threshold)
-    return near.where(token_set_ratio("a_text", "b_text") >= text_threshold).select("candidate_id", "job_id")
+def fuzzy_matches(candidates: DataFrame, jobs: DataFrame) -> DataFrame:
+    """(candidate_id, job_id): the least job that is like each candidate; postings that match alike are compared once."""
+    best = near_classes(classes(candidates, "candidate_id"), classes(jobs, "job_id")).groupBy("a_class").agg(F.min("b_least").alias("job_id"))
+    return candidates.select("candidate_id", class_key().alias("a_class")).join(best, "a_class").select("candidate_id", "job_id")
 
 
 def find_duplicates(candidates: DataFrame, jobs: DataFrame, order: str = "job_id") -> DataFrame:
@@ -91,7 +83,7 @@ def find_duplicates(candidates: DataFrame, jobs: DataFrame, order: str = "job_id
     exact = reduce(DataFrame.unionByName, [match_on(c, j, k) for k in ("fingerprint", "posting_key", "url_key", "requisition_key")])
     exact = exact.groupBy("candidate_id").agg(F.min("job_id").alias("job_id")).withColumn("how", F.lit("exact"))
     rest = c.join(exact.select("candidate_id"), "candidate_id", "left_anti")
-    fuzzy = fuzzy_pairs(rest, j).groupBy("candidate_id").agg(F.min("job_id").alias("job_id")).withColumn("how", F.lit("fuzzy"))
+    fuzzy = fuzzy_matches(rest, j).withColumn("how", F.lit("fuzzy"))
     return exact.unionByName(fuzzy)
 
 
@@ -128,8 +120,10 @@ def clusters(rows: DataFrame, keys: tuple[str, ...] = ("fingerprint", "url_key",
         first = own.groupBy(k).agg(F.min("candidate_id").alias("v"))  # a key's rows form a star, not all pairs
         edges.append(own.join(first, k).select(F.col("candidate_id").alias("u"), "v"))
     if fuzzy:
-        b = rows.withColumnRenamed("candidate_id", "job_id")
-        edges.append(fuzzy_pairs(rows, b).where("candidate_id > job_id").select(F.col("candidate_id").alias("u"), F.col("job_id").alias("v")))
+        alike = written(classes(rows, "candidate_id"), "classes")
+        own = rows.select("candidate_id", class_key().alias("class_key")).join(alike.select("class_key", "least"), "class_key")
+        edges.append(own.select(F.col("candidate_id").alias("u"), F.col("least").alias("v")))
+        edges.append(near_classes(alike, alike).select(F.col("a_least").alias("u"), F.col("b_least").alias("v")).where("u > v"))
     found = connected_components(reduce(DataFrame.unionByName, edges))
     return rows.select("candidate_id").join(found.withColumnRenamed("node", "candidate_id"), "candidate_id", "left").select(
         "candidate_id", F.coalesce("component", "candidate_id").alias("cluster")

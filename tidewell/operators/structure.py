@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from tidewell.functions import fixed
 from tidewell.functions.facts import (
-    LISTS, coerce_facts, dropped_skills, ground_employment, ground_experience, ground_mode, ground_skills, leftover_text, lines, parse_salary, short,
+    LISTS, coerce_facts, dropped_skills, ground_employment, ground_experience, ground_mode, ground_skills, leftover_text, lines, parse_salary, scrub, short,
 )
 from tidewell.functions.geo import fill_state
-from tidewell.functions.text import _col, blank_to_null, cache_key, html_to_text, iso_z, normalized_input_text, plain_text, structure_hash
+from tidewell.functions.text import _col, blank_to_null, cache_key, html_to_text, iso_z, normalized_input_text, plain_items, plain_text, structure_hash
 
 TASK_STRUCTURE, TASK_ENRICH = "job_structure", "job_enrichment"
 
@@ -57,13 +57,13 @@ def structure_postings(jobs: DataFrame, responses: DataFrame) -> DataFrame:
     """``jobs`` with ``outcome``, ``digest``, grounded facts and ``payload`` (null unless ready).
 
     The whole chain of a posting: its text and digest, the answer, typed facts, grounding in the posting, salary, employment,
-    mode and state by rule, leftover prose, and the object to send.
+    mode and state by rule, leftover prose, and the object to send, without markup in any of its fields.
     """
     rows = jobs.withColumn("posting", posting_text("description_text", "description_html"))
     rows = rows.withColumn("digest", structure_hash("title_original", "posting", "city", "canonical_apply_url"))
     rows = cached_response(rows.withColumn("cache_key", cache_key(TASK_STRUCTURE, fixed.STRUCTURE_VERSION, "digest")), responses)
     rows = rows.withColumn("facts", coerce_facts("response"))
-    rows = rows.withColumn("outcome", structure_status(rows))
+    rows = rows.withColumns({"outcome": structure_status(rows), **{f"_{n}": plain_items(f"facts.{n}") for n in LISTS}})
     years = ground_experience("facts.experience_min_years", "facts.experience_label", "posting")
     rows = rows.withColumns(
         {
@@ -72,11 +72,11 @@ def structure_postings(jobs: DataFrame, responses: DataFrame) -> DataFrame:
             "employment_type": ground_employment("facts.employment_type", "employment_type", "posting"),
             "salary": parse_salary("posting"),
             "experience": years,
-            "dropped": dropped_skills("facts.skills", "posting"),
+            "dropped": dropped_skills("_skills", "posting", plain=True),
             "summary": short(plain_text("facts.summary"), 2000),
             "role_category": short(plain_text("facts.role_category"), 120),
-            "skills": ground_skills("facts.skills", "posting"),
-            **{n: lines(f"facts.{n}") for n in LISTS if n != "skills"},
+            "skills": ground_skills("_skills", "posting", plain=True),
+            **{n: lines(f"_{n}", plain=True) for n in LISTS if n != "skills"},
         }
     )
     rows = rows.withColumns(
@@ -85,7 +85,8 @@ def structure_postings(jobs: DataFrame, responses: DataFrame) -> DataFrame:
             "leftover": leftover_text(plain_text("facts.description_text"), "skills", *[n for n in LISTS if n != "skills"]),
         }
     )
-    return rows.withColumn("payload", F.when(F.col("outcome") == "ready", sendable()))
+    rows = rows.withColumn("payload", sendable()).drop(*[f"_{n}" for n in LISTS])
+    return rows.withColumn("payload", F.when(F.col("outcome") == "ready", scrub(F.col("payload"), rows.schema["payload"].dataType)))
 
 
 def apply_structured(jobs: DataFrame, structured: DataFrame) -> DataFrame:

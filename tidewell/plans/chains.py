@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import uuid
 from contextlib import contextmanager
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewell.functions import facts, fixed, geo, similarity, text
-from tidewell.operators import freshness, resolve, serve, structure
+from tidewell.operators import freshness, resolve, serve, similar, structure
 from tidewell.schemas import CANDIDATE, assert_contract
 from tidewell.sources import envelopes, normalize, raw
 from tidewell.streaming import stream
@@ -74,6 +75,26 @@ def resolve_rows(spark, sf_dir):
     return resolve.resolve_identity(c, j, links)
 
 
+@query(f"""WITH t AS (SELECT DISTINCT {TOK.format("(p_name || ' ' || p_type || CASE WHEN p_size % 10 = 0 THEN ' jr' ELSE '' END)")} AS t FROM part),
+p AS (SELECT a.t AS t1, b.t AS t2 FROM t a JOIN t b ON a.t < b.t AND 27 * least(length(a.t), length(b.t)) >= 23 * greatest(length(a.t), length(b.t))),
+lp AS (SELECT t1 || chr(9) || t2 AS id, t1 AS a, t2 AS b FROM p), {LCS}
+SELECT t1 AS a_title, t2 AS b_title FROM p JOIN lr ON lr.id = t1 || chr(9) || t2 WHERE 200.0 * lcs / (length(t1) + length(t2)) >= {fixed.TITLE_THRESHOLD}""")
+def near_titles(spark, sf_dir):
+    """Titles of parts that are near each other, with one company for all rows."""
+    title = F.concat_ws(" ", "p_name", "p_type", F.when(F.col("p_size") % 10 == 0, "jr"))
+    rows = table(spark, sf_dir, "part").select(F.lit("one").alias("company_key"), text.normalize_title(title).alias("title_key")).distinct()
+    found = similar.near_titles(rows.withColumns({"a": F.lit(True), "b": F.lit(True)}))
+    return found.where("a_title < b_title").select("a_title", "b_title")
+
+
+@query(NEAR.replace("a.id % 2 = 0 AND b.id % 2 = 1", "a.id <> b.id") + """, e AS (SELECT ca AS u, jb AS v FROM f),
+groups AS (WITH RECURSIVE r AS (SELECT u AS n, u AS l FROM e UNION SELECT e.v, r.l FROM r JOIN e ON e.u = r.n AND r.l < e.v) SELECT n, min(l) AS l FROM r GROUP BY 1)
+SELECT k.id AS candidate_id, coalesce(g.l, k.id) AS cluster FROM k LEFT JOIN groups g ON g.n = k.id""", "postings_v")
+def near_clusters(spark, sf_dir):
+    """Groups of postings that hang together by likeness alone."""
+    return resolve.clusters(resolve.with_identity(view(spark, sf_dir, "postings_v")), keys=())
+
+
 # --- pages, boards and admission -----------------------------------------------------------------------------------
 
 
@@ -96,37 +117,42 @@ def account_names(spark, sf_dir):
     return good.select("source_external_key", F.lit("accepted").alias("verdict")).unionByName(bad.select("source_external_key", F.col("error").alias("verdict")))
 
 
-@query("SELECT DISTINCT 'https://sm/' || page_id % 10 AS root, url FROM pages")
+@query("SELECT DISTINCT 'https://sm/' || page_id // 100 AS root, url FROM pages UNION SELECT 'https://sm/' || page_id // 100, 'https://sm/other/' || page_id // 100 FROM pages")
 def sitemap_pages(spark, sf_dir):
-    """Ten sitemaps that list the pages, each under an index of its own."""
-    p = table(spark, sf_dir, "pages").select("page_id", "url", "html").withColumn("n", F.col("page_id") % 10)
+    """Sitemaps of a hundred pages, each under an index of its own; beside it in the index a sitemap that is not called one, so
+    a page, and a page that is called one, so passed over."""
+    p = table(spark, sf_dir, "pages").select("page_id", "url", "html").withColumn("n", F.expr("page_id div 100"))
     loc = F.concat(F.lit("<url><loc> "), F.replace("url", F.lit("&"), F.lit("&amp;")), F.lit("</loc></url>"))
     maps = p.groupBy("n").agg(F.concat(F.lit("<urlset>"), F.array_join(F.collect_list(loc), ""), F.lit("</urlset>")).alias("html"))
-    maps = maps.select(F.concat(F.lit("https://sm/part/"), "n").alias("url"), "html", "n")
-    index = maps.select(F.concat(F.lit("https://sm/"), "n").alias("url"), F.concat(F.lit("<sitemapindex><loc>"), "url", F.lit("</loc></sitemapindex>")).alias("html"))
-    every = maps.drop("n").unionByName(index).unionByName(p.select("url", "html").dropDuplicates(["url"])).withColumn("content_type", F.lit("text/html"))
-    return envelopes.sitemap_expand(every, index.select("url")).select("root", "url")
+    part, other, page = (F.concat(F.lit(f"https://sm/{kind}/"), "n", F.lit(end)) for kind, end in (("part", ".XML?v=1"), ("other", ""), ("none", ".xml")))
+    index = maps.select(F.concat(F.lit("https://sm/"), "n").alias("url"), F.concat(F.lit("<sitemapindex><loc>"), F.concat_ws("</loc><loc>", part, other, page), F.lit("</loc></sitemapindex>")).alias("html"))
+    every = [maps.select(part.alias("url"), "html"), maps.select(other.alias("url"), "html"), maps.select(page.alias("url"), F.lit("<p>no map</p>").alias("html")), index, p.select("url", "html").dropDuplicates(["url"])]
+    pages = reduce(DataFrame.unionByName, every).withColumn("content_type", F.lit("text/html"))
+    return envelopes.sitemap_expand(pages, index.select("url")).select("root", "url")
 
 
-ORIGIN = "regexp_extract(url, '^([^:]+://[^/?#]+)', 1)"
+#: Robots snapshots of an origin: one every six hours from the first of March 2024, status and rules by its number and the origin's length.
+SHOTS = 100
 
 
-@query(f"""SELECT url, CASE kind WHEN 0 THEN NOT starts_with(path, '/fr/') OR starts_with(path, '/fr/1') WHEN 1 THEN TRUE WHEN 2 THEN FALSE WHEN 3 THEN NOT starts_with(path, '/de/') ELSE FALSE END AS allowed, kind = 3 AS stale
- FROM (SELECT DISTINCT url, length({ORIGIN}) % 5 AS kind, regexp_extract(url, '^[^:]+://[^/?#]+([^?#]*)', 1) AS path FROM pages)""")
+@query(f"""WITH p AS (SELECT DISTINCT url, regexp_extract(url, '^([^:]+://[^/?#]+)', 1) AS origin, regexp_extract(url, '^[^:]+://[^/?#]+([^?#]*)', 1) AS path, TIMESTAMP '2024-02-29 21:00:00' + (page_id % 700) * INTERVAL '1' HOUR AS asked_at FROM pages),
+o AS (SELECT DISTINCT origin FROM p), s AS (SELECT origin, n, TIMESTAMP '2024-03-01' + n * INTERVAL '6' HOUR AS fetched_at, [200, 503, 200, 404, 500, 200, 403, 429, 410, 401, 200][(n * 7 + length(origin)) % 11 + 1] AS status FROM o, (SELECT unnest(range({SHOTS})) AS n) WHERE n % 13 < 9),
+a AS (SELECT p.*, s.n, s.status, s.fetched_at FROM p ASOF LEFT JOIN (SELECT * FROM s WHERE status IN (200, 401, 403, 404, 410)) s ON p.origin = s.origin AND p.asked_at >= s.fetched_at)
+SELECT url, asked_at, coalesce(status IN (404, 410) OR (status = 200 AND CASE WHEN starts_with(path, '/fr/1') THEN n % 2 = 0 WHEN starts_with(path, '/fr/') THEN FALSE WHEN starts_with(path, '/en/') THEN n % 3 > 0 ELSE TRUE END), FALSE) AS allowed,
+ coalesce(fetched_at < asked_at - INTERVAL '24' HOUR, FALSE) AS stale FROM a""")
 def admitted_urls(spark, sf_dir):
-    """Page URLs under robots snapshots of their origins: with rules, missing, forbidden, old only, none."""
-    p = table(spark, sf_dir, "pages").select("url", F.lit("2024-03-02").cast("timestamp").alias("at"))
-    origin = F.regexp_extract("url", "^([^:]+://[^/?#]+)", 1)
-    kind = F.length("origin") % 5
-    rule = lambda n, allow, prefix: F.struct(F.lit(n).alias("rule_no"), F.lit(allow).alias("allow"), F.lit(prefix).alias("prefix"))
-    shot = lambda when, at, status, *rules: F.when(when, F.struct(F.lit(at).cast("timestamp").alias("fetched_at"), F.lit(status).alias("status"), F.array(*rules).alias("rules")))
-    shots = F.array(
-        shot(kind == 0, "2024-03-01 12:00:00", 200, rule(1, True, "/fr/1"), rule(2, False, "/fr/")), shot(kind == 0, "2024-02-01", 403, rule(1, False, "/")),
-        shot(kind == 1, "2024-03-01 12:00:00", 404, rule(1, False, "/")), shot(kind == 2, "2024-03-01 12:00:00", 401, rule(1, True, "/")), shot(kind == 3, "2024-02-01", 200, rule(1, False, "/de/")),
-        shot(kind == 4, "2024-03-03", 404, rule(1, True, "/")),
+    """Page URLs at different times under up to a hundred robots snapshots of their origins, some of them failed requests."""
+    at = F.lit("2024-02-29 21:00:00").cast("timestamp") + F.make_dt_interval(hours=(F.col("page_id") % 700).cast("int"))
+    p = table(spark, sf_dir, "pages").select("url", at.alias("at"))
+    origins = p.select(F.regexp_extract("url", "^([^:]+://[^/?#]+)", 1).alias("origin")).distinct()
+    n = F.col("n")
+    rule = lambda i, allow, prefix: F.struct(F.lit(i).alias("rule_no"), allow.alias("allow"), F.lit(prefix).alias("prefix"))
+    statuses = F.array(*[F.lit(x) for x in (200, 503, 200, 404, 500, 200, 403, 429, 410, 401, 200)])
+    shots = origins.select("origin", F.explode(F.sequence(F.lit(0), F.lit(SHOTS - 1))).alias("n")).where("n % 13 < 9").select(
+        "origin", (F.lit("2024-03-01").cast("timestamp") + F.make_dt_interval(hours=n * 6)).alias("fetched_at"), F.get(statuses, (n * 7 + F.length("origin")) % 11).alias("status"),
+        F.array(rule(3, n % 3 > 0, "/en/"), rule(2, F.lit(False), "/fr/"), rule(1, n % 2 == 0, "/fr/1")).alias("rules"),
     )
-    snapshots = p.select(origin.alias("origin")).distinct().select("origin", F.inline(F.filter(shots, lambda s: s.isNotNull())))
-    return envelopes.url_admission(p, snapshots).select("url", "allowed", F.coalesce("stale", F.lit(False)).alias("stale"))
+    return envelopes.url_admission(p, shots).select("url", F.col("at").cast("timestamp_ntz").alias("asked_at"), "allowed", "stale")
 
 
 @query("""SELECT 'lever' AS source_type, 'b' || s_suppkey AS external_key, CASE WHEN s_suppkey % 3 > 0 THEN 0 ELSE 1 END AS consecutive_failures, s_suppkey % 3 > 0 AS enabled, CASE WHEN s_suppkey % 3 = 0 THEN 'unexpected hostedUrl: https://else/' || s_suppkey END AS disabled_reason FROM supplier WHERE s_suppkey % 4 > 0
@@ -272,7 +298,7 @@ POSTED = "(SELECT doc_id, posting, lower(posting) AS low, split_part(posting, '
 
 @query(f"""SELECT doc_id, CASE WHEN contains(low, 'hybrid') THEN 'hybrid' WHEN contains(low, 'remote') OR contains(low, 'work from home') THEN 'remote' WHEN contains(low, 'onsite') OR contains(low, 'on site') OR contains(low, 'in office') THEN 'onsite' END AS mode,
  CASE WHEN doc_id % 5 < 4 AND (contains(low, 'contract') OR contains(low, 'freelance')) THEN 'contract' END AS employment,
- CASE WHEN doc_id % 5 < 4 THEN trim(w2 || ' zzzz') END AS leftover, CASE WHEN doc_id % 5 < 4 THEN CASE WHEN w2 = '' THEN CAST([] AS VARCHAR[]) ELSE [w2] END END AS requirements FROM {POSTED}""")
+ CASE WHEN doc_id % 5 < 4 THEN trim(w2 || ' zzzz') END AS leftover, CASE WHEN doc_id % 5 < 4 THEN [trim(w2 || ' & co')] END AS requirements FROM {POSTED}""")
 def grounded_modes(spark, sf_dir):
     v = _responses(spark, sf_dir).withColumn("f", facts.coerce_facts("response"))
     none = F.lit(None).cast("string")

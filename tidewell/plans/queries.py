@@ -88,9 +88,12 @@ def fuzzy_titles(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", text.fuzzy_title(t).alias("title"))
 
 
-@query(f"SELECT page_id, rtrim(lower(regexp_extract(url, '^[^?#]*') || CASE WHEN q = '' THEN '' ELSE '?' || q END), '/') AS url FROM (SELECT *, {WITH_Q.format('url')} AS q FROM pages)")
+@query(f"SELECT page_id, rtrim(lower(regexp_extract(url, '^[^?#]*') || CASE WHEN q = '' THEN '?' ELSE '?' || q || '&' END || 'p' || page_id || '=~%2a+x%26'), '/') AS url FROM (SELECT *, {WITH_Q.format('url')} AS q FROM pages)")
 def normalize_url(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", text.normalize_url("url").alias("url"))
+    """Page URLs, each with one more parameter whose value is written in other escapes than the form's own."""
+    bare = F.regexp_replace("url", "#.*$", "")
+    url = F.concat(bare, F.when(F.contains(bare, F.lit("?")), F.lit("&")).otherwise(F.lit("?")), F.lit("p"), "page_id", F.lit("=%7e*%20x%26#top"))
+    return table(spark, sf_dir, "pages").select("page_id", text.normalize_url(url).alias("url"))
 
 
 @query(f"SELECT doc_id, sha256({TEXT_KEY.format('text')}) AS fingerprint FROM documents")
@@ -210,8 +213,8 @@ def employment_norm(spark, sf_dir):
 
 RESPONSES = """
 SELECT doc_id, text AS posting, CASE doc_id % 5 WHEN 4 THEN 'no json' ELSE
- '{"summary": "S", "skills": ["' || split_part(text, ' ', 1) || '", "Quantum Basketry", 7], "experience_min_years": ' || CASE doc_id % 3 WHEN 0 THEN '"3"' WHEN 1 THEN '77777' ELSE '4.5' END || ', "experience_label": "77777+ years", "work_mode": "remote",
- "employment_type": "contract", "requirements": ["' || split_part(text, ' ', 2) || '", ""], "description_text": "' || split_part(text, ' ', 2) || ' zzzz"}' END AS response
+ '{"summary": "S", "skills": ["' || split_part(text, ' ', 1) || '", "Quantum Basketry", 7, " <b>' || split_part(text, ' ', 2) || '</b>", "' || split_part(text, ' ', 1) || '&amp;' || split_part(text, ' ', 2) || '"], "experience_min_years": ' || CASE doc_id % 3 WHEN 0 THEN '"3"' WHEN 1 THEN '77777' ELSE '4.5' END || ', "experience_label": "77777+ years", "work_mode": "remote",
+ "employment_type": "contract", "requirements": ["<p>' || split_part(text, ' ', 2) || ' &amp; co</p>", " ", "<br>"], "description_text": "' || split_part(text, ' ', 2) || ' zzzz"}' END AS response
 FROM (SELECT doc_id, regexp_replace(text, '[^A-Za-z ]', '') AS text FROM {documents})"""
 
 
@@ -219,9 +222,9 @@ def _responses(spark, sf_dir):
     return spark.sql(RESPONSES.replace('{"summary"', '{{"summary"').replace('zzzz"}\'', 'zzzz"}}\''), documents=table(spark, sf_dir, "documents"))
 
 
-@query("""SELECT doc_id, CASE WHEN doc_id % 5 < 4 THEN CASE WHEN w <> '' AND contains(' ' || p || ' ', ' ' || w || ' ') THEN [split_part(posting, ' ', 1)] ELSE CAST([] AS VARCHAR[]) END END AS skills,
+@query("""SELECT doc_id, CASE WHEN doc_id % 5 < 4 THEN list_filter([w1, w2, w1 || '&' || w2], lambda s: regexp_matches(lower(s), '[a-z0-9]') AND contains(' ' || p || ' ', ' ' || trim(regexp_replace(lower(s), '[^a-z0-9]+', ' ', 'g')) || ' ')) END AS skills,
  CASE WHEN doc_id % 5 < 4 AND doc_id % 3 = 2 AND regexp_matches(posting, '(^|[^0-9])4\\.5($|[^0-9])') THEN 4.5 END AS years
- FROM (SELECT doc_id, posting, trim(regexp_replace(lower(split_part(posting, ' ', 1)), '[^a-z0-9]+', ' ', 'g')) AS w, trim(regexp_replace(lower(posting), '[^a-z0-9]+', ' ', 'g')) AS p FROM (SELECT doc_id, regexp_replace(text, '[^A-Za-z ]', '', 'g') AS posting FROM documents))""")
+ FROM (SELECT doc_id, posting, split_part(posting, ' ', 1) AS w1, split_part(posting, ' ', 2) AS w2, trim(regexp_replace(lower(posting), '[^a-z0-9]+', ' ', 'g')) AS p FROM (SELECT doc_id, regexp_replace(text, '[^A-Za-z ]', '', 'g') AS posting FROM documents))""")
 def ground_facts(spark, sf_dir):
     v = _responses(spark, sf_dir).withColumn("f", facts.coerce_facts("response"))
     return v.select("doc_id", facts.ground_skills("f.skills", "posting").alias("skills"), facts.ground_experience("f.experience_min_years", "f.experience_label", "posting")["experience_min_years"].alias("years"))
@@ -282,15 +285,15 @@ def normalize_boards(spark, sf_dir):
 
 def _ld_pages(spark, sf_dir):
     ld = F.concat(
-        F.lit('<script type="application/ld+json">{"@graph": [{"@type": ["Thing", "https://schema.org/JobPosting"], "title": "Job '), F.col("page_id"),
+        F.lit('<script type="application/ld+json">{"@graph": [{"@type": [["Thing"], ["https://schema.org/JobPosting/"]], "title": "Job '), F.col("page_id"),
         F.lit('", "hiringOrganization": {"name": "Org"}, "identifier": {"value": '), F.col("page_id"),
-        F.lit('}, "jobLocation": [{"address": {"addressLocality": "Pune", "addressCountry": {"name": "India"}}}, "Remote"], "employmentType": ["A", "B"], "description": "<b>x</b> y", "datePosted": "2024-02-03"}, {"@type": "Other"}]}</script><script type="application/ld+json">{bad</script>'),
+        F.lit('}, "jobLocation": [[{"address": {"addressLocality": "Pune", "addressCountry": {"name": "India"}}}, ["Site '), F.regexp_extract("url", "([a-z.]+)/", 1), F.lit('"]], "Remote"], "employmentType": ["A", "B"], "description": "<b>x</b> y", "datePosted": "2024-02-03"}, {"@type": "a#JobPosting"}, {"@type": {"JobPosting": 1}}]}</script><script type="application/ld+json">{bad</script>'),
     )
     p = table(spark, sf_dir, "pages")
     return p.select("url", F.concat("html", ld).alias("html"), F.lit("site").alias("source_external_key"), F.lit("2024-03-02").cast("timestamp").alias("fetched_at"))
 
 
-@query("SELECT CAST(page_id AS VARCHAR) AS source_job_id, 'Job ' || page_id AS title_original, 'Org' AS company_name, ['Pune, India', 'Remote'] AS locations_raw, 'A, B' AS employment_type, 'x y' AS description_text, '2024-02-03T00:00:00Z' AS posted FROM pages")
+@query("SELECT CAST(page_id AS VARCHAR) AS source_job_id, 'Job ' || page_id AS title_original, 'Org' AS company_name, ['Pune, India', trim('Site ' || regexp_extract(url, '([a-z.]+)/', 1)), 'Remote'] AS locations_raw, 'A, B' AS employment_type, 'x y' AS description_text, '2024-02-03T00:00:00Z' AS posted FROM pages")
 def normalize_ld_pages(spark, sf_dir):
     n = normalize.normalize_jsonld(envelopes.envelopes_jsonld(_ld_pages(spark, sf_dir)))
     return n.select("source_job_id", "title_original", "company_name", "locations_raw", "employment_type", "description_text", text.iso_z("posted_at").alias("posted"))

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import json
 import re
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -15,6 +16,7 @@ from pyspark.sql import types as T
 
 from tidewell.functions.facts import _string
 from tidewell.functions.text import hash_payload, unescape
+from tidewell.operators.asof import asof_join
 
 COLUMNS = ("source_type", "source_external_key", "source_job_id", "source_url", "fetched_at", "payload")
 
@@ -82,6 +84,13 @@ def account_name_check(responses: DataFrame, sources: DataFrame) -> tuple[DataFr
 LD_JSON = re.compile(r"<script\b[^>]*type\s*=\s*[\"']?application/ld\+json[\"']?[^>]*>(.*?)</script\s*>", re.I | re.S)
 
 
+def is_job_posting(kind) -> bool:
+    """Whether a type, or any in a list of types at whatever depth, is JobPosting: its last part after a slash decides."""
+    if isinstance(kind, list):
+        return any(map(is_job_posting, kind))
+    return isinstance(kind, str) and kind.rstrip("/").split("/")[-1] == "JobPosting"
+
+
 def _no_number(text: str) -> None:
     raise ValueError(text)
 
@@ -95,8 +104,7 @@ def page_postings(html: str) -> list[str]:
             while open_:
                 x = open_.pop()
                 if isinstance(x, dict):
-                    types = x.get("@type")
-                    if any(isinstance(t, str) and re.split("[/#]", t)[-1] == "JobPosting" for t in (types if isinstance(types, list) else [types])):
+                    if is_job_posting(x.get("@type")):
                         found.append(json.dumps(x))
                     open_ += reversed(x.values())
                 elif isinstance(x, list):
@@ -133,38 +141,43 @@ def envelopes_jsonld(pages: DataFrame) -> DataFrame:
 def sitemap_expand(pages: DataFrame, roots: DataFrame) -> DataFrame:
     """(root, url, html): pages reached from each root URL, through a sitemap and one nested level of sitemaps.
 
-    ``pages`` holds fetched documents (url, html, content_type); a root that is no sitemap is its own page.
+    ``pages`` holds fetched documents (url, html, content_type). A root that is no sitemap is its own page. Of the locations in a
+    root's sitemap those whose path ends in ``.xml`` are read as sitemaps, and passed over where they are none; all others are
+    pages, whatever they hold. Locations that were not fetched are passed over.
     """
+    path = F.lower(F.substring_index("url", "?", 1))
     sample = F.lower(F.substring(F.ltrim("html"), 1, 200))
     by_type = F.contains(F.lower(F.coalesce("content_type", F.lit(""))), F.lit("xml")) & F.lower(F.try_parse_url("url", F.lit("PATH"))).endswith(".xml")
     is_map = F.contains(sample, F.lit("<urlset")) | F.contains(sample, F.lit("<sitemapindex")) | (by_type & F.contains(F.lower("html"), F.lit("<loc")))
-    known = pages.withColumn("is_map", F.coalesce(is_map, F.lit(False)))
+    known = pages.select("url", "html", F.coalesce(is_map, F.lit(False)).alias("is_map"))
     locs = F.transform(F.regexp_extract_all("html", F.lit(r"(?is)<loc[^>]*>\s*(.*?)\s*</loc>"), F.lit(1)), lambda u: F.trim(u))
+    listed = lambda maps: maps.select("root", F.explode(locs).alias("url")).withColumn("url", unescape("url")).distinct()
     reached = roots.select(F.col("url").alias("root"), "url").join(known, "url")
-    out = reached.where("not is_map").select("root", "url", "html")
-    for _ in range(2):
-        nxt = reached.where("is_map").select("root", F.explode(locs).alias("url")).withColumn("url", unescape("url")).distinct()
-        reached = nxt.join(known, "url")
-        out = out.unionByName(reached.where("not is_map").select("root", "url", "html"))
-    return out.dropDuplicates(["root", "url"])
+    first = listed(reached.where("is_map")).withColumn("nested", path.endswith(".xml")).join(known, "url")
+    second = listed(first.where("nested and is_map")).join(known, "url")
+    found = [reached.where("not is_map"), first.where("not nested"), second]
+    return reduce(DataFrame.unionByName, [x.select("root", "url", "html") for x in found]).dropDuplicates(["root", "url"])
+
+
+#: The answers to a request for robots rules that settle the matter; after any other the last such one holds.
+SETTLED, ALLOWS_ALL, DISALLOWS_ALL = (200, 401, 403, 404, 410), (404, 410), (401, 403)
 
 
 def url_admission(urls: DataFrame, snapshots: DataFrame, fresh_hours: int = 24) -> DataFrame:
-    """``urls`` (url, at) with ``allowed`` by the newest robots snapshot of the origin at that time.
+    """``urls`` (url, at) with ``allowed`` by the newest robots snapshot of the origin at that time, one row a url and time.
 
     ``snapshots``: (origin, fetched_at, status, rules array<struct<rule_no, allow, prefix>>). A snapshot up to ``fresh_hours`` old
-    is used; an older one only where no newer exists (``stale``). 404 and 410 allow, 401 and 403 disallow, else the first rule
-    whose prefix begins the path decides, and none allows. No snapshot at all: not allowed.
+    is used; an older one only where no newer exists (``stale``). 404 and 410 allow, 401 and 403 disallow; with 200 the first rule
+    whose prefix begins the path decides, and none allows. Any other status is no answer: the snapshot before it counts. No
+    snapshot at all: not allowed.
     """
     origin = F.concat(F.try_parse_url("url", F.lit("PROTOCOL")), F.lit("://"), F.try_parse_url("url", F.lit("AUTHORITY")))
     asked = urls.select("url", "at", origin.alias("origin")).distinct()
-    seen = asked.join(snapshots, "origin", "left").where("fetched_at is null or fetched_at <= at")
-    newest = seen.groupBy("url", "at", "origin").agg(F.max_by(F.struct("fetched_at", "status", "rules"), "fetched_at").alias("s"))
+    newest = asof_join(asked, snapshots.where(F.col("status").isin(*SETTLED)), "origin", "at", "fetched_at", ("status", "rules"), ties=("status",))
     path = F.coalesce(F.nullif(F.try_parse_url("url", F.lit("PATH")), F.lit("")), F.lit("/"))
-    ordered = F.array_sort(F.filter("s.rules", lambda r: path.startswith(r["prefix"])))
+    ordered = F.array_sort(F.filter("asof.rules", lambda r: path.startswith(r["prefix"])))
     by_rule = F.coalesce(F.get(ordered, 0)["allow"], F.lit(True))
-    status = F.col("s.status")
-    allowed = F.when(F.col("s.fetched_at").isNull(), False).when(status.isin(404, 410), True).when(status.isin(401, 403), False).otherwise(by_rule)
-    stale = F.col("s.fetched_at") < F.col("at") - F.make_dt_interval(hours=F.lit(fresh_hours))
-    judged = newest.select("url", "at", allowed.alias("allowed"), F.coalesce(stale, F.lit(False)).alias("stale"))
-    return asked.select("url", "at").join(judged, ["url", "at"], "left").withColumn("allowed", F.coalesce("allowed", F.lit(False)))
+    status = F.col("asof.status")
+    allowed = F.when(status.isNull(), False).when(status.isin(*ALLOWS_ALL), True).when(status.isin(*DISALLOWS_ALL), False).otherwise(by_rule)
+    stale = F.col("asof.fetched_at") < F.col("at") - F.make_dt_interval(hours=F.lit(fresh_hours))
+    return newest.select("url", "at", allowed.alias("allowed"), F.coalesce(stale, F.lit(False)).alias("stale"))

@@ -104,8 +104,10 @@ def _name(v: Column | str, path: str) -> Column:
 
 
 def _ld_places(path: str) -> Column:
-    one = F.try_variant_get(P, path, "variant")
-    items = F.coalesce(F.try_variant_get(P, path, "array<variant>"), F.filter(F.array(one), lambda x: x.isNotNull()))
+    """The places of a value, or of a list of values; lists may lie in lists, down to the fourth."""
+    items = F.filter(F.array(F.try_variant_get(P, path, "variant")), lambda x: x.isNotNull())
+    for _ in range(4):
+        items = F.flatten(F.transform(items, lambda x: F.coalesce(F.try_variant_get(x, "$", "array<variant>"), F.array(x))))
     address = lambda x: _place(*[_name(x, f"$.address.{c}") for c in ("addressLocality", "addressRegion", "addressCountry")])
     has_address = lambda x: F.schema_of_variant(F.try_variant_get(x, "$.address", "variant")).startswith("OBJECT")
     return F.transform(items, lambda x: F.coalesce(trimmed_at(x, "$"), F.when(has_address(x), address(x)).otherwise(trimmed_at(x, "$.name"))))
