@@ -64,3 +64,26 @@ def connected_components(links: DataFrame, a: str = "u", b: str = "v", max_round
         raise RuntimeError(f"components are not stable after {max_rounds} rounds")
     roots = stars.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return roots.union(stars.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+
+
+def merged_components(known: DataFrame, links: DataFrame, a: str = "u", b: str = "v") -> DataFrame:
+    """(node, component): the rows of a component table that new links add or change; all others stay as they are.
+
+    ``known`` (node, component) names each node's component by its least node. A link joins two components, so only these
+    are contracted: a graph of the components that the batch touches, whatever they hold. Of a component that gets another name
+    every node is written again; one that keeps its name costs nothing but its new nodes. Self-links make a node known.
+    """
+    links = links.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).where("u is not null and v is not null")
+    ends = links.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    now = written(ends.join(known.select("node", F.col("component").alias("was")), "node", "left").withColumn("name", F.coalesce("was", "node")), "touched")
+    named = lambda end: now.select(F.col("node").alias(end), F.col("name").alias(f"{end}_name"))
+    between = links.join(named("u"), "u").join(named("v"), "v").select(F.col("u_name").alias("u"), F.col("v_name").alias("v"))
+    joined = written(connected_components(between).where("node <> component").select(F.col("node").alias("name"), "component"), "renamed")
+    new = now.where("was is null").join(joined, "name", "left").select("node", F.coalesce("component", "name").alias("component"))
+    moved = known.select("node", F.col("component").alias("name")).join(joined, "name").select("node", "component")
+    return new.unionByName(moved)
+
+
+def latest_components(log: DataFrame) -> DataFrame:
+    """(node, component) from a log of ``merged_components`` with a column ``batch``: the newest row of each node."""
+    return log.groupBy("node").agg(F.max_by("component", "batch").alias("component"))

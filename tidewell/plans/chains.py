@@ -397,34 +397,32 @@ def scrubbed_rows(spark, sf_dir):
 # --- streams --------------------------------------------------------------------------------------------------------------
 
 
-def _arrivals(spark, rows: DataFrame, *parts: str) -> DataFrame:
-    """``rows`` as a stream of files; with ``parts`` (conditions) one micro-batch each, in this order."""
+def _in_runs(spark, rows: DataFrame, start, *parts: str) -> None:
+    """``rows`` as files that arrive part by part (conditions): after each part the stream runs on from its checkpoint until it has all."""
     path = f"{shared_dir(spark)}/arrivals-{uuid.uuid4().hex}"
-    for i, part in enumerate(parts or ("true",)):
-        (rows.where(part).coalesce(1) if parts else rows.where(part)).write.parquet(f"{path}/{i}")
-    source = spark.readStream.schema(rows.schema).option("recursiveFileLookup", "true")
-    return (source.option("maxFilesPerTrigger", 1) if parts else source).parquet(path)
-
-
-def _ran(spark, started, path: str, schema: str) -> DataFrame:
-    started.awaitTermination()
-    return spark.read.schema(schema).parquet(path)
+    for i, part in enumerate(parts):
+        rows.where(part).write.parquet(f"{path}/{i}")
+        start(spark.readStream.schema(rows.schema).option("recursiveFileLookup", "true").parquet(path)).awaitTermination()
 
 
 @query("""SELECT DISTINCT user_id % 50 AS source_id, CAST(event_id % 40 AS VARCHAR) AS source_job_id, sha256('{"k":' || regexp_extract(props, '[0-9]+') || '}') AS payload_hash FROM events""")
 def landed_stream(spark, sf_dir):
     """Envelopes as a stream, repeats dropped by the stream's own state."""
     e = table(spark, sf_dir, "events").select((F.col("user_id") % 50).alias("source_id"), (F.col("event_id") % 40).cast("string").alias("source_job_id"), F.col("ts").cast("timestamp").alias("fetched_at"), "props")
-    rows = stream.raw_landing(_arrivals(spark, e).withColumn("payload", F.parse_json("props"))).select("source_id", "source_job_id", "payload_hash")
     path = f"{shared_dir(spark)}/landed-{uuid.uuid4().hex}"
-    run = rows.writeStream.format("parquet").option("checkpointLocation", f"{path}-state").trigger(availableNow=True).start(path)
-    return _ran(spark, run, path, "source_id long, source_job_id string, payload_hash string")
+
+    def start(arrived):
+        rows = stream.raw_landing(arrived.withColumn("payload", F.parse_json("props"))).select("source_id", "source_job_id", "payload_hash")
+        return rows.writeStream.format("parquet").option("checkpointLocation", f"{path}-state").trigger(availableNow=True).start(path)
+
+    _in_runs(spark, e, start, "source_id < 20", "source_id >= 15 or source_id is null")
+    return spark.read.schema("source_id long, source_job_id string, payload_hash string").parquet(path)
 
 
 @query("SELECT p_brand AS company_name, sha256(CAST(p_partkey AS VARCHAR)) AS title, 'active' AS status, p_size % 2 AS seen_again FROM part WHERE p_size % 4 > 0")
 def published_stream(spark, sf_dir):
-    """Two micro-batches of candidates through publishing; the second brings half of the first again."""
-    p = _titled(spark, sf_dir).where("p_size % 4 > 0")
+    """Two micro-batches of candidates through publishing; the second brings half of the first again. Places abroad are rejected."""
+    p = _titled(spark, sf_dir)
     none = F.lit(None).cast("string")
     rows = p.select(
         F.col("digest").alias("title_original"), F.col("source_external_key").alias("company_name"), F.col("digest").alias("description_text"), F.array("place").alias("locations_raw"), F.concat(F.lit("https://b/"), "p_partkey").alias("apply_url"),
@@ -441,7 +439,7 @@ def published_stream(spark, sf_dir):
         links.write.mode("overwrite").parquet(f"{path}/{batch_id}/links")
         at["last"] = f"{path}/{batch_id}"
 
-    publish_stream(_arrivals(spark, rows, "batch = 0", "batch = 1"), load, save, f"{path}-state").awaitTermination()
+    _in_runs(spark, rows, lambda arrived: publish_stream(arrived, load, save, f"{path}-state"), "batch = 0", "batch = 1")
     jobs, _ = load()
     return jobs.select("company_name", "title", "status", (F.col("last_seen_at") > F.col("first_seen_at")).cast("int").alias("seen_again"))
 
@@ -461,14 +459,55 @@ def _rocks(spark):
 j AS (SELECT source_id, job, max(seq) AS last FROM c GROUP BY 1, 2), m AS (SELECT j.source_id, j.job, least(2, count(n.seq)) AS misses FROM j LEFT JOIN n ON n.source_id = j.source_id AND n.seq > j.last GROUP BY 1, 2)
 SELECT source_id, job AS source_job_id, CAST(misses AS INT) AS missing_count, misses < 2 AS active FROM m""")
 def stateful_crawls(spark, sf_dir):
-    """Crawls as a stream with state by source: 1, 3 and 5 come first; 2 and 4 come late and change nothing; 6 and 7 count."""
-    li = table(spark, sf_dir, "lineitem")
-    crawls = li.groupBy((F.col("l_suppkey") % 20).alias("source_id"), F.col("l_linenumber").cast("long").alias("seq")).agg(F.collect_set((F.col("l_orderkey") % 60).cast("string")).alias("seen_ids"))
+    """Crawls as a stream with state by part of a source: 1, 3 and 5 come first; 2 and 4 come late and change nothing; 6 and 7 count.
+    Between the two runs the stream is stopped and goes on from its checkpoint."""
+    li = table(spark, sf_dir, "lineitem").select((F.col("l_suppkey") % 20).alias("source_id"), F.col("l_linenumber").cast("long").alias("seq"), (F.col("l_orderkey") % 60).cast("string").alias("source_job_id"))
+    li = li.distinct().withColumn("at", F.lit("2024-01-01").cast("timestamp") + F.make_dt_interval(days=F.col("seq").cast("int")))
+    rows = stream.crawl_rows(li, li.select("source_id", "seq", "at").distinct())
     path = f"{shared_dir(spark)}/crawls-{uuid.uuid4().hex}"
+
+    def start(arrived):
+        changed = stream.stateful_freshness(arrived)
+        return changed.writeStream.outputMode("update").foreachBatch(lambda df, i: df.write.mode("overwrite").parquet(f"{path}/{i}")).option("checkpointLocation", f"{path}-state").trigger(availableNow=True).start()
+
     with _rocks(spark):
-        changed = stream.stateful_freshness(_arrivals(spark, written(crawls, "crawls"), "seq in (1, 3, 5)", "seq in (2, 4, 6, 7)"))
-        run = changed.writeStream.outputMode("update").foreachBatch(lambda df, i: df.write.mode("overwrite").parquet(f"{path}/{i}")).option("checkpointLocation", f"{path}-state").trigger(availableNow=True).start()
-        run.awaitTermination()
-    every = spark.read.option("recursiveFileLookup", "true").schema("source_id long, source_job_id string, seq long, missing_count int, active boolean").parquet(path)
+        _in_runs(spark, rows, start, "seq in (1, 3, 5)", "seq in (2, 4, 6, 7)")
+    every = spark.read.option("recursiveFileLookup", "true").schema(stream.FRESHNESS).parquet(path)
     newest = F.max_by(F.struct("missing_count", "active"), "seq").alias("x")
     return every.groupBy("source_id", "source_job_id").agg(newest).select("source_id", "source_job_id", "x.missing_count", "x.active")
+
+
+@query("""WITH e AS (SELECT o_orderkey AS u, o_orderkey - (o_orderkey % 7 + 1) AS v FROM orders WHERE o_orderkey % 5 < 3 AND o_custkey % 9 > 0),
+b AS (SELECT u, v FROM e UNION SELECT v, u FROM e), w AS (WITH RECURSIVE r AS (SELECT u AS n, u AS l FROM b UNION SELECT b.v, r.l FROM r JOIN b ON b.u = r.n AND r.l < b.v) SELECT n, min(l) AS l FROM r GROUP BY 1)
+SELECT n AS node, l AS component FROM w""")
+def component_stream(spark, sf_dir):
+    """Links between orders in four micro-batches; the components that are carried on are those of all links at once."""
+    o = table(spark, sf_dir, "orders").where("o_orderkey % 5 < 3 and o_custkey % 9 > 0")
+    links = o.select(F.col("o_orderkey").alias("u"), F.expr("o_orderkey - (o_orderkey % 7 + 1)").alias("v"), (F.col("o_custkey") % 4).alias("batch"))
+    path = f"{shared_dir(spark)}/components-{uuid.uuid4().hex}"
+    _in_runs(spark, links, lambda arrived: stream.components_stream(arrived, path, f"{path}-state"), *[f"batch = {i}" for i in range(4)])
+    return stream.read_components(spark, path)
+
+
+DELAY, WIDTH = "1 hour", "6 hours"
+
+
+@query("""WITH e AS (SELECT ts, user_id % 10 AS source_id, event_type = 'error' AS failed, event_id, time_bucket(INTERVAL '6 hours', ts) AS w, CASE WHEN event_id % 10 = 0 THEN 3 WHEN ts < (SELECT min(ts) + (max(ts) - min(ts)) / 2 FROM events) THEN 1 ELSE 2 END AS part FROM events),
+t AS (SELECT (SELECT max(ts) FROM e WHERE part < 3) - INTERVAL '1 hour' AS late, (SELECT max(ts) FROM e) - INTERVAL '1 hour' AS done)
+SELECT w AS window_start, source_id, count(*) AS runs, count(*) FILTER (failed) AS failed, count(*) AS fetched FROM e, t WHERE w + INTERVAL '6 hours' <= done AND (part < 3 OR w + INTERVAL '6 hours' > late) GROUP BY 1, 2""")
+def late_crawl_totals(spark, sf_dir):
+    """Windowed totals of a running stream in append mode: a window is put out when the watermark has passed its end, and what comes
+    after that is left out. The first half of the events comes first, then the second, and every tenth event last, most of it late."""
+    e = table(spark, sf_dir, "events")
+    middle = e.agg((F.min("ts") + (F.max("ts") - F.min("ts")) / 2).alias("middle"))
+    part = F.when(F.col("event_id") % 10 == 0, 3).when(F.col("ts") < F.col("middle"), 1).otherwise(2)
+    runs = e.join(F.broadcast(middle)).select(F.col("ts").cast("timestamp").alias("started_at"), (F.col("user_id") % 10).alias("source_id"), F.when(F.col("event_type") == "error", "failed").otherwise("success").alias("status"), F.lit(1).alias("fetched_count"), part.alias("part"))
+    path = f"{shared_dir(spark)}/totals-{uuid.uuid4().hex}"
+
+    def start(arrived):
+        totals = stream.windowed_crawl_totals(arrived, WIDTH, DELAY)
+        return totals.writeStream.outputMode("append").format("parquet").option("checkpointLocation", f"{path}-state").trigger(availableNow=True).start(path)
+
+    _in_runs(spark, runs, start, "part = 1", "part = 2", "part = 3")
+    out = spark.read.schema("window_start timestamp, source_id long, runs long, failed long, fetched long").parquet(path)
+    return out.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
