@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from contextlib import contextmanager
 from functools import reduce
@@ -12,12 +13,12 @@ from pyspark.sql import functions as F
 from tidewell.functions import facts, fixed, geo, similarity, text
 from tidewell.operators import freshness, resolve, serve, similar, structure
 from tidewell.schemas import CANDIDATE, assert_contract
-from tidewell.sources import envelopes, normalize, raw
+from tidewell.sources import envelopes, keyed, normalize, raw
 from tidewell.streaming import stream
 from tidewell.tables import shared_dir, table, written
 
 from .publish import JOBS, LINKS, publish_latest_raw, publish_stream
-from .queries import CLASSIFIED, COMPANY, IDENTITY, LOCATION, PUB, SPACED, TEXT_KEY, TOK, BARE, _all_envelopes, _envelopes, _responses, query
+from .queries import CLASSIFIED, COMPANY, IDENTITY, LOCATION, NOW, PUB, SPACED, TEXT_KEY, TOK, BARE, _all_envelopes, _envelopes, _jobs_snapshot, _responses, query
 from .views import view
 
 # --- near matches ---------------------------------------------------------------------------------------------------
@@ -187,6 +188,49 @@ def stored_table(spark, sf_dir):
     return raw.read_table(spark, path).select("c_custkey", "c_name", "c_mktsegment")
 
 
+@query("SELECT c_custkey, c_name, c_acctbal, c_custkey % 3 AS batch_id FROM customer")
+def jdbc_table(spark, sf_dir):
+    """Customers in three batches into a database table, one of them twice, and back in eight ranges of the key."""
+    spark._jvm.java.lang.System.setProperty("derby.stream.error.file", f"{tempfile.gettempdir()}/derby.log")
+    url = f"jdbc:derby:memory:t{uuid.uuid4().hex};create=true"
+    rows = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_acctbal")
+    raw.run_sql(spark, url, 'CREATE TABLE customers ("c_custkey" BIGINT, "c_name" VARCHAR(100), "c_acctbal" DOUBLE, "batch_id" BIGINT)')
+    for batch in (0, 1, 2, 1):
+        raw.write_jdbc(rows.where(F.col("c_custkey") % 3 == batch), url, "customers", batch)
+    return raw.read_jdbc(spark, url, "customers", '"c_custkey"', 8)
+
+
+def _keyed(spark, rows: DataFrame, *key: str) -> str:
+    name = f"keyed_{uuid.uuid4().hex}"
+    keyed.create_keyed(rows, name, f"{shared_dir(spark)}/{name}", key, buckets=16)
+    return name
+
+
+@query("""WITH h AS (SELECT event_id AS id, user_id AS source_id, sha256(event_type) AS payload_hash FROM events WHERE event_id % 3 = 0 AND user_id % 5 > 0), b AS (SELECT event_id AS id, user_id AS source_id, sha256(event_type) AS payload_hash FROM events WHERE event_id % 3 > 0)
+SELECT * FROM h UNION ALL SELECT * FROM b WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.source_id = b.source_id AND h.payload_hash = b.payload_hash)""")
+def keyed_append(spark, sf_dir):
+    """A bucketed history to which a batch adds the rows whose keys it does not have."""
+    e = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.col("user_id").alias("source_id"), F.sha2("event_type", 256).alias("payload_hash"))
+    name = _keyed(spark, e.where("id % 3 = 0 and source_id % 5 > 0"), "source_id", "payload_hash")
+    keyed.append_keyed(spark, name, written(keyed.new_rows(spark, name, e.where("id % 3 > 0")), "keyed-new"))
+    return spark.table(name).drop(keyed.BUCKET)
+
+
+@query("""WITH j AS (SELECT o_orderkey AS job_id, o_orderpriority AS title, o_orderkey % 4 AS sid, CASE WHEN o_orderkey % 4 = 0 THEN 0 ELSE 2 END AS rank, o_orderdate AS at FROM orders WHERE o_orderkey % 2 = 0),
+c AS (SELECT o_orderkey AS job_id, 'new' || o_custkey AS title, o_orderkey % 3 AS sid, CASE WHEN o_orderkey % 3 = 1 THEN 0 ELSE 3 END AS rank FROM orders WHERE o_orderkey % 13 < 2)
+SELECT coalesce(j.job_id, c.job_id) AS job_id, CASE WHEN c.job_id IS NOT NULL AND (j.job_id IS NULL OR j.sid = c.sid OR c.rank < j.rank) THEN c.title ELSE j.title END AS title, CASE WHEN c.job_id IS NULL THEN 'expired' ELSE 'active' END AS status,
+ coalesce(j.at, TIMESTAMP '2024-01-02') AS first_seen_at, CASE WHEN c.job_id IS NULL THEN j.at ELSE TIMESTAMP '2024-01-02' END AS last_seen_at FROM j FULL JOIN c ON j.job_id = c.job_id""")
+def keyed_upsert(spark, sf_dir):
+    """A bucketed snapshot of jobs into which a batch is merged twice, the second time without effect."""
+    name = _keyed(spark, _jobs_snapshot(spark, sf_dir), "job_id")
+    changes = table(spark, sf_dir, "orders").where("o_orderkey % 13 < 2").select(
+        F.col("o_orderkey").alias("job_id"), F.concat(F.lit("new"), "o_custkey").alias("title"), (F.col("o_orderkey") % 3).alias("source_id"), F.when(F.col("o_orderkey") % 3 == 1, "lever").otherwise("generic").alias("source_type"), F.lit(NOW).cast("timestamp_ntz").alias("seen_at")
+    )
+    for _ in range(2):
+        keyed.merge_keyed(spark, name, changes, lambda old, new: resolve.upsert_job(old, new, ("title",)))
+    return spark.table(name).select("job_id", "title", "status", "first_seen_at", "last_seen_at")
+
+
 # --- normalised rows and publishing ----------------------------------------------------------------------------------
 
 
