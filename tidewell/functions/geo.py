@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import fixed
-from .text import _col, blank_to_null, normalize_location, text_map, with_aliases
+from .text import _col, blank_to_null, let, normalize_location, text_map, with_aliases
 
 
 def phrase_pattern(phrases) -> str:
@@ -44,20 +44,25 @@ def split_place(locations: Column | str) -> Column:
 def classify_relevance(locations: Column | str, title: Column | str, description: Column | str, country: Column | str | None = None, strict_country: bool = False) -> Column:
     """One of five labels; the first rule that holds decides. ``strict_country`` leaves a bare country code IN aside."""
     code = normalize_country_code(F.lit(None).cast("string") if country is None else country)
-    loc = with_aliases(F.concat_ws(" ", _col(locations)))
-    text = with_aliases(F.concat_ws(" ", *[F.nullif(c, F.lit("")) for c in (loc, _col(title), _col(description))]))
-    excluded = text.rlike(EXCLUDED)
-    foreign = (code.isNotNull() & (code != "IN")) | loc.rlike(FOREIGN)
     home = F.lit(False) if strict_country else F.coalesce(code == "IN", F.lit(False))
-    return (
-        F.when(home, "india")
-        .when(loc.rlike(CITY) | (loc.rlike(r"\bindia\b") & ~excluded), "india")
-        .when(loc.rlike(STATE) & ~foreign & ~excluded, "india")
-        .when(~excluded & text.rlike(REMOTE_INDIA), "remote_india")
-        .when(excluded | foreign | text.rlike(US_ONLY), "not_india")
-        .when(loc.rlike(REMOTE) | text.rlike(REMOTE), "unknown_remote")
-        .otherwise("unknown")
-    )
+
+    def by_text(loc: Column, text: Column, excluded: Column) -> Column:
+        foreign = (code.isNotNull() & (code != "IN")) | loc.rlike(FOREIGN)
+        return let(
+            foreign,
+            lambda far: F.when(loc.rlike(r"\bindia\b") & ~excluded, "india")
+            .when(~far & ~excluded & loc.rlike(STATE), "india")
+            .when(~excluded & text.rlike(REMOTE_INDIA), "remote_india")
+            .when(excluded | far | text.rlike(US_ONLY), "not_india")
+            .when(loc.rlike(REMOTE) | text.rlike(REMOTE), "unknown_remote")
+            .otherwise("unknown"),
+        )
+
+    def by_place(loc: Column) -> Column:
+        text = with_aliases(F.concat_ws(" ", *[F.nullif(c, F.lit("")) for c in (loc, _col(title), _col(description))]))
+        return F.when(home | loc.rlike(CITY), "india").otherwise(let(text, lambda t: let(t.rlike(EXCLUDED), lambda excluded: by_text(loc, t, excluded))))
+
+    return let(with_aliases(F.concat_ws(" ", _col(locations))), by_place)
 
 
 def is_publishable(relevance: Column | str) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import html
+from collections.abc import Callable
 from functools import reduce
 
 import pandas as pd
@@ -17,6 +18,11 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once a row, however often it is named."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def text_map(values: dict[str, str]) -> Column:
     return F.create_map(*[F.lit(x) for pair in values.items() for x in pair])
 
@@ -47,8 +53,13 @@ def fuzzy_title(c: Column | str) -> Column:
 
 
 def with_aliases(c: Column | str) -> Column:
-    """Lower case, with older names of cities replaced as whole words."""
-    return reduce(lambda acc, kv: F.regexp_replace(acc, rf"\b{kv[0]}\b", kv[1]), fixed.LOCATION_ALIASES.items(), F.lower(_col(c)))
+    """Lower case, with older names of cities replaced as whole words; a text without any is left alone by a plain search."""
+
+    def replaced(low: Column) -> Column:
+        there = reduce(lambda a, b: a | b, [F.contains(low, F.lit(name)) for name in fixed.LOCATION_ALIASES])
+        return F.when(there, reduce(lambda acc, kv: F.regexp_replace(acc, rf"\b{kv[0]}\b", kv[1]), fixed.LOCATION_ALIASES.items(), low)).otherwise(low)
+
+    return let(F.lower(_col(c)), replaced)
 
 
 def normalize_location(c: Column | str) -> Column:
@@ -70,19 +81,23 @@ def normalize_url(c: Column | str) -> Column:
 
     Escapes that cannot be decoded are kept as they are written.
     """
-    url = F.trim(_col(c))
-    # scheme://host[path][?query][#fragment], cut by pattern so that odd characters do not void the url
-    part = lambda i: F.regexp_extract(url, r"^([A-Za-z][A-Za-z0-9+.\-]*)://([^/?#]+)([^?#]*)(?:\?([^#]*))?(?:#.*)?$", i)
-    pairs = F.filter(F.split(part(4), "&"), lambda p: p != "")
+    # scheme://host[path][?query][#fragment], cut once by pattern so that odd characters do not void the url
+    cut = F.regexp_replace(F.trim(_col(c)), r"^([A-Za-z][A-Za-z0-9+.\-]*)://([^/?#]+)([^?#]*)(?:\?([^#]*))?(?:#.*)?$", "\x1f$1\x1f$2\x1f$3\x1f$4")
+    return let(F.split(cut, "\x1f"), lambda parts: F.when((F.size(parts) == 5) & (F.get(parts, F.lit(0)) == ""), _cleaned(parts)))
+
+
+def _cleaned(parts: Column) -> Column:
+    """A URL from its parts: nothing, scheme, host, path, query."""
+    part = lambda i: F.get(parts, F.lit(i))
     decode = lambda s: F.coalesce(F.try_url_decode(s), s)
-    key = lambda p: decode(F.substring_index(p, "=", 1))
     value = lambda p: F.when(F.contains(p, F.lit("=")), decode(F.regexp_replace(p, "^[^=]*=", ""))).otherwise(F.lit(""))
-    kept = F.filter(pairs, lambda p: ~F.lower(key(p)).isin(*fixed.TRACKING_PARAMS))
+    pairs = F.transform(F.filter(F.split(part(4), "&"), lambda p: p != ""), lambda p: F.struct(decode(F.substring_index(p, "=", 1)).alias("key"), value(p).alias("value")))
+    kept = F.filter(pairs, lambda p: ~F.lower(p["key"]).isin(*fixed.TRACKING_PARAMS))
     # form encoding that leaves ~ as it is and escapes *
     encode = lambda c: F.replace(F.replace(F.url_encode(c), F.lit("%7E"), F.lit("~")), F.lit("*"), F.lit("%2A"))
-    query = F.array_join(F.transform(kept, lambda p: F.concat(encode(key(p)), F.lit("="), encode(value(p)))), "&")
-    whole = F.concat(part(1), F.lit("://"), part(2), part(3), F.when(query != "", F.concat(F.lit("?"), query)).otherwise(F.lit("")))
-    return F.when(part(2) != "", F.lower(F.regexp_replace(whole, "/+$", "")))
+    query = F.array_join(F.transform(kept, lambda p: F.concat(encode(p["key"]), F.lit("="), encode(p["value"]))), "&")
+    whole = let(query, lambda q: F.concat(part(1), F.lit("://"), part(2), part(3), F.when(q != "", F.concat(F.lit("?"), q)).otherwise(F.lit(""))))
+    return F.lower(F.regexp_replace(whole, "/+$", ""))
 
 
 def token_fingerprint(c: Column | str) -> Column:

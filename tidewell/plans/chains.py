@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tidewell.functions import facts, fixed, geo, similarity, text
 from tidewell.operators import freshness, resolve, serve, similar, structure
 from tidewell.schemas import CANDIDATE, assert_contract
-from tidewell.sources import envelopes, keyed, normalize, raw
+from tidewell.sources import envelopes, keyed, landing, normalize, raw
 from tidewell.streaming import stream
 from tidewell.tables import shared_dir, table, written
 
@@ -329,9 +329,8 @@ def job_summary_rows(spark, sf_dir):
 @query(f"SELECT {SUMMARY}, description, posted_at AS first_seen_at, posted_at AS last_seen_at FROM jobs_v WHERE {PUB} AND id = (SELECT min(id) FROM jobs_v WHERE {PUB})", "jobs_v")
 def job_details(spark, sf_dir):
     """The published job of the least id, by its id."""
-    jobs = _served(spark, sf_dir)
-    least = serve.published(jobs).agg(F.min("id")).first()[0]
-    return serve.job_detail(serve.get_job(jobs, least))
+    jobs = serve.published(_served(spark, sf_dir))
+    return serve.job_detail(jobs.orderBy("id").limit(1))
 
 
 # --- structuring and enrichment -------------------------------------------------------------------------------------------
@@ -463,6 +462,38 @@ def landed_stream(spark, sf_dir):
     return spark.read.schema("source_id long, source_job_id string, payload_hash string").parquet(path)
 
 
+BOARDS = "SELECT k AS source_type, source AS source_external_key, CASE WHEN k = 'workable' THEN 'S' ELSE '' END || doc_id AS source_job_id, 'https://' || CASE k WHEN 'greenhouse' THEN 'b' ELSE k[1] END || '/' || doc_id AS source_url FROM (SELECT *, ['greenhouse', 'lever', 'ashby', 'workable'][doc_id % 4 + 1] AS k FROM documents)"
+
+
+def _landed(spark, sf_dir, *landings: str) -> str:
+    """Board responses landed one landing after the other (conditions), as a path."""
+    landing.register(spark)
+    path = f"{shared_dir(spark)}/boards-{uuid.uuid4().hex}"
+    for i, part in enumerate(landings):
+        landing.land(_envelopes(spark, sf_dir).where(part), path, i)
+    return path
+
+
+@query(BOARDS)
+def board_source(spark, sf_dir):
+    """Landed board responses read by their own format."""
+    path = _landed(spark, sf_dir, "source_type in ('lever', 'ashby')", "source_type not in ('lever', 'ashby')")
+    rows = envelopes.envelopes_boards(spark.read.format(landing.NAME).load(path))
+    return rows.select("source_type", "source_external_key", "source_job_id", "source_url")
+
+
+@query(BOARDS)
+def board_stream(spark, sf_dir):
+    """Landed board responses as a stream that is stopped between two landings and goes on behind its offset."""
+    parts = ["source_type in ('lever', 'ashby')", "source_type not in ('lever', 'ashby')"]
+    path = _landed(spark, sf_dir)
+    for i, part in enumerate(parts):
+        landing.land(_envelopes(spark, sf_dir).where(part), path, i)
+        rows = envelopes.envelopes_boards(spark.readStream.format(landing.NAME).load(path)).select("source_type", "source_external_key", "source_job_id", "source_url")
+        rows.writeStream.format("parquet").option("checkpointLocation", f"{path}-state").trigger(availableNow=True).start(f"{path}-out").awaitTermination()
+    return spark.read.schema("source_type string, source_external_key string, source_job_id string, source_url string").parquet(f"{path}-out")
+
+
 @query("SELECT p_brand AS company_name, sha256(CAST(p_partkey AS VARCHAR)) AS title, 'active' AS status, p_size % 2 AS seen_again FROM part WHERE p_size % 4 > 0")
 def published_stream(spark, sf_dir):
     """Two micro-batches of candidates through publishing; the second brings half of the first again. Places abroad are rejected."""

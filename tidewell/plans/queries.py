@@ -591,6 +591,12 @@ def company_payloads(spark, sf_dir):
     return sync.company_payloads(waiting, True)
 
 
+@query(POSTABLE + "SELECT id, company_normalized, posted_at FROM po", "jobs_v", "acks_v")
+def postable_rows(spark, sf_dir):
+    """Jobs that can be sent, in the order in which they are."""
+    return sync.postable_ordered(_sendable_jobs(spark, sf_dir)).select("id", "company_normalized", "posted_at")
+
+
 @query(POSTABLE + "SELECT count(*) AS waiting FROM wa", "jobs_v", "acks_v")
 def waiting(spark, sf_dir):
     return sync.waiting_count(sync.postable(_sendable_jobs(spark, sf_dir)), view(spark, sf_dir, "acks_v"), "a")
@@ -660,6 +666,12 @@ def source_list(spark, sf_dir):
     return serve.list_sources(view(spark, sf_dir, "sources_v")).select("id", "source_type", "external_key", "name", "company_name", "enabled")
 
 
+@query("SELECT id, source_type, external_key, name, company_name, enabled, crawl_interval_minutes, next_crawl_at, CAST(NULL AS TIMESTAMP) AS last_success_at, id % 5 AS consecutive_failures FROM sources_v", "sources_v")
+def source_summaries(spark, sf_dir):
+    s = view(spark, sf_dir, "sources_v").withColumns({"last_success_at": F.lit(None).cast("timestamp"), "consecutive_failures": F.col("id") % 5, "base_url": F.lit("not shown")})
+    return serve.source_summary(s)
+
+
 @query("SELECT run_id, source_id, started_at, finished_at, status, fetched_count, inserted_count, updated_count, rejected_count, error_text FROM runs_v", "runs_v")
 def run_list(spark, sf_dir):
     return serve.run_summary(view(spark, sf_dir, "runs_v"))
