@@ -44,3 +44,18 @@ def test_a_stream_goes_on_behind_its_offset(spark, tmp_path):
         seen.append(spark.read.schema(landing.SCHEMA).parquet(out).count() if os.path.exists(out) else 0)
     assert seen == [2, 2, 3, 3]
     assert landing.BoardStream(path).partitions({"last": ""}, landing.BoardStream(path).latestOffset())[0].names == landing._listed(path)
+
+
+def test_places_come_from_dimension_files(spark, tmp_path):
+    from tidewell.functions import geo
+    from tidewell.sources import raw
+
+    (tmp_path / "a.json").write_text('{"states": ["Kerala "], "cities": ["Newtown", "st. john\'s"], "aliases": {"Oldtown": "Newtown"}}')
+    (tmp_path / "b.json").write_text('{"cities": ["newtown", ""]}')
+    known = raw.places(raw.load_geo_dims(spark, str(tmp_path)))
+    assert known == geo.Places(("kerala",), ("newtown", "st. john's"), (("oldtown", "newtown"),))
+    df = spark.createDataFrame([(x,) for x in ("OLDTOWN, East", "Newtowns", "Kerala", "Pune", "St. John's")], "place string")
+    none = F.lit(None).cast("string")
+    got = {r[0]: r[1] for r in df.select("place", geo.classify_relevance(F.array("place"), none, none, places=known)).collect()}
+    assert got == {"OLDTOWN, East": "india", "Newtowns": "unknown", "Kerala": "india", "Pune": "unknown", "St. John's": "india"}
+    assert geo.PLACES == raw.places(raw.load_geo_dims(spark)) or set(geo.PLACES.cities) == set(raw.places(raw.load_geo_dims(spark)).cities)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from dataclasses import dataclass
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -12,12 +13,24 @@ from .text import _col, blank_to_null, let, normalize_location, text_map, with_a
 
 
 def phrase_pattern(phrases) -> str:
-    """Any of the phrases as whole words, longer ones first."""
+    """Any of the phrases as whole words, longer ones first; without phrases a pattern that nothing fits."""
+    if not phrases:
+        return "(?!)"
     ordered = sorted(set(phrases), key=lambda p: (-len(p), p))
     return r"\b(?:" + "|".join(re.escape(p).replace(r"\ ", " ").replace(r"\-", "-") for p in ordered) + r")\b"
 
 
-CITY, STATE = phrase_pattern(fixed.CITIES), phrase_pattern(fixed.STATES)
+@dataclass(frozen=True)
+class Places:
+    """The names by which a place is known as one in India, in lower case, and older names of cities."""
+
+    states: tuple[str, ...] = tuple(fixed.STATES)
+    cities: tuple[str, ...] = tuple(fixed.CITIES)
+    aliases: tuple[tuple[str, str], ...] = tuple(fixed.LOCATION_ALIASES.items())
+
+
+PLACES = Places()
+CITY, STATE = phrase_pattern(PLACES.cities), phrase_pattern(PLACES.states)
 EXCLUDED, REMOTE_INDIA = phrase_pattern(fixed.INDIA_EXCLUSIONS), phrase_pattern(fixed.REMOTE_INDIA_PHRASES)
 US_ONLY, REMOTE = phrase_pattern(fixed.US_ONLY_PHRASES), phrase_pattern(fixed.REMOTE_SIGNALS)
 FOREIGN = phrase_pattern((*fixed.FOREIGN_COUNTRIES, *fixed.FOREIGN_CITIES, *fixed.US_STATES))
@@ -41,8 +54,10 @@ def split_place(locations: Column | str) -> Column:
     return F.struct(F.get(rest, 0).alias("city"), F.get(rest, 1).alias("state"), F.when(home, F.lit("IN")).alias("country"))
 
 
-def classify_relevance(locations: Column | str, title: Column | str, description: Column | str, country: Column | str | None = None, strict_country: bool = False) -> Column:
-    """One of five labels; the first rule that holds decides. ``strict_country`` leaves a bare country code IN aside."""
+def classify_relevance(locations: Column | str, title: Column | str, description: Column | str, country: Column | str | None = None, strict_country: bool = False, places: Places = PLACES) -> Column:
+    """One of five labels; the first rule that holds decides. ``strict_country`` leaves a bare country code IN aside; ``places`` may
+    come from dimension files (``raw.places``)."""
+    city, state, aliases = phrase_pattern(places.cities), phrase_pattern(places.states), dict(places.aliases)
     code = normalize_country_code(F.lit(None).cast("string") if country is None else country)
     home = F.lit(False) if strict_country else F.coalesce(code == "IN", F.lit(False))
 
@@ -51,7 +66,7 @@ def classify_relevance(locations: Column | str, title: Column | str, description
         return let(
             foreign,
             lambda far: F.when(loc.rlike(r"\bindia\b") & ~excluded, "india")
-            .when(~far & ~excluded & loc.rlike(STATE), "india")
+            .when(~far & ~excluded & loc.rlike(state), "india")
             .when(~excluded & text.rlike(REMOTE_INDIA), "remote_india")
             .when(excluded | far | text.rlike(US_ONLY), "not_india")
             .when(loc.rlike(REMOTE) | text.rlike(REMOTE), "unknown_remote")
@@ -59,10 +74,10 @@ def classify_relevance(locations: Column | str, title: Column | str, description
         )
 
     def by_place(loc: Column) -> Column:
-        text = with_aliases(F.concat_ws(" ", *[F.nullif(c, F.lit("")) for c in (loc, _col(title), _col(description))]))
-        return F.when(home | loc.rlike(CITY), "india").otherwise(let(text, lambda t: let(t.rlike(EXCLUDED), lambda excluded: by_text(loc, t, excluded))))
+        text = with_aliases(F.concat_ws(" ", *[F.nullif(c, F.lit("")) for c in (loc, _col(title), _col(description))]), aliases)
+        return F.when(home | loc.rlike(city), "india").otherwise(let(text, lambda t: let(t.rlike(EXCLUDED), lambda excluded: by_text(loc, t, excluded))))
 
-    return let(with_aliases(F.concat_ws(" ", _col(locations))), by_place)
+    return let(with_aliases(F.concat_ws(" ", _col(locations)), aliases), by_place)
 
 
 def is_publishable(relevance: Column | str) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import html
+import re
 from collections.abc import Callable
 from functools import reduce
 
@@ -52,14 +53,14 @@ def fuzzy_title(c: Column | str) -> Column:
     return F.array_join(F.transform(tokens(c), lambda t: F.coalesce(spelt[t], t)), " ")
 
 
-def with_aliases(c: Column | str) -> Column:
+def with_aliases(c: Column | str, aliases: dict[str, str] = fixed.LOCATION_ALIASES) -> Column:
     """Lower case, with older names of cities replaced as whole words; a text without any is left alone by a plain search."""
 
     def replaced(low: Column) -> Column:
-        there = reduce(lambda a, b: a | b, [F.contains(low, F.lit(name)) for name in fixed.LOCATION_ALIASES])
-        return F.when(there, reduce(lambda acc, kv: F.regexp_replace(acc, rf"\b{kv[0]}\b", kv[1]), fixed.LOCATION_ALIASES.items(), low)).otherwise(low)
+        there = reduce(lambda a, b: a | b, [F.contains(low, F.lit(name)) for name in aliases])
+        return F.when(there, reduce(lambda acc, kv: F.regexp_replace(acc, rf"\b{re.escape(kv[0])}\b", kv[1]), aliases.items(), low)).otherwise(low)
 
-    return let(F.lower(_col(c)), replaced)
+    return let(F.lower(_col(c)), replaced) if aliases else F.lower(_col(c))
 
 
 def normalize_location(c: Column | str) -> Column:

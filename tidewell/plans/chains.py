@@ -180,6 +180,19 @@ def known_places(spark, sf_dir):
     return f.join(cities.withColumn("hit", F.lit(True)), "city", "left").select("doc_id", F.coalesce("hit", F.lit(False)).alias("known_city"))
 
 
+@query("SELECT c_custkey, CASE WHEN c_nationkey % 2 = 0 OR c_nationkey = 1 THEN 'india' WHEN c_nationkey % 5 = 0 THEN 'remote_india' ELSE 'unknown' END AS relevance FROM customer")
+def dimension_places(spark, sf_dir):
+    """Customers' nations as places under dimension files that name every other nation as a city, and one of the others by an older name."""
+    n = table(spark, sf_dir, "nation")
+    path = f"{shared_dir(spark)}/dims-{uuid.uuid4().hex}"
+    cities = n.where("n_nationkey % 2 = 0").agg(F.collect_list(F.concat(F.lit(" "), "n_name")).alias("cities"))  # a row a nation
+    cities.withColumns({"states": F.array(F.lit("Kerala")), "aliases": F.create_map(F.lit("Nation_1"), F.lit("nation_2"))}).write.json(path)
+    known = raw.places(raw.load_geo_dims(spark, path))
+    rows = table(spark, sf_dir, "customer").join(n, F.col("c_nationkey") == F.col("n_nationkey"))
+    text_ = F.when(F.col("c_nationkey") % 5 == 0, "remote, anywhere in india")
+    return rows.select("c_custkey", geo.classify_relevance(F.array("n_name"), "c_mktsegment", text_, places=known).alias("relevance"))
+
+
 @query("SELECT c_custkey, c_name, c_mktsegment FROM customer")
 def stored_table(spark, sf_dir):
     """A table through its writer, parted by a column, and its reader."""
