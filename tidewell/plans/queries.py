@@ -198,8 +198,8 @@ def country_codes(spark, sf_dir):
 # --- typed facts ------------------------------------------------------------------------------------------------
 
 
-@query("""SELECT doc_id, CASE doc_id % 9 WHEN 0 THEN 1500000 WHEN 1 THEN 80000 WHEN 2 THEN 1250000 WHEN 3 THEN 50000 WHEN 5 THEN 1200000 WHEN 7 THEN 600000 END AS salary_min,
- CASE doc_id % 9 WHEN 0 THEN 2000000 WHEN 3 THEN 90000 WHEN 7 THEN 900000 END AS salary_max, CASE WHEN doc_id % 9 IN (0, 1, 2, 3, 5, 7) THEN 'INR' END AS salary_currency,
+@query("""SELECT doc_id, CASE doc_id % 9 WHEN 0 THEN 100000 * (10 + doc_id % 31) WHEN 1 THEN 1000 * (10 + doc_id % 83) WHEN 2 THEN 100000 * (3 + doc_id % 41) + 50000 WHEN 3 THEN 1000 * (20 + doc_id % 29) WHEN 5 THEN 1000000 + doc_id % 997 WHEN 7 THEN 100000 * (1 + doc_id % 4) END AS salary_min,
+ CASE doc_id % 9 WHEN 0 THEN 100000 * (45 + doc_id % 17) WHEN 3 THEN 1000 * (60 + doc_id % 37) WHEN 7 THEN 100000 * (5 + doc_id % 5) END AS salary_max, CASE WHEN doc_id % 9 IN (0, 1, 2, 3, 5, 7) THEN 'INR' END AS salary_currency,
  CASE WHEN doc_id % 9 IN (1, 3) THEN 'month' WHEN doc_id % 9 IN (0, 2, 5, 7) THEN 'year' END AS salary_period FROM documents""")
 def salary_parse(spark, sf_dir):
     v = view(spark, sf_dir, "facts_v").select("doc_id", facts.parse_salary("text").alias("s"))
@@ -249,13 +249,16 @@ def budget_admit(spark, sf_dir):
 
 
 def _envelopes(spark, sf_dir):
-    """Board responses made of documents, one response a document with one posting."""
+    """Board responses made of documents, one response a document with one posting; the whole text is its description."""
+    escaped = F.replace(F.replace(F.replace("text", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    html = F.concat(F.lit("<p>"), escaped, F.lit("</p>"))
+    encoded = F.replace(F.replace(html, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
     d = table(spark, sf_dir, "documents").withColumns({"title": F.regexp_replace(F.substring("text", 1, 40), "[^A-Za-z ]", ""), "seq": F.col("doc_id")})
     job = {
-        "greenhouse": F.struct(F.col("doc_id").alias("id"), "title", F.col("source").alias("company_name"), F.concat(F.lit("https://b/"), "doc_id").alias("absolute_url"), F.lit("&lt;p&gt;Hi&lt;/p&gt;").alias("content"), F.struct(F.lit("Pune; Delhi").alias("name")).alias("location"), F.lit("2024-03-01T10:00:00Z").alias("updated_at")),
-        "lever": F.struct(F.col("doc_id").alias("id"), F.col("title").alias("text"), F.concat(F.lit("https://l/"), "doc_id").alias("hostedUrl"), F.struct(F.lit("Pune").alias("location"), F.array(F.lit("Delhi")).alias("allLocations"), F.lit("Full-time").alias("commitment")).alias("categories"), F.lit(1709287200000).alias("createdAt"), F.lit("Hi  there").alias("descriptionPlain")),
-        "ashby": F.struct(F.col("doc_id").alias("id"), "title", F.concat(F.lit("https://a/"), "doc_id").alias("jobUrl"), F.lit("Pune").alias("location"), F.array(F.lit("Delhi"), F.lit("Pune")).alias("secondaryLocations"), F.lit("FullTime").alias("employmentType"), F.lit("2024-03-01").alias("publishedAt")),
-        "workable": F.struct(F.concat(F.lit("S"), "doc_id").alias("shortcode"), "title", F.concat(F.lit("https://w/"), "doc_id").alias("url"), F.lit("Pune").alias("city"), F.lit("India").alias("country"), F.lit("2024-03-01").alias("published_on")),
+        "greenhouse": F.struct(F.col("doc_id").alias("id"), "title", F.col("source").alias("company_name"), F.concat(F.lit("https://b/"), "doc_id").alias("absolute_url"), encoded.alias("content"), F.struct(F.lit("Pune; Delhi").alias("name")).alias("location"), F.lit("2024-03-01T10:00:00Z").alias("updated_at")),
+        "lever": F.struct(F.col("doc_id").alias("id"), F.col("title").alias("text"), F.concat(F.lit("https://l/"), "doc_id").alias("hostedUrl"), F.struct(F.lit("Pune").alias("location"), F.array(F.lit("Delhi")).alias("allLocations"), F.lit("Full-time").alias("commitment")).alias("categories"), F.lit(1709287200000).alias("createdAt"), F.concat(F.lit("  "), "text").alias("descriptionPlain")),
+        "ashby": F.struct(F.col("doc_id").alias("id"), "title", F.concat(F.lit("https://a/"), "doc_id").alias("jobUrl"), F.lit("Pune").alias("location"), F.array(F.lit("Delhi"), F.lit("Pune")).alias("secondaryLocations"), F.lit("FullTime").alias("employmentType"), encoded.alias("descriptionHtml"), F.lit("2024-03-01").alias("publishedAt")),
+        "workable": F.struct(F.concat(F.lit("S"), "doc_id").alias("shortcode"), "title", F.concat(F.lit("https://w/"), "doc_id").alias("url"), F.lit("Pune").alias("city"), F.lit("India").alias("country"), encoded.alias("description"), F.lit("2024-03-01").alias("published_on")),
     }
     body = lambda k: F.to_json(F.array(job[k])) if k == "lever" else F.to_json(F.struct(F.array(job[k]).alias("jobs"), F.lit("Acme").alias("name")))
     kind = F.element_at(F.array(*[F.lit(k) for k in job]), (F.col("doc_id") % 4 + 1).cast("int"))
@@ -274,7 +277,7 @@ def board_envelopes(spark, sf_dir):
 
 @query("""SELECT k AS source_type, CASE WHEN k = 'workable' THEN 'S' ELSE '' END || doc_id AS source_job_id, nullif(trim(regexp_replace(left(text, 40), '[^A-Za-z ]', '', 'g')), '') AS title_original, source AS company_name,
  CASE k WHEN 'greenhouse' THEN ['Pune', 'Delhi'] WHEN 'lever' THEN ['Pune', 'Delhi'] WHEN 'ashby' THEN ['Pune', 'Delhi'] ELSE ['Pune, India'] END AS locations_raw, CASE k WHEN 'lever' THEN 'Full-time' WHEN 'ashby' THEN 'FullTime' END AS employment_type,
- CASE k WHEN 'greenhouse' THEN '2024-03-01T10:00:00Z' WHEN 'lever' THEN '2024-03-01T10:00:00Z' ELSE '2024-03-01T00:00:00Z' END AS posted, CASE k WHEN 'greenhouse' THEN 'Hi' WHEN 'lever' THEN 'Hi there' END AS description_text
+ CASE k WHEN 'greenhouse' THEN '2024-03-01T10:00:00Z' WHEN 'lever' THEN '2024-03-01T10:00:00Z' ELSE '2024-03-01T00:00:00Z' END AS posted, nullif(trim(regexp_replace(text, '\\s+', ' ', 'g')), '') AS description_text
  FROM (SELECT *, ['greenhouse', 'lever', 'ashby', 'workable'][doc_id % 4 + 1] AS k FROM documents) WHERE trim(regexp_replace(left(text, 40), '[^A-Za-z ]', '', 'g')) <> ''""")
 def normalize_boards(spark, sf_dir):
     e = _all_envelopes(spark, sf_dir)

@@ -33,8 +33,9 @@ SELECT p_partkey AS candidate_id, p_name || CASE p_partkey % 3 WHEN 0 THEN 's' W
 FROM {part}""",
     "facts_v": """
 SELECT doc_id,
-  CASE doc_id % 9 WHEN 0 THEN 'Pay is 15-20 LPA plus bonus' WHEN 1 THEN 'We offer ₹80,000 per month' WHEN 2 THEN '12.5 lakhs per annum' WHEN 3 THEN 'Rs. 50,000 to Rs. 90,000 per month'
-    WHEN 4 THEN 'Competitive pay' WHEN 5 THEN 'INR 1200000 / year' WHEN 6 THEN '5+ years of work' WHEN 7 THEN '₹6,00,000 - ₹9,00,000' ELSE 'hybrid role, 3 years' END AS text,
+  CASE doc_id % 9 WHEN 0 THEN 'Pay is ' || (10 + doc_id % 31) || '-' || (45 + doc_id % 17) || ' LPA plus bonus' WHEN 1 THEN 'We offer ₹' || (10 + doc_id % 83) || ',000 per month' WHEN 2 THEN (3 + doc_id % 41) || '.5 lakhs per annum'
+    WHEN 3 THEN 'Rs. ' || (20 + doc_id % 29) || ',000 to Rs. ' || (60 + doc_id % 37) || ',000 per month' WHEN 4 THEN 'Competitive pay' WHEN 5 THEN 'INR ' || (1000000 + doc_id % 997) || ' / year' WHEN 6 THEN (1 + doc_id % 8) || '+ years of work'
+    WHEN 7 THEN '₹' || (1 + doc_id % 4) || ',00,000 - ₹' || (5 + doc_id % 5) || ',00,000' ELSE 'hybrid role, 3 years' END AS text,
   CASE doc_id % 7 WHEN 0 THEN 'Full-time' WHEN 1 THEN 'full_time' WHEN 2 THEN 'Contractor' WHEN 3 THEN 'Intern' WHEN 4 THEN 'Part time' WHEN 5 THEN 'Volunteer' END AS employment,
   CASE doc_id % 5 WHEN 0 THEN 'Pune' WHEN 1 THEN 'bangalore' WHEN 2 THEN '' WHEN 3 THEN 'Atlantis' ELSE 'New Delhi' END AS city,
   CASE doc_id % 4 WHEN 0 THEN 'KA' WHEN 1 THEN '' WHEN 2 THEN 'Tamil Nadu' END AS state,
