@@ -66,14 +66,17 @@ def feistel(x: F.Column, half: int, key: int = KEY, rounds: int = ROUNDS) -> F.C
 def with_slots(numbered: DataFrame, n: int, key: int = KEY) -> DataFrame:
     """``numbered`` (``number`` from 0 to n - 1) with ``slot``: the permutation, by cycle-walking.
 
-    The domain has at most four times n values, so a walk takes four steps at most on average. The walk is a fold over 256 steps
-    that keeps a value once it is below n; a longer one has a chance of 1e-32.
+    The domain has at most four times n values, so a walk takes four steps at most on average. The walk is a fold over a few steps
+    that keeps a value once it is below n, and over ever more steps for the few rows that are not there yet. One of more
+    than 1,600 steps (a chance below 1e-200) ends the job with an error: no row is given a slot that is none.
     """
     half = max(1, ((n - 1).bit_length() + 1) // 2)
     walk = lambda s, _: F.when(s < n, s).otherwise(feistel(s, half, key))
-    steps = F.sequence(F.lit(1), F.lit(256))
-    first = feistel(F.col("number"), half, key)
-    return numbered.withColumn("slot", F.when(first < n, first).otherwise(F.aggregate(steps, first, walk)))
+    placed = numbered.withColumn("slot", feistel(F.col("number"), half, key))
+    for steps in (8, 64, 1600):
+        further = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), F.col("slot"), walk)
+        placed = placed.withColumn("slot", F.when(F.col("slot") < n, F.col("slot")).otherwise(further))
+    return placed.withColumn("slot", F.when(F.col("slot") < n, F.col("slot")).otherwise(F.raise_error("a cycle walk of the permutation did not end")))
 
 
 def _sequences(length: int, dtype: str, tokenise: Callable[[str], np.ndarray], end: int, pad: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
