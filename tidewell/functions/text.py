@@ -204,6 +204,7 @@ def prompt_text(title, company, city, state, country, employment, mode, descript
     """The request text for one posting; the description is cut at the limit."""
     blank = lambda c: F.coalesce(_col(c), F.lit(""))
     place = F.concat_ws(", ", *[F.nullif(_col(c), F.lit("")) for c in (city, state, country)])
+    # The labels of the request, which decide cache keys.
     return F.format_string(
         "TITLE: %s\nCOMPANY: %s\nLOCATION: %s\nEMPLOYMENT: %s\nWORK MODE: %s\nPOSTING:\n%s\n",
         blank(title), blank(company), place, blank(employment), blank(mode), F.substring(blank(description), 1, fixed.DESCRIPTION_LIMIT),

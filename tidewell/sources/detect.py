@@ -9,6 +9,7 @@ from tidewell.functions.text import _col
 
 from .envelopes import ld_postings
 
+# Hosts of the boards (these and the ones in ``classify_host``), what a board's key looks like, where a URL ends.
 URL = r"(?i)https?://[^\s\"'<>]+"
 GREENHOUSE_HOST = r"^(job-boards(\.eu)?|boards-api|boards)\.greenhouse\.io$"
 SLUG = r"^[A-Za-z0-9][A-Za-z0-9_-]{0,80}$"
