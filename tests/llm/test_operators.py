@@ -15,7 +15,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tidewell.llm import decontaminate, langid, minhash, mixing, quality, queries, shuffle, suffixdedup, textarrays, topk, trainorder, urlfilter
+from tidewell.llm import decontaminate, langid, minhash, mixing, quality, queries, shuffle, storage, suffixdedup, textarrays, topk, trainorder, urlfilter
 
 from . import brute
 
@@ -101,7 +101,11 @@ def test_rows_of_one_id_have_links_of_their_own(spark):
     )
 
 
-def test_contaminations_equal_brute_force(spark):
+@pytest.mark.parametrize("cells", [decontaminate.BROADCAST_CELLS, 0])
+def test_contaminations_equal_brute_force(spark, monkeypatch, cells):
+    """With the items broadcast, and with a shuffle of all sides that deals hot shingles and items over tasks."""
+    monkeypatch.setattr(decontaminate, "BROADCAST_CELLS", cells)
+    monkeypatch.setattr(decontaminate, "SAMPLE_ONE_IN", 1)
     w = brute.by_first_words(300, 1)
     items = {1: " ".join(w[:30]), 2: " ".join(w[40:60]), 3: "Two words", 4: None, 5: "  ", 6: " ".join(w[:30])}
     edited = w[:15] + ["EDIT"] + w[16:30]
@@ -445,10 +449,35 @@ def test_url_rules_equal_brute_force(spark):
     out = urlfilter.filter_urls(df, urlfilter.rule_table(spark, rules)).collect()
     assert len(out) == len(urls) + 1 and all(x["_host"] == x["page_id"] and x["key"] == 1 for x in out)
     assert {x["page_id"]: (x["host"], x["path"], x["rule"], x["verdict"]) for x in out} == brute.verdicts(urls, rules)
+    # one host with a third of the pages, all null urls another key
+    many = spark.range(9000).select(F.col("id").alias("page_id"), F.when(F.col("id") % 3 == 0, "http://www.example.com/en/").when(F.col("id") % 3 == 1, None).otherwise(F.concat(F.lit("http://h"), "id", F.lit(".net/fr/"))).alias("url"))
+    got = urlfilter.filter_urls(many, urlfilter.rule_table(spark, rules)).groupBy("rule").count().collect()
+    assert {x["rule"]: x["count"] for x in got} == {"www.example.com/en/": 3000, None: 3000, "net/fr/": 3000}
     assert urlfilter.filter_urls(df.limit(0), urlfilter.rule_table(spark, rules)).count() == 0
     assert {x["verdict"] for x in urlfilter.filter_urls(df, urlfilter.rule_table(spark, ())).collect()} == {"allow"}
 
 
+def test_a_hot_key_is_dealt_over_parts(spark):
+    """A third of the rows has one key: joins give the same rows, and no partition holds more than a part of the key."""
+    n, parts = 30_000, 64
+    rows = spark.range(n).select(F.when(F.col("id") % 3 == 0, -1).otherwise(F.col("id")).alias("k"), "id")
+    facts = rows.select("k").distinct().withColumn("f", F.explode(F.array(F.lit("a"), F.lit("b"))))
+    counts = rows.groupBy("k").agg(F.count("*").alias("_n"))
+    out = storage.salted_join(rows, facts.repartition("k"), ["k"], counts, F.col("id"))
+    assert sorted(map(tuple, out.select("id", "f").collect())) == [(i, f) for i in range(n) for f in "ab"]
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        out = storage.salted_join(rows, facts, ["k"], counts, F.col("id"))
+        largest = out.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+    finally:
+        for key in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold"):
+            spark.conf.unset(key)
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert largest < 4 * 2 * n / parts
+
+
 def test_training_order_is_a_permutation_and_round_trips(spark, odd, tmp_path):
     df = frame(spark, odd + [(1, odd[0][1], "a")])
     out = trainorder.training_order(df, length=64, shard_sequences=16)

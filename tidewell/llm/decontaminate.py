@@ -22,11 +22,15 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .storage import written
+from .storage import salted_join, written
 
 WIDTH = 5
 MIN_SIMILARITY = 0.8
 RADIUS = 19
+#: A table of items is broadcast up to so many numbers (8 bytes each); a larger one is joined by a shuffle with hot keys dealt
+#: over tasks. Those of the documents' shingles are found on one row in SAMPLE_ONE_IN, which decides where rows go and no result.
+BROADCAST_CELLS = 1 << 20
+SAMPLE_ONE_IN = 64
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -36,8 +40,13 @@ def words(text: str) -> Column:
     return F.filter(F.split(plain, r"[\x20\x09-\x0D]+"), lambda w: w != "")
 
 
+def coded(text: str) -> Column:
+    """The words of a text, each as a 64-bit hash."""
+    return F.transform(words(text), lambda w: F.xxhash64(w))
+
+
 def shingles(word: str, width: int) -> Column:
-    """The 64-bit codes of every run of ``width`` words, in order."""
+    """The 64-bit codes of every run of ``width`` coded words, in order."""
     n = F.size(word) - width + 1
     at = lambda i: F.xxhash64(F.lit(width), *[F.get(F.col(word), i + j) for j in range(width)])
     return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), at)).otherwise(F.array().cast("array<bigint>"))
@@ -95,7 +104,7 @@ def _placed(k: int) -> Column:
 
 def item_table(items: DataFrame, item: str = "item_id", text: str = "text", width: int = WIDTH, radius: int = RADIUS) -> DataFrame:
     """(item_id, n_words, width, codes, fingerprint) of the items that have words."""
-    split = items.select(F.col(item).alias("item_id"), words(text).alias("w")).where(F.size("w") > 0)
+    split = items.select(F.col(item).alias("item_id"), coded(text).alias("w")).where(F.size("w") > 0)
     each = [
         split.where(F.least(F.size("w"), F.lit(width)) == k).select("item_id", F.size("w").alias("n_words"), F.lit(k).alias("width"), shingles("w", k).alias("codes"))
         for k in range(1, width + 1)
@@ -103,13 +112,22 @@ def item_table(items: DataFrame, item: str = "item_id", text: str = "text", widt
     return with_bag(reduce(DataFrame.unionByName, each).distinct().withColumn("fingerprint", simhash(F.col("codes"))))
 
 
+def _small(table: DataFrame, cells: Column) -> bool:
+    """Whether a table of items may be broadcast, by the sum of the numbers that its rows hold."""
+    return table.agg(F.coalesce(F.sum(cells), F.lit(0))).first()[0] <= BROADCAST_CELLS
+
+
 def met(prints: DataFrame, known: DataFrame, marks: DataFrame, radius: int = RADIUS) -> DataFrame:
     """(id, item_id, n, hamming): windows and the items of their size that they have a mark of, agree with in a block, and lie near."""
-    pairs = prints.select("id", "n", F.explode(F.array_distinct("codes")).alias("code")).join(marks, ["n", "code"]).select("id", "n", "item_id").distinct()
-    pairs = pairs.join(prints.select("id", "fingerprint"), "id").join(known.select("item_id", F.col("n_words").alias("n"), F.col("fingerprint").alias("item_print")), ["item_id", "n"])
+    items = marks.join(known.select("item_id", F.col("n_words").alias("n"), F.col("fingerprint").alias("item_print")), ["item_id", "n"])
+    codes = prints.select("id", "n", "fingerprint", F.explode(F.array_distinct("codes")).alias("code"))
+    if _small(items, F.lit(4)):
+        pairs = codes.join(F.broadcast(items), ["n", "code"])
+    else:
+        pairs = salted_join(codes, items, ["n", "code"], codes.groupBy("n", "code").agg(F.count("*").alias("_n")), F.col("id"))
     pairs = pairs.where(F.exists(F.zip_with(blocks("fingerprint", radius), blocks("item_print", radius), lambda x, y: x["value"] == y["value"]), lambda same: same))
     distance = F.bit_count(F.col("fingerprint").bitwiseXOR(F.col("item_print")))
-    return pairs.select("id", "item_id", "n", distance.alias("hamming")).where(F.col("hamming") <= radius)
+    return pairs.select("id", "item_id", "n", distance.alias("hamming")).where(F.col("hamming") <= radius).distinct()
 
 
 def contaminations(
@@ -125,16 +143,21 @@ def contaminations(
     """
     known = written(item_table(items, item, item_text, width, radius), "benchmark-items")
     widths = [r[0] for r in known.select("width").distinct().collect()]  # 1 to ``width`` numbers
-    # sizes of the items that have a shingle, one row each, whatever the number of items that have it there; a written table,
-    # so that Spark knows its bytes and broadcasts it only if it is small
+    # sizes of the items that have a shingle, one row each, whatever the number of items that have it there
     sizes = written(known.select(F.col("n_words").alias("n"), "width", F.explode("codes").alias("code")).distinct(), "benchmark-shingles")
     marks = written(item_marks(known, min_similarity), "benchmark-marks")
     # rows of one id are told apart by their text
     named = docs.select(F.col(key).alias("doc_id"), F.xxhash64(text).alias("body"), F.col(text).alias("text"))
-    split = named.select("doc_id", "body", words("text").alias("w"))
+    split = named.select("doc_id", "body", coded("text").alias("w"))
     if not widths:
         return split.select("doc_id", F.lit(None).cast(known.schema["item_id"].dataType).alias("item_id"), F.lit(0).alias("start_word"), F.lit(0).alias("n_words"), F.lit(0).alias("hamming"), F.lit(0.0).alias("similarity")).limit(0)
-    hits = split.select("doc_id", "body", F.size("w").alias("size"), F.inline(F.concat(*[_placed(k) for k in widths]))).join(sizes, ["width", "code"])
+    placed = lambda texts: texts.select("doc_id", "body", F.size("w").alias("size"), F.inline(F.concat(*[_placed(k) for k in widths])))
+    if _small(sizes, F.lit(3)):
+        hits = placed(split).join(F.broadcast(sizes), ["width", "code"])
+    else:
+        sample = named.sample(1 / SAMPLE_ONE_IN, seed=1).select("doc_id", "body", coded("text").alias("w"))
+        often = written(placed(sample).groupBy("width", "code").agg(F.count("*").alias("_n")), "benchmark-often")
+        hits = salted_join(placed(split), sizes, ["width", "code"], often, F.col("body"))
     hits = hits if short else hits.where("size >= n")
     hits = hits.groupBy("doc_id", "body", "n", "width", "size").agg(F.sort_array(F.collect_set("pos")).alias("p"))
     # both / (a + b - both) >= s needs both >= s * (a + b) / (1 + s); a window has at most ``_own`` shingles
@@ -147,7 +170,7 @@ def contaminations(
     # the windows of a text in one row beside it: the words are cut once more, for those texts only
     per_doc = windows.groupBy("doc_id", "body").agg(F.collect_set(F.struct("start", "n", "width")).alias("ws")).withColumnsRenamed({"doc_id": "_doc", "body": "_body"})
     texts = named.join(per_doc, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("body") == F.col("_body")))
-    texts = texts.select("doc_id", "body", words("text").alias("w"), "ws")
+    texts = texts.select("doc_id", "body", coded("text").alias("w"), "ws")
     cut = reduce(
         DataFrame.unionByName,
         [
@@ -159,10 +182,13 @@ def contaminations(
     )
     prints = cut.withColumn("fingerprint", simhash(F.col("codes")))
     prints = written(with_bag(prints).withColumn("id", F.xxhash64("doc_id", "body", "start", "n")), "benchmark-prints")
-    near = met(prints, known, marks, radius)
-    sides = near.join(prints.select("id", "doc_id", "start", "own", F.col("bag").alias("a")), "id").join(
-        known.select("item_id", F.col("n_words").alias("n"), F.col("bag").alias("b")), ["item_id", "n"]
-    )
+    near = written(met(prints, known, marks, radius), "benchmark-near")
+    windows_ = near.join(prints.select("id", "doc_id", "start", "own", F.col("bag").alias("a")), "id")
+    bags = known.select("item_id", F.col("n_words").alias("n"), F.col("bag").alias("b"))
+    if _small(known, F.size("bag") + 2):
+        sides = windows_.join(F.broadcast(bags), ["item_id", "n"])
+    else:
+        sides = salted_join(windows_, bags, ["item_id", "n"], near.groupBy("item_id", "n").agg(F.count("*").alias("_n")), F.col("id"))
     both = F.size(F.array_intersect("a", "b"))  # the sum of lesser multiplicities
     judged = sides.withColumn("_both", both).withColumn("similarity", F.col("_both") / (F.size("a") + F.size("b") - F.col("_both")))
     best = F.min(F.struct((-F.col("similarity")).alias("s"), "start", F.col("own").alias("n"), "hamming"))

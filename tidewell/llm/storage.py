@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewell.tables import shared_dir, shuffles_dropped, table, written
 
-__all__ = ["counted", "free_names", "hot_join", "numbered", "numbered_among_equals", "row_hash", "shared_dir", "shuffles_dropped", "table", "written"]
+__all__ = ["counted", "free_names", "hot_join", "numbered", "numbered_among_equals", "row_hash", "salted_join", "shared_dir", "shuffles_dropped", "table", "written"]
 
 #: Keys that hold more than one row in so many are hot; there are at most so many of them.
 HOT_KEYS = 4096
@@ -42,6 +42,22 @@ def hot_join(rows: DataFrame, facts: DataFrame, key: str, count: str, total: int
     return rows.where(listed).join(F.broadcast(few), key).unionByName(rows.where(~listed).join(rest, key))
 
 
+def salted_join(rows: DataFrame, facts: DataFrame, on: list[str], counts: DataFrame, spread: Column) -> DataFrame:
+    """``rows`` joined with ``facts`` (any number a key) by ``on``, the rows of a hot key dealt over parts by ``spread``.
+
+    ``counts`` holds (``on``, _n), a key's number of rows, all of them or in a sample: it decides where rows go and never which
+    rows come out. A key with more than one row in ``HOT_KEYS`` is hot: it gets a part for every so many rows, and its facts are
+    copied once a part. There are fewer than ``HOT_KEYS`` hot keys, which are broadcast, and fewer than twice as many parts.
+    """
+    salts, salt = free_names([*rows.columns, *facts.columns], "_salts", "_salt")
+    total = counts.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
+    hot = F.broadcast(counts.where(F.col("_n") * HOT_KEYS > total).select(*on, F.ceil(F.col("_n") * HOT_KEYS / total).cast("int").alias(salts)))
+    parts = F.coalesce(F.col(salts), F.lit(1))
+    left = rows.join(hot, on, "left").withColumn(salt, F.pmod(F.xxhash64(spread), parts).cast("int")).drop(salts)
+    right = facts.join(hot, on, "left").withColumn(salt, F.explode(F.sequence(F.lit(0), parts - 1))).drop(salts)
+    return left.join(right, [*on, salt]).drop(salt)
+
+
 def counted(placed: DataFrame) -> DataFrame:
     """A written table with ``_nth``, 0, 1, ... in the order of its ``_id`` (a ``monotonically_increasing_id``), counted by parts."""
     placed = placed.withColumn("_part", F.shiftright("_id", 33))

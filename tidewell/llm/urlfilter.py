@@ -8,6 +8,7 @@ closed by then (they no longer prefix the host's key) taken off.
 
 Hosts are made distinct before the sweep, so one host with a third of all pages is one row in it. The sweep runs side by
 side in ranges: the first two labels of the key, and for a range with many hosts a salt, each with its own copy of the rules.
+On the way back to the pages, hosts with more than one page in 4,096 are dealt over several tasks.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .storage import free_names
+from .storage import free_names, salted_join, written
 
 #: Host, path prefix and verdict of the rules.
 RULES = (
@@ -120,7 +121,9 @@ def filter_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: s
     kept = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
     key, chain = free_names([*kept, "host", "path"], "key", "chain")
     parsed = pages.select(*kept, host_of(url).alias("host"), path_of(url).alias("path")).withColumn(key, host_key(F.col("host")))
-    stacks = sweep(parsed.select(F.col(key).alias("key")).distinct(), rules).select(F.col("key").alias(key), F.col("chain").alias(chain))
+    hosts = written(parsed.groupBy(F.col(key).alias("key")).agg(F.count("*").alias("_n")), "url-hosts")
+    stacks = sweep(hosts.select("key"), rules).select(F.col("key").alias(key), F.col("chain").alias(chain))
     fits = F.flatten(F.transform(chain, lambda c: F.filter(c["own"], lambda r: F.startswith(F.col("path"), r["path"]))))
     best = F.array_max(fits)
-    return parsed.join(stacks, key, "left").select(*kept, "host", "path", best["rule"].alias("rule"), F.coalesce(best["verdict"], F.lit(default)).alias("verdict"))
+    judged = salted_join(parsed, stacks, [key], hosts.select(F.col("key").alias(key), "_n"), F.monotonically_increasing_id())
+    return judged.select(*kept, "host", "path", best["rule"].alias("rule"), F.coalesce(best["verdict"], F.lit(default)).alias("verdict"))
