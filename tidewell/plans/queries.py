@@ -189,10 +189,15 @@ def state_fill(spark, sf_dir):
     return view(spark, sf_dir, "facts_v").select("doc_id", geo.fill_state("city", "state").alias("state"))
 
 
-@query("""SELECT c_custkey, CASE c_custkey % 6 WHEN 0 THEN 'IN' WHEN 1 THEN 'US' WHEN 2 THEN 'GB' WHEN 3 THEN 'DE' WHEN 4 THEN NULL ELSE 'GB' END AS code FROM customer""")
+# two letters of numbers, the head of a segment, written codes, a letter and a digit, null
+COUNTRY_INPUT = """CASE WHEN c_custkey % 11 = 0 THEN NULL WHEN c_custkey % 4 = 0 THEN chr(CAST(97 + c_nationkey AS INT)) || ' ' WHEN c_custkey % 4 = 1 THEN lower(substr(c_mktsegment, 1, CAST(1 + c_custkey % 3 AS INT)))
+ WHEN c_custkey % 4 = 2 THEN ' ' || CASE c_nationkey % 5 WHEN 0 THEN 'ind' WHEN 1 THEN 'Usa' WHEN 2 THEN 'UK' WHEN 3 THEN 'gbr' ELSE 'Germany' END ELSE chr(CAST(97 + c_nationkey AS INT)) || chr(CAST(44 + c_custkey % 78 AS INT)) END"""
+
+
+@query(f"""WITH k AS (SELECT c_custkey, upper(trim({COUNTRY_INPUT})) AS u FROM customer)
+SELECT c_custkey, CASE WHEN u = 'IND' THEN 'IN' WHEN u = 'USA' THEN 'US' WHEN u IN ('GBR', 'UK') THEN 'GB' WHEN regexp_full_match(u, '[A-Z][A-Z]') THEN u END AS code FROM k""")
 def country_codes(spark, sf_dir):
-    k = F.element_at(F.array(*[F.lit(x) for x in ("ind", " usa", "UK", "de", "Germany", "gbr")]), (F.col("c_custkey") % 6 + 1).cast("int"))
-    return table(spark, sf_dir, "customer").select("c_custkey", geo.normalize_country_code(k).alias("code"))
+    return table(spark, sf_dir, "customer").select("c_custkey", geo.normalize_country_code(F.expr(COUNTRY_INPUT)).alias("code"))
 
 
 # --- typed facts ------------------------------------------------------------------------------------------------
@@ -206,9 +211,17 @@ def salary_parse(spark, sf_dir):
     return v.select("doc_id", "s.*")
 
 
-@query("SELECT doc_id, CASE doc_id % 7 WHEN 0 THEN 'full_time' WHEN 1 THEN 'full_time' WHEN 2 THEN 'contract' WHEN 3 THEN 'internship' WHEN 4 THEN 'part_time' END AS kind FROM documents")
+# a type as it is named, words of the text, types with a character of the text between their parts
+EMPLOYMENT_INPUT = """CASE doc_id % 4 WHEN 0 THEN 'Full' || substr(text, CAST(1 + doc_id % 50 AS INT), 1) || 'TIME' WHEN 1 THEN split_part(text, ' ', CAST(1 + doc_id % 5 AS INT))
+ WHEN 2 THEN CASE length(text) % 6 WHEN 0 THEN 'full_time' WHEN 1 THEN 'Free-Lance' WHEN 2 THEN 'permanent.' WHEN 3 THEN 'TEMP' WHEN 4 THEN 'temporary' ELSE 'Contractor (B2B)' END
+ ELSE substr(text, CAST(1 + doc_id % 30 AS INT), 1) || CASE length(text) % 4 WHEN 0 THEN 'part time' WHEN 1 THEN 'Intern' WHEN 2 THEN 'internship' ELSE 'con tract' END END"""
+
+
+@query(f"""WITH e AS (SELECT doc_id, {EMPLOYMENT_INPUT} AS e FROM documents), k AS (SELECT doc_id, e, regexp_replace(lower(e), '[^a-z]', '', 'g') AS t FROM e)
+SELECT doc_id, CASE WHEN e IN ('full_time', 'part_time', 'contract', 'internship', 'temporary') THEN e WHEN t IN ('fulltime', 'permanent') THEN 'full_time' WHEN t = 'parttime' THEN 'part_time'
+ WHEN t IN ('contract', 'contractor', 'freelance') THEN 'contract' WHEN t IN ('intern', 'internship') THEN 'internship' WHEN t IN ('temporary', 'temp') THEN 'temporary' END AS kind FROM k""")
 def employment_norm(spark, sf_dir):
-    return view(spark, sf_dir, "facts_v").select("doc_id", facts.normalize_employment("employment").alias("kind"))
+    return table(spark, sf_dir, "documents").select("doc_id", facts.normalize_employment(F.expr(EMPLOYMENT_INPUT)).alias("kind"))
 
 
 RESPONSES = """
