@@ -183,10 +183,21 @@ def work_mode(spark, sf_dir):
     return v.select("doc_id", geo.infer_work_mode(F.lit(None).cast("string"), "text", "city", "relevance").alias("mode"), geo.work_mode_from_location(F.array("city")).alias("by_place"))
 
 
-@query("""SELECT doc_id, CASE WHEN coalesce(trim(state), '') <> '' THEN CASE lower(trim(state)) WHEN 'ka' THEN 'Karnataka' ELSE trim(state) END
- ELSE CASE lower(trim(city)) WHEN 'pune' THEN 'Maharashtra' WHEN 'bangalore' THEN 'Karnataka' WHEN 'new delhi' THEN 'Delhi' END END AS state FROM facts_v""", "facts_v")
+# a known city or a word of the text; a code of two letters, a name, a word of the text, blank or null
+CITY_INPUT = "CASE doc_id % 3 WHEN 0 THEN split_part(text, ' ', 1) ELSE CASE length(text) % {} {} END || ' ' END".format(len(fixed.CITY_STATES), " ".join(f"WHEN {i} THEN '{c.title()}'" for i, c in enumerate(fixed.CITY_STATES)))
+STATE_INPUT = """CASE doc_id % 6 WHEN 0 THEN ' ' || upper(chr(CAST(97 + doc_id % 26 AS INT))) || chr(CAST(97 + length(text) % 26 AS INT)) WHEN 1 THEN substr(text, 1, CAST(1 + doc_id % 4 AS INT))
+ WHEN 2 THEN CASE length(text) % 4 WHEN 0 THEN 'Tamil Nadu' WHEN 1 THEN 'ka' WHEN 2 THEN 'MH' ELSE 'dl ' END WHEN 3 THEN '  ' END"""
+
+
+def _pairs(known: dict) -> str:
+    return "(VALUES " + ", ".join(f"('{k}', '{v}')" for k, v in known.items()) + ")"
+
+
+@query(f"""WITH x AS (SELECT doc_id, lower(trim({CITY_INPUT})) AS city, trim({STATE_INPUT}) AS state FROM documents)
+SELECT doc_id, CASE WHEN coalesce(state, '') = '' THEN c.v WHEN length(state) <= 3 THEN coalesce(s.v, state) ELSE state END AS state
+FROM x LEFT JOIN {_pairs(fixed.CITY_STATES)} AS c(k, v) ON x.city = c.k LEFT JOIN {_pairs(fixed.STATE_CODES)} AS s(k, v) ON lower(x.state) = s.k""")
 def state_fill(spark, sf_dir):
-    return view(spark, sf_dir, "facts_v").select("doc_id", geo.fill_state("city", "state").alias("state"))
+    return table(spark, sf_dir, "documents").select("doc_id", geo.fill_state(F.expr(CITY_INPUT), F.expr(STATE_INPUT)).alias("state"))
 
 
 # two letters of numbers, the head of a segment, written codes, a letter and a digit, null
