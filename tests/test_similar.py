@@ -113,3 +113,12 @@ def test_bound_on_texts_never_refuses_a_near_pair(spark):
     df = spark.createDataFrame([(a, b) for a in texts for b in texts], "a string, b string")
     for x in df.select("a", "b", similar.may_be_near("a", "b", 88.0).alias("ok")).collect():
         assert x["ok"] or set_ratio(x["a"], x["b"]) < 88
+
+
+def test_exact_matches_make_no_comparison_by_likeness(spark, monkeypatch):
+    monkeypatch.setattr(resolve, "near_classes", None)
+    rows = [(1, "Acme", "Data Engineer", "Pune"), (2, "ACME Inc", "data engineer", "pune"), (3, "Acme", "Data Engineers", "Pune")]
+    blank = {c: F.lit(None).cast("string") for c in ("requisition_id", "canonical_url", "source_id", "source_job_id")}
+    p = resolve.with_identity(spark.createDataFrame(rows, "candidate_id long, company_name string, title string, location string").withColumn("description", F.lit("spark")).withColumns(blank))
+    got = resolve.find_exact(p.where("candidate_id > 1"), p.where("candidate_id = 1").withColumnRenamed("candidate_id", "job_id"))
+    assert [tuple(x) for x in got.collect()] == [(2, 1)]

@@ -73,17 +73,22 @@ def fuzzy_matches(candidates: DataFrame, jobs: DataFrame) -> DataFrame:
     return candidates.select("candidate_id", class_key().alias("a_class")).join(best, "a_class").select("candidate_id", "job_id")
 
 
-def find_duplicates(candidates: DataFrame, jobs: DataFrame, order: str = "job_id") -> DataFrame:
-    """(candidate_id, job_id, how): the first job in list order that shares an exact key, else the first similar one.
+def find_exact(candidates: DataFrame, jobs: DataFrame) -> DataFrame:
+    """(candidate_id, job_id): the first job that shares an exact key.
 
     The four exact keys are four equi-joins in a union, never one join on a disjunction.
     """
     posting = F.when(F.col("source_id").isNotNull() & F.col("source_job_id").isNotNull(), F.concat_ws("\x1f", "source_id", "source_job_id"))
     c, j = candidates.withColumn("posting_key", posting), jobs.withColumn("posting_key", posting)
     exact = reduce(DataFrame.unionByName, [match_on(c, j, k) for k in ("fingerprint", "posting_key", "url_key", "requisition_key")])
-    exact = exact.groupBy("candidate_id").agg(F.min("job_id").alias("job_id")).withColumn("how", F.lit("exact"))
-    rest = c.join(exact.select("candidate_id"), "candidate_id", "left_anti")
-    fuzzy = fuzzy_matches(rest, j).withColumn("how", F.lit("fuzzy"))
+    return exact.groupBy("candidate_id").agg(F.min("job_id").alias("job_id"))
+
+
+def find_duplicates(candidates: DataFrame, jobs: DataFrame, order: str = "job_id") -> DataFrame:
+    """(candidate_id, job_id, how): the first job in list order that shares an exact key, else the first similar one."""
+    exact = find_exact(candidates, jobs).withColumn("how", F.lit("exact"))
+    rest = candidates.join(exact.select("candidate_id"), "candidate_id", "left_anti")
+    fuzzy = fuzzy_matches(rest, jobs).withColumn("how", F.lit("fuzzy"))
     return exact.unionByName(fuzzy)
 
 

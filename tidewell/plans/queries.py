@@ -399,7 +399,7 @@ c AS (SELECT * FROM i WHERE candidate_id % 3 = 0), j AS (SELECT candidate_id AS
  UNION ALL SELECT c.candidate_id, j.job_id FROM c JOIN j ON c.uk = j.uk UNION ALL SELECT c.candidate_id, j.job_id FROM c JOIN j ON c.rk = j.rk) GROUP BY 1""", "candidates_v")
 def match_exact(spark, sf_dir):
     c, j = _sides(spark, sf_dir)
-    return resolve.find_duplicates(c, j).where("how = 'exact'").select("candidate_id", "job_id")
+    return resolve.find_exact(c, j)
 
 
 @query(IDENTITY.replace("c AS (", "cc AS (") + f""", e AS (SELECT i.candidate_id, {FP} AS g, row_number() OVER (PARTITION BY {FP} ORDER BY CASE WHEN source_type IN ('greenhouse', 'lever', 'ashby', 'workable') THEN 0 WHEN source_type = 'adzuna' THEN 2 ELSE 3 END, i.candidate_id) AS n FROM candidates_v JOIN i USING (candidate_id))
