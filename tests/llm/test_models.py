@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 import xxhash
 
-from tidewell.llm import langid, quality, trainorder
+from tidewell.llm import langid, minhash, quality, trainorder
 
 from . import brute
 
@@ -120,3 +120,22 @@ def plain_slot(number: int, n: int, key: int) -> int:
 def test_slots_equal_a_second_network(spark, n):
     got = trainorder.with_slots(spark.range(n).withColumnRenamed("id", "number"), n).select("number", "slot").collect()
     assert {x["number"]: x["slot"] for x in got} == {i: plain_slot(i, n, trainorder.KEY) for i in range(n)}
+
+
+def test_links_of_a_block_are_a_forest_over_its_groups():
+    draw = np.random.default_rng(7)
+    for share, n_groups in ((0.02, 60), (0.1, 60), (0.6, 60), (1.0, 60), (0.3, 9)):
+        group = draw.integers(0, n_groups, 60)
+        near = np.triu(draw.random((60, 60)) < share, 1) & (group[:, None] != group[None, :])
+
+        def parts(pairs, group=group):
+            name = {g: g for g in group.tolist()}
+            for a, b in pairs:
+                x, y = name[group[a]], name[group[b]]
+                name = {g: min(x, y) if v in (x, y) else v for g, v in name.items()}
+            return name
+
+        a, b = minhash._forest(near, group)
+        whole = parts(zip(*np.nonzero(near), strict=True))
+        assert near[a, b].all() and parts(zip(a, b, strict=True)) == whole
+        assert len(a) == len(set(group.tolist())) - len(set(whole.values()))

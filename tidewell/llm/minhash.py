@@ -9,7 +9,8 @@ Texts with equal shingle sets are one class; only classes are banded. In a bucke
 each other member is verified against it, on full sets. For members that are still apart after that, the number of shingles
 that each shares with any of them bounds its similarity to every one of them. Those that these bounds leave open are
 verified bucket by bucket, and a bucket block by block: a task holds two blocks of texts and counts all
-intersections by one matrix product. No link between classes that share a bucket is left out, and no pairs are written but links.
+intersections by one matrix product, and puts out of the links that it finds as many as join its texts' groups. No link between
+classes that share a bucket is passed over, and no pairs are written but such links.
 """
 
 from __future__ import annotations
@@ -160,8 +161,27 @@ def shared_shingles(reps: DataFrame, texts: DataFrame, width: int) -> DataFrame:
     return sizes.join(alone, "rep", "left").select("rep", (F.col("size") - F.coalesce("alone", F.lit(0))).alias("common"))
 
 
+def _forest(near: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the links in ``near`` (a matrix of texts) as many as join the same groups: one less than the groups of each part."""
+    a, b = np.nonzero(near)
+    names, g = np.unique(group, return_inverse=True)
+    link = np.full((len(names), len(names)), -1, dtype=np.int64)
+    link[g[a], g[b]] = link[g[b], g[a]] = np.arange(len(a))
+    new, kept = np.ones(len(names), dtype=bool), []
+    for start in range(len(names)):
+        reached = [start] if new[start] else []
+        new[start] = False
+        while reached:
+            now = reached.pop()
+            found = np.flatnonzero((link[now] >= 0) & new)
+            new[found] = False
+            kept += link[now][found].tolist()
+            reached += found.tolist()
+    return a[kept], b[kept]
+
+
 def _block_links(width: int, percent: int, key: tuple, rows: pa.Table) -> pa.Table:
-    """Links between the texts of two blocks (or within one) that are in different groups yet."""
+    """Links between the texts of two blocks (or within one) that are in different groups yet: as many as join these groups."""
     rows = rows.combine_chunks()
     ids, group, block = (rows[c].to_numpy() for c in ("rep", "g", "block"))
     sets = [s for _, part in shingle_sets(rows["text"], width) for s in part]
@@ -183,14 +203,14 @@ def _block_links(width: int, percent: int, key: tuple, rows: pa.Table) -> pa.Tab
     i, j = key[1].as_py(), key[2].as_py()
     if i != j:
         near &= block[:, None] != block[None, :]
-    a, b = np.nonzero(near)
+    a, b = _forest(near, group)
     return pa.table({"u": pa.array(ids[a]), "v": pa.array(ids[b])})
 
 
 def block_links(open_: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """(u, v): links among open classes (bucket, rep, g) of which some bucket holds both.
+    """(u, v): links among open classes (bucket, rep, g) of which some bucket holds both, without those that close a circle.
 
-    A bucket is dealt into blocks of about ``BLOCK`` texts, and each two blocks meet in one task: tasks are bounded however
+    Every link is looked at; a task puts out those that join its groups, fewer than its rows, as only the groups that hang together matter. A bucket is dealt into blocks of about ``BLOCK`` texts, and each two blocks meet in one task: tasks are bounded however
     large a bucket is. Of buckets that hold the same classes (near copies share most of their bands) one is enough.
     """
     mark = lambda *c: F.bit_xor(F.xxhash64(*c))
