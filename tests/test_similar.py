@@ -122,3 +122,10 @@ def test_exact_matches_make_no_comparison_by_likeness(spark, monkeypatch):
     p = resolve.with_identity(spark.createDataFrame(rows, "candidate_id long, company_name string, title string, location string").withColumn("description", F.lit("spark")).withColumns(blank))
     got = resolve.find_exact(p.where("candidate_id > 1"), p.where("candidate_id = 1").withColumnRenamed("candidate_id", "job_id"))
     assert [tuple(x) for x in got.collect()] == [(2, 1)]
+
+
+def test_titles_of_random_letters_have_hardly_a_candidate(spark):
+    titles = [row[0] for row in spark.range(2000).select(F.sha2(F.col("id").cast("string"), 256)).collect()]
+    near = [titles[0][:20] + titles[0][21:], titles[1][:9] + "zz" + titles[1][11:]]
+    found = {tuple(sorted(x[1:])) for x in similar.title_candidates(title_rows(spark, titles + near)).collect()}
+    assert {tuple(sorted(x)) for x in zip(titles, near)} <= found and len(found) < 20

@@ -1,72 +1,83 @@
 """Near matches without all pairs: a similarity join of titles, and descriptions compared only where titles are near.
 
-Two titles with a ratio of at least ``t`` differ by at most d = (1 - t / 100) * (length of both) characters put in or left
-out, and each of these spoils at most ``Q`` of a title's grams. So of the grams of either, in one order that both share,
-the first Q * d + k hold k that are common, if so many are: titles meet by their rarest grams only ("prefix filter"), if their lengths
-allow it. A pair goes on if ``SHARED`` of these are common ("count filter") and enough grams are left behind the first
-("position filter"); only then the ratio is taken. No filter loses a pair.
+Two titles with a ratio of at least ``t`` differ by at most d = (100 - t) / 100 * (length of both) characters put in or left
+out. The longer of the two (of one length, the greater) is cut into one piece more than it may differ by from any that is not longer, so a piece stays
+whole; and there is one, the i-th, before which exactly i characters differ: it stands in the shorter title at most i places
+off, and as far off as i is odd or even (a count of changes, less one a piece, ends below 0, and where it is 0 for the last time a
+piece is whole). So titles meet by whole pieces at their places, lengths and companies. A pair goes on if the counts of its
+characters differ by no more than d, told by sets of bits ("count filter"); only then the ratio is taken. No filter loses a pair.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewell.functions import fixed
 from tidewell.functions.geo import locations_match
 from tidewell.functions.similarity import indel_ratio, token_set_ratio
+from tidewell.functions.text import let
 from tidewell.tables import written
 
-#: Characters of a gram, and rare grams that two titles must have in common.
+#: Least length of a piece of a title that may be near another.
 Q = 3
-SHARED = 4
+
+
+def _apart(both: Column | int, least: float) -> Column | int:
+    """Most characters that two titles of so many characters together may differ by."""
+    most = (100.0 - least) * both / 100.0 + 1e-9
+    return int(most) if isinstance(both, int) else F.floor(most).cast("int")
 
 
 def lossless(least: float) -> bool:
-    """Whether near titles of any length have a gram in common at this ratio; 92 is enough, 90 is not."""
-    for n in range(1, 1000):
-        most = int((100.0 - least) * (n + int(n * (200.0 - least) / least + 1e-9)) / 100.0 + 1e-9)
-        if most and n - (Q - 1) - Q * most < 1:
-            return False
-    return True
+    """Whether pieces of near titles of any length have at least ``Q`` characters at this ratio; 92 is enough, 90 is not."""
+    return all(n // (_apart(2 * n, least) + 1) >= Q for n in range(1, 1000) if _apart(2 * n, least))
 
 
-def _apart(la: Column, lb: Column, least: float) -> Column:
-    """Most characters that two titles of these lengths may differ by."""
-    return F.floor((100.0 - least) * (la + lb) / 100.0 + 1e-9).cast("int")
+def _marks(title: str) -> Column:
+    """64 bits, one turned for each character and how often it came before: titles that differ by d characters differ by at most d bits."""
+    chars = F.sort_array(F.split(F.col(title), ""))
+    turned = lambda cs: F.transform(cs, lambda c, i: F.pmod(F.xxhash64(c, i - F.array_position(cs, c)), F.lit(64)).cast("int"))
+    return F.aggregate(let(chars, turned), F.lit(0).cast("long"), lambda acc, n: acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), n)))
 
 
-def _lengths_fit(la: Column, lb: Column, least: float) -> Column:
-    return F.least(la, lb) * (200.0 - least) >= F.greatest(la, lb) * least - 1e-9
+def _pieces(size: Column, i: Column, most: Column) -> tuple[Column, Column]:
+    """Start (from 0) and length of the i-th of ``most`` + 1 pieces of a title of ``size`` characters."""
+    start = F.floor(i * size / (most + 1)).cast("int")
+    return start, F.floor((i + 1) * size / (most + 1)).cast("int") - start
 
 
 def title_candidates(titles: DataFrame, least: float = fixed.TITLE_THRESHOLD) -> DataFrame:
     """(company_key, a_title, b_title) of different titles of one company that may be near; ``titles``: company_key, title_key, a, b.
 
-    ``a`` and ``b`` say on which side of the join a title stands; a title is a row. Grams are of a-z, 0-9 and the blank, so
-    the table of their counts has at most 37 ** Q entries a number of repeats and is broadcast. A ratio at which grams
-    would lose pairs is refused.
+    ``a`` and ``b`` say on which side of the join a title stands; a title is a row. A title has as many rows as pieces and, as
+    the shorter one, a row a length and place where a piece may stand: about 60 for a title of 40 characters, of which those that no
+    piece meets end in the join. A ratio at which pieces would be shorter than ``Q`` is refused.
     """
     if not lossless(least):
-        raise ValueError(f"grams of {Q} lose titles with a ratio of {least}")
-    size = F.length("title_key")
-    t = titles.where("company_key is not null and title_key is not null").withColumn("_len", size)
-    t = t.withColumn("_most", _apart(F.col("_len"), F.floor(F.col("_len") * (200.0 - least) / least + 1e-9), least)).where("_most > 0")
-    raw = F.transform(F.sequence(F.lit(1), F.col("_len") - (Q - 1)), lambda i: F.substr(F.col("title_key"), i, F.lit(Q)))
-    bag = t.select("company_key", "title_key", "a", "b", "_len", "_most", (F.col("_len") - (Q - 1)).alias("_n"), F.posexplode(raw).alias("_i", "_g"))
-    nth = F.row_number().over(Window.partitionBy("company_key", "title_key", "_g").orderBy("_i"))
-    rows = bag.withColumn("gram", F.concat("_g", nth.cast("string"))).drop("_i", "_g")  # the n-th of equal grams is a gram of its own
-    counts = rows.groupBy("gram").agg(F.count("*").alias("_df"))
-    rarest = Window.partitionBy("company_key", "title_key").orderBy("_df", "gram")
-    prefix = rows.join(F.broadcast(counts), "gram").withColumn("_at", F.row_number().over(rarest)).where(F.col("_at") <= F.col("_most") * Q + SHARED)
-    prefix = written(prefix.select("company_key", "gram", "title_key", "a", "b", "_len", "_n", "_at"), "title-prefixes")
-    side = lambda s: prefix.where(s).select("company_key", "gram", *[F.col(c).alias(f"{s}{c}") for c in ("_len", "_n", "_at")], F.col("title_key").alias(f"{s}_title"))
-    la, lb = F.col("a_len"), F.col("b_len")
-    met = side("a").join(side("b"), ["company_key", "gram"]).where((F.col("a_title") != F.col("b_title")) & _lengths_fit(la, lb, least))
-    needed = F.greatest(F.first("a_n"), F.first("b_n")) - Q * _apart(F.length("a_title"), F.length("b_title"), least)
-    ahead = F.lit(1) + F.least(F.first("a_n") - F.min("a_at"), F.first("b_n") - F.min("b_at"))
-    few = met.groupBy("company_key", "a_title", "b_title").agg(((F.count("*") >= F.least(F.lit(SHARED), needed)) & (ahead >= needed)).alias("_near"))
-    return few.where("_near").drop("_near")
+        raise ValueError(f"pieces of titles with a ratio of {least} are shorter than {Q}")
+    c = F.col
+    t = titles.where("company_key is not null and title_key is not null").withColumn("_len", F.length("title_key")).where("_len > 0")
+    t = written(t.select("company_key", "title_key", "a", "b", "_len", _marks("title_key").alias("_bits")), "title-marks")
+    most = _apart(2 * c("_len"), least)
+    long = t.withColumn("_most", most).where("_most > 0").select("*", F.explode(F.sequence(F.lit(0), c("_most"))).alias("_i"))
+    start, size = _pieces(c("_len"), c("_i"), c("_most"))
+    long = long.select("company_key", c("_len").alias("_for"), "_i", F.substr("title_key", start + 1, size).alias("_piece"), c("title_key").alias("x"), c("a").alias("xa"), c("b").alias("xb"), c("_bits").alias("x_bits"))
+    lengths = F.broadcast(t.select(c("_len").alias("_for")).distinct())  # at most one row a length
+    short = t.join(lengths, (c("_for") >= c("_len")) & (c("_len") * (200.0 - least) >= c("_for") * least - 1e-9))
+    short = short.withColumns({"_most": _apart(2 * c("_for"), least), "_d": _apart(c("_for") + c("_len"), least)}).where("_d > 0")
+    short = short.withColumn("_i", F.explode(F.sequence(F.lit(0), c("_d"))))  # exactly i changes before the piece, so i is at most d
+    short = short.withColumn("_off", F.explode(F.transform(F.sequence(F.lit(0), c("_i")), lambda k: 2 * k - c("_i"))))
+    start, size = _pieces(c("_for"), c("_i"), c("_most"))
+    at = start + c("_off")
+    short = short.where((F.abs(c("_for") - c("_len") + c("_off")) <= c("_d") - c("_i")) & (at >= 0) & (at + size <= c("_len")))
+    short = short.select("company_key", "_for", "_i", F.substr("title_key", at + 1, size).alias("_piece"), c("title_key").alias("y"), c("a").alias("ya"), c("b").alias("yb"), c("_bits").alias("y_bits"), "_d", c("_len").alias("_short"))
+    met = long.join(short, ["company_key", "_for", "_i", "_piece"])
+    met = met.where(((c("_for") > c("_short")) | (c("x") > c("y"))) & ((c("xa") & c("yb")) | (c("xb") & c("ya"))) & (F.bit_count(c("x_bits").bitwiseXOR(c("y_bits"))) <= c("_d")))
+    pairs = met.select("company_key", "x", "y", (c("xa") & c("yb")).alias("_there"), (c("xb") & c("ya")).alias("_back")).distinct()
+    ends = lambda u, v: F.struct(c(u).alias("a_title"), c(v).alias("b_title"))
+    both = F.filter(F.array(F.when(c("_there"), ends("x", "y")), F.when(c("_back"), ends("y", "x"))), lambda e: e.isNotNull())
+    return pairs.select("company_key", F.inline(both))
 
 
 def near_titles(titles: DataFrame, least: float = fixed.TITLE_THRESHOLD) -> DataFrame:
