@@ -7,7 +7,8 @@ import re
 from collections.abc import Callable
 from functools import reduce
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -119,16 +120,29 @@ def hash_payload(variant: Column | str) -> Column:
     return F.sha2(F.to_json(_col(variant)), 256)
 
 
-@F.pandas_udf(T.StringType())
-def unescape(s: pd.Series) -> pd.Series:
-    """HTML entities decoded, one Arrow batch at a time."""
-    return s.map(html.unescape, na_action="ignore")
+#: Strings, or lists, that are Python objects at once.
+ITEMS_AT_ONCE = 256
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def unescape_all(s: pd.Series) -> pd.Series:
+def by_slices(column: pa.Array, use: Callable[[list], list], kind: pa.DataType) -> pa.Array:
+    """``use`` of the values, a few at a time: no whole batch becomes Python objects."""
+    if column.null_count == len(column):
+        return pa.nulls(len(column), kind)
+    return pa.concat_arrays([pa.array(use(column.slice(lo, ITEMS_AT_ONCE).to_pylist()), kind) for lo in range(0, len(column), ITEMS_AT_ONCE)])
+
+
+@F.arrow_udf(T.StringType())
+def unescape(s: pa.Array) -> pa.Array:
+    """HTML entities decoded; of an Arrow batch only some texts at once are Python objects, and none if there is no ampersand."""
+    if not pc.any(pc.match_substring(s, "&")).as_py():
+        return s
+    return by_slices(s, lambda items: [None if x is None else html.unescape(x) for x in items], pa.string())
+
+
+@F.arrow_udf(T.ArrayType(T.StringType()))
+def unescape_all(s: pa.Array) -> pa.Array:
     """HTML entities decoded in every string of a list; nulls of a list are left out."""
-    return s.map(lambda items: [html.unescape(x) for x in items if x is not None], na_action="ignore")
+    return by_slices(s, lambda lists: [None if x is None else [html.unescape(y) for y in x if y is not None] for x in lists], pa.list_(pa.string()))
 
 
 def plain_items(c: Column | str) -> Column:

@@ -161,7 +161,8 @@ def dispatch_by_type(envelopes: DataFrame, sources: DataFrame | None, registry:
         pick(lambda f: F.lit(f.labels[0]), "string").alias("_title_label"), pick(lambda f: F.lit(f.labels[1]), "string").alias("_company_label"),
     )
     rows = rows.withColumn("description_html", F.coalesce(unescape("_encoded"), "_html"))
-    rows = rows.withColumn("description_text", F.coalesce("_plain", html_to_text("description_html")))
+    # where the source gives the text, none is made of the HTML
+    rows = rows.withColumn("description_text", F.coalesce("_plain", html_to_text(F.when(F.col("_plain").isNull(), F.col("description_html")))))
     missing = lambda c, label: F.when(F.col(c).isNull(), F.concat(F.lit("missing "), label))
     problem = F.coalesce(F.when(F.col("_title_label").isNull(), "no connector"), missing("title_original", "_title_label"), missing("company_name", "_company_label"))
     return rows.select(*CANDIDATE_COLUMNS, *kept, problem.alias("error"))
