@@ -6,16 +6,15 @@ Input frames are landed documents: (source_type, source_external_key, fetched_at
 from __future__ import annotations
 
 import json
-import re
 from functools import reduce
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewell.functions.facts import _string
-from tidewell.functions.text import hash_payload, unescape
+from tidewell.functions.text import by_slices, hash_payload, unescape
 from tidewell.operators.asof import asof_join
 
 COLUMNS = ("source_type", "source_external_key", "source_job_id", "source_url", "fetched_at", "payload")
@@ -81,7 +80,9 @@ def account_name_check(responses: DataFrame, sources: DataFrame) -> tuple[DataFr
     return both.where(good).select(responses.columns), both.where(~good).select(*responses.columns, F.lit("account name differs").alias("error"))
 
 
-LD_JSON = re.compile(r"<script\b[^>]*type\s*=\s*[\"']?application/ld\+json[\"']?[^>]*>(.*?)</script\s*>", re.I | re.S)
+#: What Python's patterns call white space and the end of a word, in Java's words.
+_WS = r"[\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]*"
+LD_JSON = rf"(?isu)<script(?![\p{{L}}\p{{N}}_])[^>]*type{_WS}={_WS}[\"']?application/ld\+json[\"']?[^>]*>(.*?)</script{_WS}>"
 
 
 def is_job_posting(kind) -> bool:
@@ -95,10 +96,10 @@ def _no_number(text: str) -> None:
     raise ValueError(text)
 
 
-def page_postings(html: str) -> list[str]:
+def block_postings(blocks: list[str]) -> list[str]:
     """The JSON of every object of type JobPosting in a page's ld+json blocks, at whatever depth; a type may be a whole URL."""
     found = []
-    for block in LD_JSON.findall(html):
+    for block in blocks:
         try:
             open_ = [json.loads(block, parse_constant=_no_number)]
             while open_:
@@ -114,9 +115,15 @@ def page_postings(html: str) -> list[str]:
     return found
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def ld_postings(html: pd.Series) -> pd.Series:
-    return html.map(lambda page: page_postings(page) if page else [])
+@F.arrow_udf(T.ArrayType(T.StringType()))
+def _block_postings(blocks: pa.Array) -> pa.Array:
+    return by_slices(blocks, lambda pages: [x and block_postings(x) for x in pages], pa.list_(pa.string()))
+
+
+def ld_postings(html: Column | str) -> Column:
+    """The postings of a page; its blocks are cut out where it is, so that only they leave the JVM."""
+    blocks = F.regexp_extract_all(html, F.lit(LD_JSON), F.lit(1))
+    return F.coalesce(_block_postings(blocks), F.array().cast("array<string>"))
 
 
 def extract_jsonld_postings(pages: DataFrame) -> DataFrame:
