@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from . import fixed
 from .geo import any_of, infer_work_mode
-from .text import _col, blank_to_null, plain_items, plain_text, text_map
+from .text import _col, blank_to_null, let, plain_items, plain_text, text_map
 
 
 def parse_salary(text: Column | str) -> Column:
@@ -64,8 +64,11 @@ LISTS = ("skills", "responsibilities", "requirements", "nice_to_have", "benefits
 def coerce_facts(response: Column | str) -> Column:
     """A model's text as typed facts; null where it is no JSON object. Wrong types become null or are left out of lists."""
     body = F.trim(F.regexp_replace(F.trim(_col(response)), r"(?i)^```(?:json)?\s*|\s*```$", ""))
-    v = F.try_parse_json(body)
-    allowed = lambda path, values: F.when(_string(v, path).isin(*values), _string(v, path))
+    return let(F.try_parse_json(body), _typed_facts)
+
+
+def _typed_facts(v: Column) -> Column:
+    allowed = lambda path, values: let(_string(v, path), lambda s: F.when(s.isin(*values), s))
     facts = F.struct(
         *[_string(v, f"$.{n}").alias(n) for n in ("summary", "role_category", "experience_label", "description_text")],
         allowed("$.work_mode", fixed.WORK_MODES).alias("work_mode"),

@@ -57,9 +57,10 @@ def structure_postings(jobs: DataFrame, responses: DataFrame) -> DataFrame:
     """``jobs`` with ``outcome``, ``digest``, grounded facts and ``payload`` (null unless ready).
 
     The whole chain of a posting: its text and digest, the answer, typed facts, grounding in the posting, salary, employment,
-    mode and state by rule, leftover prose, and the object to send, without markup in any of its fields.
+    mode and state by rule, leftover prose, and the object to send, without markup in any of its fields. The work of a posting
+    is large beside its bytes, so postings are dealt over all tasks by ``job_id`` first, however few files they come from.
     """
-    rows = jobs.withColumn("posting", posting_text("description_text", "description_html"))
+    rows = jobs.repartition("job_id").withColumn("posting", posting_text("description_text", "description_html"))
     rows = rows.withColumn("digest", structure_hash("title_original", "posting", "city", "canonical_apply_url"))
     rows = cached_response(rows.withColumn("cache_key", cache_key(TASK_STRUCTURE, fixed.STRUCTURE_VERSION, "digest")), responses)
     rows = rows.withColumn("facts", coerce_facts("response"))

@@ -381,7 +381,7 @@ def _structured(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     jobs = _jobs(spark, sf_dir)
     digest = text.structure_hash("title_original", structure.posting_text("description_text", "description_html"), "city", "canonical_apply_url")
     answer = F.when(F.col("job_id") % 5 == 1, "no json").otherwise('{"summary": "S", "skills": ["travel", "Quantum Basketry"], "experience_min_years": 3, "description_text": "nothing of that"}')
-    answers = jobs.where("job_id % 5 > 0").select(text.cache_key(structure.TASK_STRUCTURE, fixed.STRUCTURE_VERSION, digest).alias("cache_key"), answer.alias("response"))
+    answers = jobs.where("job_id % 5 > 0").repartition("job_id").select(text.cache_key(structure.TASK_STRUCTURE, fixed.STRUCTURE_VERSION, digest).alias("cache_key"), answer.alias("response"))
     return jobs, structure.structure_postings(jobs.drop("salary_min", "salary_max", "salary_currency", "salary_period"), answers)
 
 
