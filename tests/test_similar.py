@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tidewell.functions.similarity import ratio, set_ratio
+from tidewell.functions.similarity import block_links, lcs_length, may_reach, ratio, set_ratio
 from tidewell.operators import resolve, similar
 
 
@@ -129,3 +129,79 @@ def test_titles_of_random_letters_have_hardly_a_candidate(spark):
     near = [titles[0][:20] + titles[0][21:], titles[1][:9] + "zz" + titles[1][11:]]
     found = {tuple(sorted(x[1:])) for x in similar.title_candidates(title_rows(spark, titles + near)).collect()}
     assert {tuple(sorted(x)) for x in zip(titles, near)} <= found and len(found) < 20
+
+
+def least_of(nodes, links):
+    """The least node that each node hangs together with."""
+    least = {x: x for x in nodes}
+    changed = True
+    while changed:
+        changed = False
+        for a, b in links:
+            m = min(least[a], least[b])
+            changed |= least[a] != m or least[b] != m
+            least[a] = least[b] = m
+    return least
+
+
+def near_texts(r, n):
+    """Texts of which some hold others, some differ by letters only (no word shared), some by words."""
+    syllables = ["the", "an", "er", "ti", "on", "re", "le", "ou", "sh", "ly"]
+    word = lambda: "".join(r.choices(syllables, k=r.randrange(1, 4)))
+    base = [sorted({word() for _ in range(r.randrange(1, 40))}) for _ in range(n)]
+    base += [sorted({w + "s" for w in x}) for x in base[: n // 3]] + [sorted(set(x) | {word() for _ in range(3)}) for x in base[: n // 3]]
+    return [" ".join(x) for x in base] + ["zürich köln", "zurich koln", "", "a"]
+
+
+@pytest.mark.parametrize("least", [60.0, 88.0, 100.0])
+def test_links_of_blocks_join_what_all_pairs_join(least):
+    r = random.Random(int(least))
+    for _ in range(6):
+        texts = near_texts(r, 25)
+        rows = [(r.randrange(40), t) for t in texts]
+        a, b = rows[: r.randrange(1, len(rows))], rows[r.randrange(len(rows)) :]
+        want = {(x, y) for x, t in a for y, u in b if x != y and set_ratio(t, u) >= least}
+        got = block_links(a, b, least)
+        assert least_of(range(40), got) == least_of(range(40), want) and len(got) == 40 - len(set(least_of(range(40), want).values()))
+
+
+def test_kinds_of_characters_refuse_no_pair_that_reaches():
+    r = random.Random(9)
+    texts = near_texts(r, 40) + ["".join(r.choices("abcdefgh ", k=60)) for _ in range(20)]
+    refused = 0
+    for a in texts:
+        for b in texts:
+            n = lcs_length(a, b)
+            assert may_reach(a, b, n) and may_reach(a, b, 0)
+            refused += not may_reach(a, b, int(0.88 * max(len(a), len(b))))
+    assert refused > len(texts) ** 2 / 2
+
+
+def test_rows_of_one_key_are_not_compared_by_text(spark, monkeypatch):
+    """3,000 texts of one title and place are one group by their fingerprint: no pair of them is looked at."""
+    monkeypatch.setattr(resolve, "near_classes", None)
+    handed = []
+    monkeypatch.setattr(resolve, "near_links", lambda rows: handed.append(rows) or similar.near_links(rows))
+    r = random.Random(4)
+    words = ["".join(r.choices("abcdefgh", k=6)) for _ in range(400)]
+    rows = [(i, "Acme", "QA", "Pune", " ".join(r.sample(words, 30))) for i in range(3000)] + [(3000, "Acme", "QA", "Pune, India", " ".join(r.sample(words, 30)))]
+    p = spark.createDataFrame(rows, "candidate_id long, company_name string, title string, location string, description string")
+    p = resolve.with_identity(p.withColumns({c: F.lit(None).cast("string") for c in ("requisition_id", "canonical_url")}))
+    assert {x[0]: x[1] for x in resolve.clusters(p).collect()} == {i: i // 3000 * 3000 for i in range(3001)}
+    assert handed[0].count() == 3001 and similar.near_links(handed[0].where("least < 3000")).count() == 0
+
+
+@pytest.mark.parametrize("keys", [(), ("fingerprint",)])
+def test_small_blocks_group_like_all_pairs(spark, monkeypatch, keys):
+    monkeypatch.setattr(similar, "BLOCK", 2)
+    p = postings(spark, 150, 12).cache()
+    rows = p.collect()
+    links = {
+        (a["candidate_id"], b["candidate_id"])
+        for a in rows for b in rows
+        if any(a[k] == b[k] for k in keys) or (
+            a["company_key"] == b["company_key"] and generic_match(a["location_key"], b["location_key"]) and ratio(a["title_key"], b["title_key"]) >= 92
+            and a["text_key"] and b["text_key"] and set_ratio(a["text_key"], b["text_key"]) >= 88
+        )
+    }
+    assert {x["candidate_id"]: x["cluster"] for x in resolve.clusters(p, keys=keys).collect()} == least_of([x["candidate_id"] for x in rows], links)

@@ -103,8 +103,8 @@ def _cleaned(parts: Column) -> Column:
 
 
 def token_fingerprint(c: Column | str) -> Column:
-    long = F.filter(tokens(c), lambda t: F.length(t) > 2)
-    return F.coalesce(F.array_join(F.array_sort(F.array_distinct(long)), " "), F.lit(""))
+    long = F.regexp_extract_all(F.lower(_col(c)), F.lit("[a-z0-9]{3,}"), F.lit(0))
+    return F.coalesce(F.array_join(F.sort_array(F.array_distinct(long)), " "), F.lit(""))
 
 
 fuzzy_fingerprint = token_fingerprint

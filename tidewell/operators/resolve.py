@@ -12,7 +12,7 @@ from tidewell.functions.text import exact_fingerprint, fuzzy_title, normalize_co
 from tidewell.tables import written
 
 from .clusters import connected_components
-from .similar import class_key, classes, near_classes
+from .similar import class_key, classes, near_classes, near_links
 
 
 def source_rank(source_type: Column | str) -> Column:
@@ -69,6 +69,7 @@ def fuzzy_pairs(candidates: DataFrame, jobs: DataFrame, title_threshold: float =
 
 def fuzzy_matches(candidates: DataFrame, jobs: DataFrame) -> DataFrame:
     """(candidate_id, job_id): the least job that is like each candidate; postings that match alike are compared once."""
+    candidates = candidates.join(jobs.select("company_key").distinct(), "company_key", "left_semi")
     best = near_classes(classes(candidates, "candidate_id"), classes(jobs, "job_id")).groupBy("a_class").agg(F.min("b_least").alias("job_id"))
     return candidates.select("candidate_id", class_key().alias("a_class")).join(best, "a_class").select("candidate_id", "job_id")
 
@@ -118,7 +119,10 @@ def should_replace(canonical_source: Column, canonical_type: Column, source: Col
 
 
 def clusters(rows: DataFrame, keys: tuple[str, ...] = ("fingerprint", "url_key", "requisition_key"), fuzzy: bool = True) -> DataFrame:
-    """(candidate_id, cluster): transitive groups among new rows; ids must be long. Rows without a partner are their own group."""
+    """(candidate_id, cluster): transitive groups among new rows; ids must be long. Rows without a partner are their own group.
+
+    Rows are grouped by keys first; texts are compared only between groups that are not one already.
+    """
     edges = []
     for k in keys:
         own = rows.where(F.col(k).isNotNull()).select("candidate_id", k)
@@ -128,11 +132,16 @@ def clusters(rows: DataFrame, keys: tuple[str, ...] = ("fingerprint", "url_key",
         alike = written(classes(rows, "candidate_id"), "classes")
         own = rows.select("candidate_id", class_key().alias("class_key")).join(alike.select("class_key", "least"), "class_key")
         edges.append(own.select(F.col("candidate_id").alias("u"), F.col("least").alias("v")))
-        edges.append(near_classes(alike, alike).select(F.col("a_least").alias("u"), F.col("b_least").alias("v")).where("u > v"))
     found = connected_components(reduce(DataFrame.unionByName, edges))
-    return rows.select("candidate_id").join(found.withColumnRenamed("node", "candidate_id"), "candidate_id", "left").select(
+    named = rows.select("candidate_id").join(found.withColumnRenamed("node", "candidate_id"), "candidate_id", "left").select(
         "candidate_id", F.coalesce("component", "candidate_id").alias("cluster")
     )
+    if not fuzzy:
+        return named
+    named = written(named, "by-keys")
+    grouped = written(alike.join(named.select(F.col("candidate_id").alias("least"), F.col("cluster").alias("group")), "least"), "grouped")
+    joined = connected_components(near_links(grouped)).withColumnRenamed("node", "cluster")
+    return named.join(joined, "cluster", "left").select("candidate_id", F.coalesce("component", "cluster").alias("cluster"))
 
 
 def upsert_job(jobs: DataFrame, changes: DataFrame, content: tuple[str, ...]) -> DataFrame:

@@ -10,12 +10,14 @@ characters differ by no more than d, told by sets of bits ("count filter"); only
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewell.functions import fixed
 from tidewell.functions.geo import locations_match
-from tidewell.functions.similarity import indel_ratio, token_set_ratio
+from tidewell.functions.similarity import indel_ratio, links_of_blocks, token_set_ratio
 from tidewell.functions.text import let
 from tidewell.tables import written
 
@@ -137,3 +139,53 @@ def near_classes(left: DataFrame, right: DataFrame, title_threshold: float = fix
     met = met.where(locations_match("a_loc", "b_loc", normalized=True) & ((F.col("a_text") == F.col("b_text")) | may_be_near("a_text", "b_text", text_threshold)))
     near = met.where(token_set_ratio("a_text", "b_text") >= text_threshold)
     return near.select("a_class", "a_least", "b_class", "b_least")
+
+
+#: What classes of one cell have in common, and how many of them, about, are compared at once with as many others.
+CELL, BLOCK = ("company_key", "title_key", "location_key"), 48
+
+
+def near_links(rows: DataFrame, title_threshold: float = fixed.TITLE_THRESHOLD, text_threshold: float = fixed.DESCRIPTION_THRESHOLD) -> DataFrame:
+    """(u, v): links among the groups of classes (``classes``, and a long ``group``) that are near as in ``near_classes``.
+
+    What hangs together by these links is what hangs together by all near pairs: a pair within one group is left out, and two blocks of
+    classes put out a forest of links. Cells meet first, by near title and place; only where they hold more than one group their
+    classes are dealt into blocks by a hash. Of two large cells of a group each, every block meets the other's shortest text first; if
+    that links them, it is all there is to know. Of the others every block meets every block, once.
+    """
+    c = F.col
+    titles = rows.select("company_key", "title_key", F.lit(True).alias("a"), F.lit(True).alias("b")).distinct()
+    pairs = written(near_titles(written(titles, "titles"), title_threshold), "near-titles")
+    ends = (F.min("group").alias("lo"), F.max("group").alias("hi"))
+    short = F.min(F.struct(F.length("text_key").alias("size"), "group", "text_key"))
+    cells = rows.groupBy(*CELL).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"), short.alias("short"), *ends)
+    cells = written(cells.withColumn("blocks", place_blocks()), "cells")
+
+    def named(df: DataFrame, s: str, *more: str) -> DataFrame:
+        return df.select("company_key", c("title_key").alias(f"{s}_title"), c("location_key").alias(f"{s}_loc"), *[c(x).alias(f"{s}_{x}") for x in more])
+
+    ids = {s: ["company_key", f"{s}_title", f"{s}_loc"] for s in "ab"}
+    one = (c("a_lo") == c("a_hi")) & (c("b_lo") == c("b_hi"))
+    several = ~(one & (c("a_lo") == c("b_lo")))
+    a = named(cells, "a", "lo", "hi", "parts", "blocks").join(pairs, ["company_key", "a_title"]).withColumn("block", F.explode("a_blocks"))
+    b = named(cells, "b", "lo", "hi", "parts", "blocks").withColumn("block", F.explode("b_blocks"))
+    met = a.join(b, ["company_key", "b_title", "block"]).where(several & (F.struct("a_title", "a_loc") <= F.struct("b_title", "b_loc")))
+    met = met.where((F.get(F.array_intersect("a_blocks", "b_blocks"), 0) == c("block")) & locations_match("a_loc", "b_loc", normalized=True))
+    large = one & (c("a_parts") * c("b_parts") > 1)
+    met = met.select("company_key", "a_title", "a_loc", "b_title", "b_loc", large.alias("large"), F.greatest("a_lo", "b_lo").alias("u"), F.least("a_lo", "b_lo").alias("v"))
+    met = written(met, "cells-met")
+
+    at = [met.select(*[c(x).alias(y) for x, y in zip(ids[s], CELL)]) for s in "ab"]
+    dealt = rows.join(cells.select(*CELL, "parts").join(at[0].union(at[1]).distinct(), list(CELL)), list(CELL)).withColumn("part", F.pmod(F.xxhash64("class_key"), c("parts")))
+    blocks = written(dealt.groupBy(*CELL, "part").agg(F.collect_list(F.struct("group", "text_key")).alias("items"), *ends), "blocks")
+    linked = lambda both: both.select("a", "b").mapInArrow(partial(links_of_blocks, least=text_threshold), "u long, v long")
+    shortest = cells.withColumn("x", F.array(F.struct("short.group", "short.text_key")))
+    sides = [met.where("large").join(named(blocks, s, "items"), ids[s]).join(named(shortest, o, "x"), ids[o]).select(c(f"{s}_items").alias("a"), c(f"{o}_x").alias("b")) for s, o in ("ab", "ba")]
+    first = written(linked(sides[0].union(sides[1])).distinct(), "links")
+
+    open_ = met.join(first.withColumn("large", F.lit(True)), ["large", "u", "v"], "left_anti").drop("large", "u", "v")
+    heads = open_.join(named(blocks, "a", "part", "lo", "hi"), ids["a"]).join(named(blocks, "b", "part", "lo", "hi"), ids["b"])
+    same = (c("a_title") == c("b_title")) & (c("a_loc") == c("b_loc"))
+    heads = heads.where(several & (~same | (c("a_part") <= c("b_part")))).drop("a_lo", "a_hi", "b_lo", "b_hi")
+    texts = lambda s: named(blocks, s, "part", "items").withColumnRenamed(f"{s}_items", s)
+    return first.union(linked(heads.join(texts("a"), [*ids["a"], "a_part"]).join(texts("b"), [*ids["b"], "b_part"])))
