@@ -205,3 +205,10 @@ def test_small_blocks_group_like_all_pairs(spark, monkeypatch, keys):
         )
     }
     assert {x["candidate_id"]: x["cluster"] for x in resolve.clusters(p, keys=keys).collect()} == least_of([x["candidate_id"] for x in rows], links)
+
+
+def test_without_jobs_nothing_is_compared(spark, monkeypatch):
+    monkeypatch.setattr(resolve, "near_classes", None)
+    p = postings(spark, 20, 3)
+    got = resolve.fuzzy_matches(p, p.withColumnRenamed("candidate_id", "job_id").where("job_id < 0"))
+    assert got.columns == ["candidate_id", "job_id"] and got.count() == 0

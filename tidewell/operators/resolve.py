@@ -69,6 +69,8 @@ def fuzzy_pairs(candidates: DataFrame, jobs: DataFrame, title_threshold: float =
 
 def fuzzy_matches(candidates: DataFrame, jobs: DataFrame) -> DataFrame:
     """(candidate_id, job_id): the least job that is like each candidate; postings that match alike are compared once."""
+    if jobs.isEmpty():
+        return candidates.select("candidate_id", F.lit(None).cast(jobs.schema["job_id"].dataType).alias("job_id")).limit(0)
     candidates = candidates.join(jobs.select("company_key").distinct(), "company_key", "left_semi")
     best = near_classes(classes(candidates, "candidate_id"), classes(jobs, "job_id")).groupBy("a_class").agg(F.min("b_least").alias("job_id"))
     return candidates.select("candidate_id", class_key().alias("a_class")).join(best, "a_class").select("candidate_id", "job_id")
